@@ -41,12 +41,13 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
 
 @dataclass
 class Slice:
-    """Words of rows ``lo`` to ``hi`` of a batch: ``first[i]:first[i+1]`` are those of row ``lo + i``."""
+    """Words of rows ``lo`` to ``hi`` of a batch: ``first[i]:first[i+1]`` are those of row ``lo + i``, whose bytes are
+    ``data[bounds[i]:bounds[i+1]]``."""
 
     lo: int
     hi: int
     data: np.ndarray
-    base: int
+    bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
@@ -94,7 +95,7 @@ def _words(lo: int, hi: int, data: np.ndarray, bounds: np.ndarray) -> Slice:
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _power(_P, "p", n + 1)[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * _power(_P_INV, "q", n + 1)[starts]) if len(starts) else np.zeros(0, np.uint64)
-    return Slice(lo, hi, data, 0, starts, ends, hashes, np.searchsorted(starts, bounds))
+    return Slice(lo, hi, data, bounds, starts, ends, hashes, np.searchsorted(starts, bounds))
 
 
 def windows(s: Slice, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
