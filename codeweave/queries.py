@@ -1,14 +1,226 @@
-"""Registered queries of the code-evidence operators and their oracle SQL."""
+"""Registered queries of the code-evidence operators and their oracle SQL.
+
+Most run on the corpus derived from ``part`` (plans/corpus.py); the SQL derives what must come out from the columns of
+``part``, never from the text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import chains, extract, inventory, link
+from .plans.corpus import part_corpus
+from .plans.materialise import cut
+from .plans.star_graph import star_graph
+from .sources import files as sources
+
+_P = "p AS (SELECT p_partkey AS k, replace(p_brand, 'Brand#', 'b') AS b, 'ws' || (p_partkey % 5) AS ws, p_size, p_name FROM part)"
+_ACT = "'src/' || b || '/Api/P' || k || 'Controller.cs'"
+_SVC = "'src/' || b || '/Core/P' || k || 'Service.cs'"
+_REPO = "'src/' || b || '/Data/P' || k || 'Repository.cs'"
+_WEB = "'web/' || b || '/p' || k"
+_API = "CASE k % 4 WHEN 0 THEN 'GET /api/' || b || '/P' || k || '/{id}' WHEN 1 THEN 'POST /api/' || b || '/P' || k || '/save' WHEN 2 THEN 'PUT /api/' || b || '/P' || k ELSE 'DELETE /api/' || b || '/P' || k || '/{id}/{rev}' END"
+_CALL = "CASE k % 4 WHEN 0 THEN 'GET /api/' || b || '/P' || k || '/' || p_size WHEN 1 THEN 'POST /api/' || b || '/P' || k || '/save' WHEN 2 THEN 'PUT /v2/api/' || b || '/P' || k ELSE 'DELETE /api/' || b || '/P' || k || '/1' END"
+_MATCH = f"""SELECT ws AS workspace_id, {_WEB} || '.service.ts::load' || k AS frontend, {_ACT} || '::Act' || k AS handler,
+       CASE WHEN k % 4 = 1 THEN 'exact' ELSE 'template' END AS match,
+       'frontendApi=' || {_CALL} || ';backendApi=' || {_API} || ';match=' || CASE WHEN k % 4 = 1 THEN 'exact' ELSE 'template' END || ';controller=P' || k || 'Controller' AS metadata
+  FROM p WHERE k % 4 <> 3"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.indexable(part_corpus(spark, sf_dir))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as plain files of mixed extensions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".cs", ".sql", ".ts", ".tsx", ".html", ".json", ".md", ".bin")]), (F.col("doc_id") % 8 + 1).cast("int"))
+    path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), ext)
+    return docs.select(F.col("source").alias("workspace_id"), path.alias("relative_path"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"), "doc_id")
+
+
+_DOCS = "d AS (SELECT source AS workspace_id, lang || '/' || doc_id || (['.cs','.sql','.ts','.tsx','.html','.json','.md','.bin'])[doc_id % 8 + 1] AS relative_path, text, doc_id, (['csharp','sql','typescript','typescript','html','json','markdown','unknown'])[doc_id % 8 + 1] AS language_id FROM documents)"
+_HASH = "CASE language_id WHEN 'csharp' THEN 'csharp-analysis-v2:' ELSE 'analysis-v1:' END || upper(sha256(text))"
+
+
+def _edges(spark: SparkSession, sf_dir: str, *extensions: str) -> DataFrame:
+    wanted = {e: f for e, f in extract.EXTRACTORS.items() if not extensions or set(e) & set(extensions)}
+    return extract.extract_evidence(_files(spark, sf_dir), wanted)[1]
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = _files(spark, sf_dir)
+    symbols, edges = extract.extract_evidence(files)
+    symbols, edges = cut(symbols), cut(edges)
+    return files, symbols, cut(link.linked(edges, symbols))
+
+
+def _of(edges: DataFrame, *kinds: str) -> DataFrame:
+    return edges.where(F.col("relationship_kind").isin(*kinds)).select("workspace_id", "source_kind", "source_identifier", "relationship_kind", "target_kind", "target_identifier", "metadata")
+
+
+@query(f"WITH {_P}, f AS (SELECT ws AS workspace_id, unnest([{_ACT}, {_SVC}, {_REPO}, 'src/' || b || '/Di/P' || k || 'Registration.cs', 'sql/' || b || '/GetP' || k || '.sql', {_WEB} || '.service.ts', {_WEB} || '.component.html', {_WEB} || '.component.ts'] || CASE WHEN k % 10 = 0 THEN ['src/' || b || '/P' || k || '.Tests/P' || k || 'Tests.cs'] ELSE [] END) AS relative_path FROM p) SELECT workspace_id, relative_path, CASE WHEN relative_path LIKE '%.cs' THEN 'csharp' WHEN relative_path LIKE '%.sql' THEN 'sql' WHEN relative_path LIKE '%.ts' THEN 'typescript' ELSE 'html' END AS language_id, 'parsed' AS parse_status FROM f")
+def s2_indexable_files(spark, sf_dir):
+    return _files(spark, sf_dir).select("workspace_id", "relative_path", "language_id", "parse_status")
+
+
+@query(f"WITH {_DOCS} SELECT workspace_id, relative_path, language_id, {_HASH} AS content_hash FROM d WHERE octet_length(encode(text)) <= 1048576")
+def s6_fingerprints(spark, sf_dir):
+    return sources.indexable(_documents(spark, sf_dir)).select("workspace_id", "relative_path", "language_id", "content_hash")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'symbol' AS source_kind, {_WEB} || '.service.ts::load' || k AS source_identifier, 'calls_api' AS relationship_kind, 'api' AS target_kind, {_CALL} AS target_identifier, 'line=4' AS metadata FROM p")
+def x11_calls_api(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".ts"), "calls_api")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'symbol' AS source_kind, {_WEB} || '.component.ts::go' || k AS source_identifier, 'navigates_to' AS relationship_kind, 'route' AS target_kind, '/p/' || k AS target_identifier, 'line=4' AS metadata FROM p UNION ALL SELECT ws, 'symbol', {_WEB} || '.component.ts::go' || k, 'calls_method', 'method', {_WEB} || '.component.ts::api.load' || k, 'line=3' FROM p")
+def x12_x14_client_edges(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".ts"), "navigates_to", "calls_method")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'ui-event' AS source_kind, {_WEB} || '.component.html::click:go' || k AS source_identifier, 'invokes_handler' AS relationship_kind, 'method' AS target_kind, {_WEB} || '.component.html::go' || k AS target_identifier, 'line=1' AS metadata FROM p")
+def x15_template_events(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".html"), "invokes_handler")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'procedure' AS source_kind, 'dbo.GetP' || k AS source_identifier, r.kind AS relationship_kind, 'database-table' AS target_kind, 'dbo.' || r.t || (k % 50) AS target_identifier, 'source=tsql' AS metadata FROM p, (VALUES ('writes_table', 'Audit'), ('reads_table', 'Audit'), ('reads_table', 'Part')) r(kind, t)")
+def x17_procedure_tables(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".sql"), "reads_table", "writes_table")
+
+
+@query(f"WITH {_P}, c AS (SELECT ws, {_ACT} || '::P' || k || 'Controller' AS s, 'ControllerBase' AS base, 'IP' || k || 'Service' AS dep FROM p UNION ALL SELECT ws, {_SVC} || '::P' || k || 'Service', 'IP' || k || 'Service', 'IP' || k || 'Repository' FROM p UNION ALL SELECT ws, {_REPO} || '::P' || k || 'Repository', 'IP' || k || 'Repository', 'ShopDbContext' FROM p) SELECT ws AS workspace_id, s AS source_identifier, 'inherits_from' AS relationship_kind, base AS target_identifier FROM c UNION ALL SELECT ws, s, 'depends_on', dep FROM c")
+def x20_x23_class_edges(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".cs"), "inherits_from", "depends_on").select("workspace_id", "source_identifier", "relationship_kind", "target_identifier")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, {_ACT} || '::Act' || k AS source_identifier, 'IP' || k || 'Service.Load' || k AS target_identifier, 'receiver=_svc' AS metadata FROM p UNION ALL SELECT ws, {_SVC} || '::Load' || k, 'IP' || k || 'Repository.Fetch' || k, 'receiver=_repo' FROM p UNION ALL SELECT ws, {_SVC} || '::Load' || k, {_SVC} || '::Audit' || k, 'receiver=this;direct=true' FROM p")
+def x25_x26_method_calls(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".cs"), "calls_method").select("workspace_id", "source_identifier", "target_identifier", "metadata")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, {_REPO} || '::Fetch' || k AS source_identifier, 'executes_procedure' AS relationship_kind, 'dbo.GetP' || k AS target_identifier FROM p WHERE k % 2 = 0 UNION ALL SELECT ws, {_REPO} || '::Fetch' || k, 'writes_table', {_REPO} || '::Parts' FROM p WHERE k % 2 = 1 UNION ALL SELECT ws, {_REPO} || '::Fetch' || k, 'saves_changes', 'ShopDbContext' FROM p WHERE k % 2 = 1")
+def x27_x31_data_access(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".cs"), "executes_procedure", "writes_table", "reads_table", "saves_changes").select("workspace_id", "source_identifier", "relationship_kind", "target_identifier")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'symbol' AS source_kind, {_ACT} || '::Act' || k AS source_identifier, 'handles_api' AS relationship_kind, 'api' AS target_kind, {_API} AS target_identifier, 'controller=P' || k || 'Controller' AS metadata FROM p UNION ALL SELECT ws, 'api', {_API}, 'handled_by', 'method', {_ACT} || '::Act' || k, 'controller=P' || k || 'Controller' FROM p")
+def x33_mvc_endpoints(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".cs"), "handles_api", "handled_by")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'IP' || k || 'Service' AS source_identifier, 'P' || k || 'Service' AS target_identifier, 'lifetime=Scoped' AS metadata FROM p UNION ALL SELECT ws, 'IP' || k || 'Repository', 'P' || k || 'Repository', CASE WHEN k % 7 = 0 THEN 'lifetime=Scoped;key=main' ELSE 'lifetime=Scoped' END FROM p")
+def x37_registrations(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".cs"), "implemented_by").select("workspace_id", "source_identifier", "target_identifier", "metadata")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, {_ACT} || '::azure-service-reference' AS source_identifier, 'Azure Blob Storage' AS target_identifier FROM p WHERE k % 3 = 0 UNION ALL SELECT ws, 'src/' || b || '/P' || k || '.Tests/P' || k || 'Tests.cs::azure-service-reference', 'Azure Blob Storage' FROM p WHERE k % 10 = 0")
+def x38_azure_services(spark, sf_dir):
+    return _of(_edges(spark, sf_dir, ".cs"), "uses_azure_service").select("workspace_id", "source_identifier", "target_identifier")
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, {_WEB} || '.component.html::click:go' || k AS source_identifier, {_WEB} || '.component.ts::go' || k AS target_identifier, 'resolved=true' AS metadata FROM p")
+def l1_template_handlers(spark, sf_dir):
+    symbols, edges = extract.extract_evidence(_files(spark, sf_dir), {e: f for e, f in extract.EXTRACTORS.items() if ".ts" in e or ".html" in e})
+    return link.resolve_template_handlers(edges, symbols).select("workspace_id", "source_identifier", "target_identifier", "metadata")
+
+
+@query(f"WITH {_P} {_MATCH}")
+def l4_backend_matches(spark, sf_dir):
+    found = link.match_backend_handlers(cut(_edges(spark, sf_dir, ".ts", ".cs")))
+    return inventory.list_flows(found, limit=1 << 30)
+
+
+@query(f"WITH {_P}, m AS ({_MATCH}), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY frontend, handler, metadata) AS n FROM m) SELECT workspace_id, frontend, handler, match, metadata FROM r WHERE n <= 50")
+def q16_list_flows(spark, sf_dir):
+    return inventory.list_flows(link.match_backend_handlers(cut(_edges(spark, sf_dir, ".ts", ".cs"))))
+
+
+@query(f"WITH {_P}, a AS (SELECT ws AS workspace_id, {_API} AS api, {_ACT} || '::Act' || k AS handler, 'controller=P' || k || 'Controller' AS metadata FROM p WHERE k % 4 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY api, handler) AS n FROM a) SELECT workspace_id, api, handler, metadata FROM r WHERE n <= 50")
+def q7_list_apis(spark, sf_dir):
+    return inventory.list_apis(_edges(spark, sf_dir, ".cs"), verb="get")
+
+
+@query(f"WITH {_P}, a AS (SELECT ws AS workspace_id, 'Azure Blob Storage' AS service, {_ACT} || '::azure-service-reference' AS source, 1 AS n FROM p WHERE k % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY service, source) AS i FROM a) SELECT workspace_id, service, source, CAST(n AS BIGINT) AS n FROM r WHERE i <= 50")
+def q8_azure_services(spark, sf_dir):
+    return inventory.list_azure_services(_edges(spark, sf_dir, ".cs"))
+
+
+@query(f"WITH {_DOCS}, r AS (SELECT workspace_id, relative_path, language_id, row_number() OVER (PARTITION BY workspace_id ORDER BY relative_path) AS n FROM d WHERE language_id = 'typescript') SELECT workspace_id, relative_path, language_id FROM r WHERE n <= 200")
+def q2_list_files(spark, sf_dir):
+    return inventory.list_files(sources.indexable(_documents(spark, sf_dir)), language="typescript").select("workspace_id", "relative_path", "language_id")
+
+
+@query(f"WITH {_DOCS}, a AS (SELECT workspace_id, relative_path, {_HASH} AS h FROM d WHERE doc_id % 10 < 9), b AS (SELECT workspace_id, relative_path, CASE language_id WHEN 'csharp' THEN 'csharp-analysis-v2:' ELSE 'analysis-v1:' END || upper(sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END)) AS h FROM d) SELECT b.workspace_id, b.relative_path FROM b LEFT JOIN a ON a.workspace_id = b.workspace_id AND lower(a.relative_path) = lower(b.relative_path) WHERE a.h IS NULL OR a.h <> b.h")
+def i1_changed_files(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    stored = sources.indexable(docs.where("doc_id % 10 < 9")).withColumn("is_deleted", F.lit(False))
+    edited = docs.withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return sources.changed_files(sources.indexable(edited), stored).select("workspace_id", "relative_path")
+
+
+@query(f"WITH {_DOCS} SELECT workspace_id, relative_path, doc_id % 3 = 0 AS is_deleted FROM d")
+def i3_soft_delete(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    stored = docs.withColumn("is_deleted", F.lit(False))
+    return sources.soft_delete_missing(stored, docs.where("doc_id % 3 <> 0")).select("workspace_id", "relative_path", "is_deleted")
+
+
+@query()
+def q19_workspace_summary(spark, sf_dir):
+    return inventory.workspace_summary(*_evidence(spark, sf_dir))
+
+
+@query()
+def o1_o6_overview(spark, sf_dir):
+    files, _, edges = _evidence(spark, sf_dir)
+    return inventory.overview(files, edges)
+
+
+@query()
+def q17_backend_listing(spark, sf_dir):
+    return inventory.backend_listing(_edges(spark, sf_dir, ".cs", ".sql"))
+
+
+@query()
+def q10_u3_u4_explorer(spark, sf_dir):
+    rows = inventory.explorer_relationships(_edges(spark, sf_dir, ".cs", ".sql"), "backend")
+    return inventory.evidence_quality(inventory.occurrences(rows))
+
+
+@query("WITH kinds AS (SELECT 'ws0' AS workspace_id, * FROM (VALUES ('relationship_kind', 'matches_backend_handler'), ('relationship_kind', 'calls_method'), ('relationship_kind', 'implemented_by'), ('relationship_kind', 'contains_symbol'), ('relationship_kind', 'reads_table'), ('relationship_kind', 'uses_azure_service'), ('source_kind', 'symbol'), ('source_kind', 'service'), ('source_kind', 'file'), ('target_kind', 'symbol'), ('target_kind', 'method'), ('target_kind', 'class'), ('target_kind', 'database-table'), ('target_kind', 'azure-service')) v(facet, value)) SELECT * FROM kinds")
+def u1_facets(spark, sf_dir):
+    return inventory.facet_values(star_graph(spark, sf_dir))
+
+
+@query("SELECT 'ws0' AS workspace_id, 'dbo.Supp' || l_suppkey AS title, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey QUALIFY row_number() OVER (ORDER BY count(DISTINCT l_partkey) DESC, 'dbo.Supp' || l_suppkey) <= 10")
+def o5_data_touchpoints(spark, sf_dir):
+    files = spark.createDataFrame([], "workspace_id string, relative_path string, language_id string")
+    return inventory.overview(files, star_graph(spark, sf_dir)).where("section = 'data'").select("workspace_id", "title", "n")
+
+
+@query(f"WITH {_P}, n AS (SELECT ws AS workspace_id, {_WEB} || '.service.ts::load' || k || ' -> ' || {_ACT} || '::Act' || k AS start, CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END AS chains, row_number() OVER (PARTITION BY ws ORDER BY {_WEB} || '.service.ts::load' || k) AS i FROM p WHERE k % 4 <> 3) SELECT workspace_id, start, CAST(chains AS BIGINT) AS chains FROM n WHERE i <= 80")
+def g3_flow_chains(spark, sf_dir):
+    _, _, edges = _evidence(spark, sf_dir)
+    paths = chains.expand_chains(chains.chain_starts(edges), chains.next_steps(edges))
+    return chains.format_chains(paths).groupBy("workspace_id", "start").agg(F.count("*").alias("chains"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.range(0)
+    return q16_list_flows(spark, "/root/testdata/sf0.001")
