@@ -6,16 +6,16 @@ group of the first collection with one of the second, so ``groups ** 2`` tables
 0.9994 at 0.8 with the defaults. Candidates are confirmed on full shingle sets.
 
 Texts of the same shingle set form one class, so that copies cost one pre-aggregated minimum. Classes sharing a key
-are not paired with each other: each is checked against the key's centre (the class that shares most keys overall).
-Classes that differ from their centre try again among themselves with the next centre; what is still unresolved after
-``star_rounds`` is compared pair by pair within its key, so no link between different texts is dropped.
+are not paired with each other: each is checked against the key's centre (the class that shares most keys overall),
+then the next one, unless links have joined them meanwhile. What ``star_rounds`` leave in different components though
+it shares a key is joined exactly on its rarest shingles, so no link between different texts is dropped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -70,7 +70,7 @@ def _sets(shingle: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity_pct: int = 80, groups: int = 8, rows: int = 2, star_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity_pct: int = 80, groups: int = 8, rows: int = 2, star_rounds: int = 1) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
 
     Linked are texts with 100 * intersection >= similarity_pct * union of their distinct shingles; component_id is
@@ -86,49 +86,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity_pct: int = 80,
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", "a", "b")).alias("m"))
     classes = scratch.cut(classes.select("h1", "h2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.a", "m.b"))
 
-    members = scratch.cut(_key_members(classes))
-    sizes = classes.select(F.col("rep"), F.col("n_shingles").alias("n"))
-    sets = None
-    links, tried = [], None
-    for turn in range(star_rounds + 1):
-        if turn < star_rounds:
-            pairs = _with_centres(members)
-        else:
-            pairs = members.alias("x").join(members.alias("y"), "key").where("x.rep < y.rep").select("key", F.col("x.rep").alias("rep"), F.col("y.rep").alias("centre"))
-        pairs = pairs.join(sizes, "rep").join(sizes.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre")), "centre")
-        pairs = scratch.cut(pairs)
-        possible = pairs.where(f"100 * least(n, n_centre) >= {similarity_pct} * greatest(n, n_centre)").select("rep", "centre", "n", "n_centre").distinct()
-        if tried is not None:
-            possible = possible.join(tried.select("rep", "centre"), ["rep", "centre"], "left_anti")
-        possible = scratch.cut(possible)
-        if possible.isEmpty() and pairs.isEmpty():
-            break
-        wanted = possible.select(F.col("rep").alias("doc_id")).union(possible.select(F.col("centre").alias("doc_id"))).distinct()
-        n_wanted = wanted.count()
-        if n_wanted:
-            sets = keep_ids(texts, wanted, n_wanted)
-            sets = sets.mapInArrow(_sets(shingle), "doc_id bigint, shingles array<bigint>")
-            checked = possible.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s1")), "rep")
-            checked = checked.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("s2")), "centre")
-            common = F.size(F.array_intersect("s1", "s2"))
-            linked = (100 * common >= similarity_pct * (F.size("s1") + F.size("s2") - common)).alias("linked")
-            checked = scratch.cut(checked.select("rep", "centre", linked).groupBy("rep", "centre").agg(F.max("linked").alias("linked")))
-            links.append(checked.where("linked").select("rep", "centre"))
-            tried = checked if tried is None else scratch.cut(tried.unionByName(checked))
-        if turn == star_rounds or tried is None:
-            break
-        left = pairs.join(tried.where("linked"), ["rep", "centre"], "left_anti").select("key", "rep")
-        left = members.join(left, ["key", "rep"], "left_semi")
-        shared = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        after = scratch.cut(left.join(shared, "key"))
-        scratch.drop(members)
-        members = after
-        if members.isEmpty():
-            break
-
-    edges = _union(links) if links else sizes.limit(0).select("rep", F.col("rep").alias("centre"))
-    found = components(edges.select(F.col("rep").alias("u"), F.col("centre").alias("v")), scratch)
-    found = found.select(F.col("node").alias("rep"), "component")
+    groups_of = scratch.cut(_shared_groups(classes))
+    check = _Check(texts, classes, shingle, similarity_pct, scratch)
+    # the key of a class's two most common groups, then all keys of one class per component, join most copies; of all
+    # keys of all classes only those that still span components are taken up
+    check.stars(_keys(groups_of, top_only=True), rounds=1)
+    roots = groups_of.join(check.components(), "rep", "left").where("component is null or component = rep").drop("component")
+    check.stars(_keys(roots), rounds=1)
+    spread = groups_of.join(check.components(), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_keys = _keys(spread).groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    check.stars(_keys(spread).join(scratch.cut(open_keys), "key", "left_semi").select("key", "rep", "shared"), rounds=star_rounds, rest=True)
+
+    found = check.components()
     labelled = classes.join(found, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     labelled = labelled.withColumnRenamed("n_shingles", "n")
     out = sig.join(labelled, (sig.h1 == labelled.h1) & (sig.h2 == labelled.h2) & (sig.n_shingles == labelled.n) & sig.doc_id.isNotNull() & (sig.n_shingles > 0), "left")
@@ -136,32 +105,102 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity_pct: int = 80,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def _key_members(classes: DataFrame) -> DataFrame:
-    """``(key, rep, shared)``: table keys of the classes whose groups another class has too, in both collections."""
+class _Check:
+    """Confirms candidates on full shingle sets and remembers what was compared."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, shingle: int, similarity_pct: int, scratch: Scratch):
+        self.texts, self.shingle, self.pct, self.scratch = texts, shingle, similarity_pct, scratch
+        self.sizes = classes.select("rep", F.col("n_shingles").alias("n"))
+        self.tried: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Adds ``pairs(rep, centre)`` that weren't compared before to ``tried(rep, centre, linked)``."""
+        pairs = pairs.distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried.select("rep", "centre"), ["rep", "centre"], "left_anti")
+        sized = pairs.join(self.sizes, "rep").join(self.sizes.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre")), "centre")
+        possible = f"100 * least(n, n_centre) >= {self.pct} * greatest(n, n_centre)"
+        pairs = self.scratch.cut(sized.select("rep", "centre", F.expr(possible).alias("possible")))
+        possible = pairs.where("possible").select("rep", "centre")
+        wanted = self.scratch.cut(possible.select(F.col("rep").alias("doc_id")).union(possible.select(F.col("centre").alias("doc_id"))).distinct())
+        sets = keep_ids(self.texts, wanted, wanted.count()).mapInArrow(_sets(self.shingle), "doc_id bigint, shingles array<bigint>")
+        checked = possible.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s1")), "rep")
+        checked = checked.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("s2")), "centre")
+        common = F.size(F.array_intersect("s1", "s2"))
+        linked = 100 * common >= self.pct * (F.size("s1") + F.size("s2") - common)
+        checked = checked.select("rep", "centre", linked.alias("linked")).groupBy("rep", "centre").agg(F.max("linked").alias("linked"))
+        checked = checked.unionByName(pairs.where("not possible").select("rep", "centre", F.lit(False).alias("linked")))
+        self.tried = self.scratch.cut(checked if self.tried is None else self.tried.unionByName(checked))
+
+    def stars(self, members: DataFrame, rounds: int, rest: bool = False) -> None:
+        """Compares the members of each key with its centre, then, without it, with the next centre, ``rounds`` times.
+
+        Members that links join with the centre already need no comparison, and keys within one component are done.
+        With ``rest``, the members of keys that are still open are then joined exactly (see ``rest``).
+        """
+        for turn in range(rounds + rest):
+            found = self.components()
+            members = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+            members = self.scratch.cut(members.join(self.scratch.cut(open_keys), "key", "left_semi"))
+            if members.isEmpty():
+                return
+            if turn == rounds:
+                self.rest(members.select("rep", "component").distinct())
+                return
+            order = F.struct((-F.col("shared")).alias("p"), F.xxhash64("rep").alias("h"), "rep", "component")
+            centres = self.scratch.cut(members.groupBy("key").agg(F.min(order).alias("m")).select("key", F.col("m.rep").alias("centre"), F.col("m.component").alias("c")))
+            pairs = self.scratch.cut(members.join(centres, "key").where("rep <> centre"))
+            self.compare(pairs.where("component <> c").select("rep", "centre"))
+            members = pairs.select("key", "rep", "shared")
+
+    def rest(self, left: DataFrame) -> None:
+        """Compares all pairs of ``left(rep, component)`` that can be similar enough but are not of one component.
+
+        Two such sets share one of their rarest shingles: of n shingles those but for the n - ceil(n * similarity) + 1
+        rarest can be missed in any pair of that similarity. What is left of both sets from their first common shingle on
+        must still be enough for the overlap. Passages that many texts share are not rare, so they
+        make no pairs.
+        """
+        left = self.scratch.cut(left)
+        sets = keep_ids(self.texts, left.select(F.col("rep").alias("doc_id")), left.count()).mapInArrow(_sets(self.shingle), "doc_id bigint, shingles array<bigint>")
+        each = self.scratch.cut(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("s")).distinct())
+        often = each.groupBy("s").agg(F.count("*").alias("f"))
+        rarest = Window.partitionBy("rep").orderBy("f", "s")
+        kept = each.join(often, "s").withColumn("i", F.row_number().over(rarest)).where(f"i <= n - ceil(n * {self.pct} / 100) + 1 and f > 1")
+        kept = self.scratch.cut(kept.join(left, "rep").select("s", "rep", "n", "i", "component"))
+        open_ = kept.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("s")
+        kept = self.scratch.cut(kept.join(open_, "s", "left_semi"))
+        other = kept.select("s", F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("component").alias("c"))
+        near = f"100 * least(n, n2) >= {self.pct} * greatest(n, n2) and {100 + self.pct} * (1 + least(n - i, n2 - i2)) >= {self.pct} * (n + n2)"
+        self.compare(kept.join(other, "s").where("rep < centre and component <> c").where(near).select("rep", "centre"))
+
+    def components(self) -> DataFrame:
+        if self.tried is None:
+            return self.sizes.limit(0).select("rep", F.col("rep").alias("component"))
+        edges = self.tried.where("linked").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
+        return self.scratch.cut(components(edges, self.scratch).select(F.col("node").alias("rep"), "component"))
+
+
+def _shared_groups(classes: DataFrame) -> DataFrame:
+    """``(rep, shared, a, b)``: the hash groups that another class has too, of classes with some in both collections."""
     one = lambda col, side: classes.select("rep", F.posexplode(col).alias("i", "value")).withColumn("side", F.lit(side))
     groups = one("a", 0).unionByName(one("b", 1))
     common = groups.groupBy("side", "i", "value").agg(F.count("*").alias("c")).where("c > 1")
-    group = F.struct("i", "value")
+    group = F.struct((-F.col("c")).alias("few"), "i", "value")
     by_class = groups.join(common, ["side", "i", "value"]).groupBy("rep").agg(
         F.sum(F.col("c") - 1).alias("shared"),
-        F.collect_list(F.when(F.col("side") == 0, group)).alias("a"),
-        F.collect_list(F.when(F.col("side") == 1, group)).alias("b"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == 0, group))).alias("a"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == 1, group))).alias("b"),
     )
-    tables = by_class.select("rep", "shared", F.explode("a").alias("x"), "b").select("rep", "shared", "x", F.explode("b").alias("y"))
-    keys = tables.select("rep", "shared", F.xxhash64("x.i", "x.value", "y.i", "y.value").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return keys.join(shared, "key").select("key", "rep", "shared")
+    return by_class.where("size(a) > 0 and size(b) > 0")
 
 
-def _with_centres(members: DataFrame) -> DataFrame:
-    """``(key, rep, centre)``: each member but the centre of its key."""
-    order = F.struct((-F.col("shared")).alias("p"), F.xxhash64("rep").alias("h"), F.col("rep"))
-    centres = members.groupBy("key").agg(F.min(order).alias("m")).select("key", F.col("m.rep").alias("centre"))
-    return members.join(centres, "key").where("rep <> centre").select("key", "rep", "centre")
+def _keys(groups_of: DataFrame, top_only: bool = False) -> DataFrame:
+    """``(key, rep, ...)``: a row for each pair of a class's groups, or for its most common ones only."""
+    others = [c for c in groups_of.columns if c not in ("a", "b")]
+    if top_only:
+        pairs = groups_of.select(*others, F.get("a", F.lit(0)).alias("x"), F.get("b", F.lit(0)).alias("y"))
+    else:
+        pairs = groups_of.select(*others, F.explode("a").alias("x"), "b").select(*others, "x", F.explode("b").alias("y"))
+    return pairs.select(*others, F.xxhash64("x.i", "x.value", "y.i", "y.value").alias("key"))
