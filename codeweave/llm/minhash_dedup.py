@@ -112,6 +112,8 @@ class _Check:
         self.texts, self.shingle, self.pct, self.scratch = texts, shingle, similarity_pct, scratch
         self.sizes = classes.select("rep", F.col("n_shingles").alias("n"))
         self.tried: DataFrame | None = None
+        self.fresh: DataFrame | None = None
+        self.found = self.sizes.limit(0).select("rep", F.col("rep").alias("component"))
 
     def compare(self, pairs: DataFrame) -> None:
         """Adds ``pairs(rep, centre)`` that weren't compared before to ``tried(rep, centre, linked)``."""
@@ -130,7 +132,9 @@ class _Check:
         linked = 100 * common >= self.pct * (F.size("s1") + F.size("s2") - common)
         checked = checked.select("rep", "centre", linked.alias("linked")).groupBy("rep", "centre").agg(F.max("linked").alias("linked"))
         checked = checked.unionByName(pairs.where("not possible").select("rep", "centre", F.lit(False).alias("linked")))
-        self.tried = self.scratch.cut(checked if self.tried is None else self.tried.unionByName(checked))
+        checked = self.scratch.cut(checked)
+        self.tried = checked if self.tried is None else self.tried.unionByName(checked)
+        self.fresh = checked if self.fresh is None else self.fresh.unionByName(checked)
 
     def stars(self, members: DataFrame, rounds: int, rest: bool = False) -> None:
         """Compares the members of each key with its centre, then, without it, with the next centre, ``rounds`` times.
@@ -176,10 +180,13 @@ class _Check:
         self.compare(kept.join(other, "s").where("rep < centre and component <> c").where(near).select("rep", "centre"))
 
     def components(self) -> DataFrame:
-        if self.tried is None:
-            return self.sizes.limit(0).select("rep", F.col("rep").alias("component"))
-        edges = self.tried.where("linked").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
-        return self.scratch.cut(components(edges, self.scratch).select(F.col("node").alias("rep"), "component"))
+        """``(rep, component)`` of linked classes: links found since the last call are added to its components."""
+        if self.fresh is not None:
+            edges = self.fresh.where("linked").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
+            edges = edges.unionByName(self.found.select(F.col("rep").alias("u"), F.col("component").alias("v")))
+            self.found = self.scratch.cut(components(edges, self.scratch).select(F.col("node").alias("rep"), "component"))
+            self.fresh = None
+        return self.found
 
 
 def _shared_groups(classes: DataFrame) -> DataFrame:
