@@ -213,3 +213,35 @@ def trace_entries(relationships: DataFrame, limit: int = 1000) -> DataFrame:
     first = Window.partitionBy("workspace_id", F.lower("entry")).orderBy("section", "entry")
     unique = apis.unionByName(methods).withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_")
     return take(unique, limit, "section", "entry")
+
+
+def explorer_files(files: DataFrame, text: str | None = None, limit: int = 200) -> DataFrame:
+    """Q9: files whose path, language or status contains ``text``."""
+    found = exclude_test_files(files).where(has("relative_path", text) | has("language_id", text) | has("parse_status", text))
+    return take(found, limit, "relative_path").select("workspace_id", F.col("relative_path").alias("title"), F.concat_ws(" ", "language_id", "parse_status").alias("subtitle"), F.col("relative_path").alias("file_path"), top_level_folder(F.col("relative_path")).alias("folder"))
+
+
+def lookup_evidence(listed: DataFrame, relationships: DataFrame, selected: DataFrame, key: tuple[str, ...] = ("workspace_id", "source_identifier", "relationship_kind", "target_identifier")) -> DataFrame:
+    """Q11: selected rows that the listing lacks, in front of it (``place`` 0, the listing's rows 1)."""
+    picked = relationships.join(selected.select(*key).distinct(), list(key), "left_semi").join(listed.select(*key).distinct(), list(key), "left_anti")
+    return picked.select(listed.columns).withColumn("place", F.lit(0)).unionByName(listed.withColumn("place", F.lit(1)))
+
+
+def filter_evidence(rows: DataFrame, text: str | None = None, path: str | None = None, relationship_kind: str | None = None, quality: str | None = None) -> DataFrame:
+    """Rows that hold for every filter given; ``text`` may be in any of the string columns."""
+    strings = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    same = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False)) if v else F.lit(True)
+    return rows.where(has(F.concat_ws(" ", *strings), text) & has("file_path", path) & same("relationship_kind", relationship_kind) & same("quality", quality))
+
+
+def starting_points(sections: DataFrame) -> DataFrame:
+    """Of ``overview`` the sections flow, api, data, azure and folder, with the sum of their scores."""
+    wanted = sections.where("section in ('flow', 'api', 'data', 'azure', 'folder')")
+    return wanted.groupBy("workspace_id", "section").agg(F.sum("n").alias("score"))
+
+
+def overview_totals(sections: DataFrame) -> DataFrame:
+    """Per workspace the first four technologies and the number of listed APIs, flows, data and cloud services."""
+    technology = F.array_sort(F.collect_list(F.when(F.col("section") == "technology", F.struct((-F.col("n")).alias("n"), "title"))))
+    size = lambda s: F.count_if(F.col("section") == s).alias(f"n_{s}")
+    return sections.groupBy("workspace_id").agg(F.array_join(F.transform(F.slice(technology, 1, 4), lambda x: x["title"]), ", ").alias("technologies"), size("api"), size("flow"), size("data"), size("azure"))

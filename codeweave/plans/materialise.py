@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in shared storage: computed once, however often it is read, and safe from lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in shared storage; a temporary one only where none is configured (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="codeweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/evidence-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in shared storage: computed once, however often it is read, and safe from lost executors."""
+    path = shared_folder(df.sparkSession, "evidence")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chains, extract, inventory, link
+from .operators import chains, extract, inventory, link, runtime
 from .plans.corpus import part_corpus
-from .plans.materialise import cut
+from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
 from .sources import files as sources
+from .streaming.incremental import index_stream, latest
 
 _P = "p AS (SELECT p_partkey AS k, replace(p_brand, 'Brand#', 'b') AS b, 'ws' || (p_partkey % 5) AS ws, p_size, p_name FROM part)"
 _ACT = "'src/' || b || '/Api/P' || k || 'Controller.cs'"
@@ -49,7 +50,11 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as plain files of mixed extensions."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    return _as_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _as_files(docs: DataFrame) -> DataFrame:
+    docs = docs.where("doc_id is not null")
     ext = F.element_at(F.array(*[F.lit(x) for x in (".cs", ".sql", ".ts", ".tsx", ".html", ".json", ".md", ".bin")]), (F.col("doc_id") % 8 + 1).cast("int"))
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), ext)
     return docs.select(F.col("source").alias("workspace_id"), path.alias("relative_path"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"), "doc_id")
@@ -222,5 +227,67 @@ def g3_flow_chains(spark, sf_dir):
     return chains.format_chains(paths).groupBy("workspace_id", "start").agg(F.count("*").alias("chains"))
 
 
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'api-entry' AS category, least(95, 65 + count(*)) AS confidence FROM p GROUP BY ws UNION ALL SELECT ws, 'cross-stack-entry', least(95, 70 + count(*)) FROM p WHERE k % 4 <> 3 GROUP BY ws")
+def r1_entry_points(spark, sf_dir):
+    edges = cut(_edges(spark, sf_dir, ".ts", ".cs"))
+    return runtime.entry_points(_files(spark, sf_dir), edges.select(*link.RELATION).unionByName(link.match_backend_handlers(edges))).select("workspace_id", "category", "confidence")
+
+
+@query("SELECT 'api/O' || l_orderkey || '.cs::Act' AS start, count(*) AS hops, min(first) AS first, min(last) AS last FROM (SELECT l_orderkey, min('IPart' || l_partkey || '.Load') AS first FROM lineitem GROUP BY 1) a CROSS JOIN (SELECT min('dbo.Supp' || l_suppkey) AS last FROM lineitem) b CROSS JOIN (VALUES (1), (2)) GROUP BY l_orderkey")
+def r2_downstream(spark, sf_dir):
+    graph = star_graph(spark, sf_dir)
+    starts = graph.where("relationship_kind = 'calls_method'").select("workspace_id", F.col("source_identifier").alias("start")).distinct()
+    return runtime.downstream_steps(graph, starts).groupBy("start").agg(F.count("*").alias("hops"), F.min_by("at", "hop").alias("first"), F.max_by("at", "hop").alias("last"))
+
+
+_FLOWS = f"""SELECT ws AS workspace_id, 'cross-stack' AS category, {_WEB} || '.service.ts::load' || k AS source, {_ACT} || '::Act' || k AS target, 95 AS confidence, 8 - k % 2 AS n_steps FROM p WHERE k % 4 <> 3
+       UNION ALL SELECT ws, 'backend-api', {_ACT} || '::Act' || k, {_API}, 80, 5 FROM p WHERE k % 4 = 3
+       UNION ALL SELECT ws, 'ui-interaction', {_WEB} || '.component.html::click:go' || k, {_WEB} || '.component.html::go' || k, 78 - 4 * (k % 2), 6 - k % 2 FROM p
+       UNION ALL SELECT ws, 'ui-interaction', {_WEB} || '.component.html::click:go' || k, {_WEB} || '.component.ts::go' || k, 82 - 4 * (k % 2), 7 - k % 2 FROM p"""
+
+
+@query(f"WITH {_P} {_FLOWS}")
+def r6_runtime_flows(spark, sf_dir):
+    flows = runtime.runtime_flows(_evidence(spark, sf_dir)[2], limit=1 << 30)
+    return flows.select("workspace_id", "category", "source", "target", "confidence", F.size("steps").alias("n_steps"))
+
+
+@query(f"WITH {_P}, f AS ({_FLOWS}) SELECT workspace_id, 2 AS entry_points, count(*) AS flows, count_if(category <> 'ui-interaction') AS reach_api, count(*) AS reach_backend, count(*) AS reach_data, 0 AS reach_cloud FROM f GROUP BY workspace_id")
+def r14_runtime_coverage(spark, sf_dir):
+    files, _, edges = _evidence(spark, sf_dir)
+    return runtime.runtime_coverage(runtime.entry_points(files, edges), runtime.runtime_flows(edges, limit=1 << 30))
+
+
+@query(f"WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY relative_path) AS n FROM d WHERE contains(language_id, 'sql')) SELECT workspace_id, relative_path AS title, 'sql parsed' AS subtitle, lang_of AS folder FROM (SELECT *, split_part(relative_path, '/', 1) AS lang_of FROM r) WHERE n <= 200")
+def q9_explorer_files(spark, sf_dir):
+    return inventory.explorer_files(sources.indexable(_documents(spark, sf_dir)), "SQL").select("workspace_id", "title", "subtitle", "folder")
+
+
+_DATA = "(SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC LIMIT 10)"
+
+
+@query(f"SELECT 'ws0' AS workspace_id, 'data' AS section, CAST(sum(n) AS BIGINT) AS score FROM {_DATA} UNION ALL SELECT 'ws0', 'azure', count(*) FROM orders UNION ALL SELECT 'ws0', 'flow', least(10, count(*)) FROM orders JOIN customer ON c_custkey = o_custkey")
+def o7_starting_points(spark, sf_dir):
+    files = spark.createDataFrame([], "workspace_id string, relative_path string, language_id string")
+    return inventory.starting_points(inventory.overview(files, star_graph(spark, sf_dir)))
+
+
+@query("SELECT 'ws0' AS workspace_id, '' AS technologies, 0 AS n_api, 10 AS n_flow, (SELECT least(10, count(DISTINCT l_suppkey)) FROM lineitem) AS n_data, (SELECT least(10, count(DISTINCT o_orderpriority)) FROM orders) AS n_azure")
+def o8_overview_totals(spark, sf_dir):
+    files = spark.createDataFrame([], "workspace_id string, relative_path string, language_id string")
+    return inventory.overview_totals(inventory.overview(files, star_graph(spark, sf_dir)))
+
+
+@query(f"WITH {_DOCS} SELECT workspace_id, relative_path, language_id, {_HASH} AS content_hash FROM d WHERE octet_length(encode(text)) <= 1048576")
+def i6_incremental_stream(spark, sf_dir):
+    """``documents`` as a file stream, indexed once; the stream is then started again and finds nothing new."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    folder = shared_folder(spark, "stream")
+    for _ in range(2):
+        arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        index_stream(arriving, f"{folder}/index", f"{folder}/checkpoint", _as_files).awaitTermination()
+    return latest(spark, f"{folder}/index").select("workspace_id", "relative_path", "language_id", "content_hash")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return q16_list_flows(spark, "/root/testdata/sf0.001")
