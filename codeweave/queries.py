@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chains, extract, inventory, link, runtime
+from .operators import chains, extract, inventory, link, runtime, trace
 from .plans.corpus import part_corpus
 from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
@@ -289,5 +289,24 @@ def i6_incremental_stream(spark, sf_dir):
     return latest(spark, f"{folder}/index").select("workspace_id", "relative_path", "language_id", "content_hash")
 
 
+def _order_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star_graph(spark, sf_dir)
+    return trace.trace(graph, graph.where("relationship_kind = 'calls_method'").select("workspace_id", F.col("source_identifier").alias("entry")))
+
+
+@query("WITH s AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1), o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), t AS (SELECT l_orderkey, 1 + sum(1 + n) AS n FROM o JOIN s USING (l_partkey) GROUP BY 1) SELECT 'api/O' || l_orderkey || '.cs::Act' AS entry, CAST(least(24, n) AS BIGINT) AS n_steps, n > 24 AS has_more FROM t")
+def t7_trace_status(spark, sf_dir):
+    return trace.trace_status(_order_traces(spark, sf_dir)).select("entry", "n_steps", "has_more")
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+       r AS (SELECT l_orderkey, 'IPart' || l_partkey || '.Load' AS c, '' AS d, 'DI handoff' AS stage FROM o UNION ALL SELECT l_orderkey, 'IPart' || l_partkey || '.Load', 'dbo.Supp' || l_suppkey, 'Database read' FROM o JOIN s USING (l_partkey) UNION ALL SELECT DISTINCT l_orderkey, '', '', 'Entry' FROM o),
+       n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c, d) AS step FROM r),
+       g AS (SELECT *, step - row_number() OVER (PARTITION BY l_orderkey, stage ORDER BY step) AS run FROM n WHERE step <= 24)
+       SELECT 'api/O' || l_orderkey || '.cs::Act' AS entry, stage, CAST(min(step) AS INTEGER) AS first_step, count(*) AS n FROM g GROUP BY l_orderkey, stage, run""")
+def t11_step_groups(spark, sf_dir):
+    return trace.step_groups(_order_traces(spark, sf_dir)).select("entry", "stage", "first_step", "n")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return q16_list_flows(spark, "/root/testdata/sf0.001")
