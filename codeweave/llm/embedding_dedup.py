@@ -1,9 +1,9 @@
 """Embedding near-dedup by collision-counting projections.
 
-Each of ``tables`` tables projects the unit vectors on one random line, along which a vector's window reaches
+Each table projects the unit vectors on one random line, along which a vector's window reaches
 ``WINDOW`` to either side of it, and splits the line's vectors by their cells on some further random lines (as many as
 keep unrelated vectors of the whole table mostly apart), since one line alone would let each vector collide with most
-others. Collisions are counted per pair over the tables; pairs with the calibrated count become candidates: it is the
+others. The more such lines, the more tables there are (``plan``). Collisions are counted per pair over the tables; pairs with the calibrated count become candidates: it is the
 greatest count that a pair at the threshold still reaches with probability ``recall``. In groups of over
 ``SMALL_GROUP`` vectors each collides with the group's least only, so no group is paired out. Candidates' components
 are then verified exactly, in blocks of bounded size: every pair of a component has its cosine taken once, in double
@@ -24,6 +24,8 @@ from .components import components
 from .scratch import Scratch, small_batches
 
 CELL, WINDOW, SMALL_GROUP, BLOCK = 1.2, 1.2, 24, 1024
+#: Cells that a Python worker computes at once.
+CELLS = 1 << 20
 #: Chance that two unrelated vectors share a cell of width CELL on one line.
 UNRELATED = 0.32
 
@@ -36,20 +38,40 @@ def usable(vectors: DataFrame) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-def least_count(threshold: float, lines: int, tables: int, recall: float) -> int:
-    """The greatest count that a pair of cosine ``threshold`` reaches with probability ``recall``; 1 at least."""
-    rng = np.random.default_rng(1)
-    x, z, shift = rng.standard_normal(400_000), rng.standard_normal(400_000), rng.random(400_000) * CELL
-    y = threshold * x + math.sqrt(1 - threshold**2) * z
-    cell = (np.floor((x + shift) / CELL) == np.floor((y + shift) / CELL)).mean()
-    p = cell**lines * (np.abs(x - y) <= WINDOW).mean()
-    below, count = (1 - p) ** tables, 1
-    term = below
-    while True:
+def chance(threshold: float, lines: int) -> float:
+    """That a pair of cosine ``threshold`` collides in a table: its cells agree on all ``lines`` and its values are near."""
+    apart = math.sqrt(2 * (1 - threshold))  # the pair's difference on a line is normal with this deviation
+    if apart == 0:
+        return 1.0
+    within = lambda width: math.erf(width / apart / math.sqrt(2))
+    cell = within(CELL) - 2 * apart / (CELL * math.sqrt(2 * math.pi)) * -math.expm1(-((CELL / apart) ** 2) / 2)
+    return cell**lines * within(WINDOW)
+
+
+def plan(n: int, threshold: float, tables: int, recall: float) -> tuple[int, int, int]:
+    """``(lines, tables, count)`` for ``n`` vectors. Lines rise with n and make collisions rarer, so the tables are as
+    many as let a pair at the threshold collide once with probability ``recall``, and ``tables`` at least."""
+    lines = max(4, math.ceil(math.log(max(n, 2) * 8) / -math.log(UNRELATED)))
+    p = chance(threshold, lines)
+    if p < 1:
+        tables = max(tables, math.ceil(math.log1p(-recall) / math.log1p(-p)))
+    return lines, tables, least_count(p, tables, recall)
+
+
+def least_count(p: float, tables: int, recall: float) -> int:
+    """The greatest count of collisions, each of chance ``p``, that is reached with probability ``recall``."""
+    if p >= 1:
+        return tables
+    term = below = (1 - p) ** tables
+    if 1 - below < recall:
+        raise ValueError(f"{tables} tables reach recall {1 - below:.3f}, not {recall}")
+    count = 1
+    while count < tables:
         term *= (tables - count + 1) / count * p / (1 - p)
         if 1 - below - term < recall:
-            return count
+            break
         below, count = below + term, count + 1
+    return count
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -57,6 +79,14 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _parts(size: np.ndarray, rows: int):
+    """Places of equal ``size``, up to ``rows`` at once."""
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        for i in range(0, len(at), rows):
+            yield at[i : i + rows]
+
+
 def _keys(lines: int, tables: int, seed: int):
     made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -72,8 +102,8 @@ def _keys(lines: int, tables: int, seed: int):
             size = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy()
             begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
+            for at in _parts(size, max(1, CELLS // (tables * lines))):
+                d = size[at[0]]
                 x = unit(flat[begin[at][:, None] + np.arange(d)])
                 lines_of, shift, odd = directions(int(d))
                 y = x @ lines_of
@@ -89,7 +119,8 @@ def _keys(lines: int, tables: int, seed: int):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 160, recall: float = 0.97, seed: int = 5) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``.
 
-    n_links counts the other vectors of cosine ``threshold`` or more; component_id is the smallest vec_id reachable.
+    There are ``tables`` tables, or more where a pair at the threshold needs them to be found with probability
+    ``recall``. n_links counts the other vectors of cosine ``threshold`` or more; component_id is the smallest vec_id reachable.
     Vectors that are null, zero or hold null or non-finite components, and vectors of different lengths, link with
     nothing. A null vec_id has a null component and is kept. Repeated rows of one vec_id and vector count as other
     vectors to each other; of different vectors under one vec_id the greatest takes part and the others link with
@@ -101,9 +132,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 16
     same = usable(vectors).groupBy("vec_id", "v").agg(F.count("*").alias("c"))
     rows = scratch.cut(same.groupBy("vec_id").agg(F.max(F.struct("v", "c")).alias("m")).select("vec_id", "m.v", "m.c"))
     classes = scratch.cut(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.sum("c").alias("copies")).select("rep", "copies", "v"))
-    n = classes.count()
-    lines = max(4, math.ceil(math.log(max(n, 2) * 8) / -math.log(UNRELATED)))
-    count = least_count(threshold, lines, tables, recall)
+    lines, tables, count = plan(classes.count(), threshold, tables, recall)
     keys = scratch.cut(classes.select("rep", "v").mapInArrow(_keys(lines, tables, seed), "cell bigint, value float, rep bigint"))
     groups = keys.groupBy("cell").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
     hits = scratch.cut(keys.join(groups, "cell"))
