@@ -176,6 +176,21 @@ def test_shared_passages(spark, odd_docs, empty_docs):
     assert substring_dedup.shared_passages(empty_docs).count() == 0
 
 
+def test_shared_passages_edited_near_the_ends(spark):
+    rng = random.Random(16)
+    rows = []
+    for i in range(20):
+        passage = prose(rng, 60, 10**6).split()
+        for doc, edit in ((2 * i, False), (2 * i + 1, True)):
+            words = list(passage)
+            if edit:
+                words[6] = words[-7] = "other"
+            rows.append((doc, " ".join([prose(rng, 40, 10**6), *words, prose(rng, 40, 10**6)])))
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) >= 15 and all(r.doc_id // 2 == r.other_id // 2 for r in got)
+    assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.matched_words) == (40, 100, 40, 100, 58) for r in got)
+
+
 def test_top_k_against_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.round(rng.normal(size=(300, 8)), 1)
