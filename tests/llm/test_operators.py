@@ -187,10 +187,26 @@ def test_shared_passages_edited_near_the_ends(spark):
                 words[6] = words[-7] = "other"
             rows.append((doc, " ".join([prose(rng, 40, 10**6), *words, prose(rng, 40, 10**6)])))
     got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) >= 15 and all(r.doc_id // 2 == r.other_id // 2 for r in got)
+    assert sorted(sorted((r.doc_id, r.other_id)) for r in got) == [[2 * i, 2 * i + 1] for i in range(20)]
     assert all((r.start_word, r.end_word, r.other_start, r.other_end, r.matched_words) == (40, 100, 40, 100, 58) for r in got)
 
 
+def test_shared_passages_with_edits(spark):
+    """Each pair of documents shares one passage of 50 to 60 words, of which 0, 5, 10 or 20 % are changed."""
+    rng = random.Random(17)
+    rows, kinds = [], []
+    for i in range(200):
+        passage = prose(rng, rng.randint(50, 60), 10**6).split()
+        fuzzy = list(passage)
+        for at in rng.sample(range(len(passage)), len(passage) * (kinds.append(i % 4) or (0, 5, 10, 20)[i % 4]) // 100):
+            fuzzy[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i + j, " ".join([prose(rng, 30, 10**6), *words, prose(rng, 30, 10**6)])) for j, words in enumerate((passage, fuzzy))]
+    got = substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.doc_id // 2 == r.other_id // 2 for r in got)
+    found = [sum(kinds[i] == kind for i in {r.doc_id // 2 for r in got}) for kind in range(4)]
+    assert found[:3] == [50, 50, 50] and found[3] >= 45
+
+
 def test_top_k_against_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.round(rng.normal(size=(300, 8)), 1)
