@@ -207,6 +207,16 @@ def test_shared_passages_with_edits(spark):
     assert found[:3] == [50, 50, 50] and found[3] >= 45
 
 
+def test_shared_passages_quoted_in_part_by_the_owner(spark):
+    """Document 0 owns all seeds of the passage of 1 and 2, in two quotes of which neither is long enough."""
+    rng = random.Random(18)
+    junk = lambda: prose(rng, 40, 10**6).split()
+    passage = prose(rng, 60, 10**6).split()
+    rows = [(0, [*junk(), *passage[:32], *junk(), *passage[27:], *junk()]), (1, [*junk(), *passage, *junk()]), (2, [*junk(), *passage, *junk()])]
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.other_id, r.matched_words) for r in got] == [(2, 40, 100, 1, 60)]
+
+
 def test_top_k_against_numpy(spark):
     rng = np.random.default_rng(7)
     x = np.round(rng.normal(size=(300, 8)), 1)
