@@ -151,6 +151,18 @@ def test_secrets(spark, odd_docs, empty_docs):
     assert secrets.find(odd_docs).count() == odd_docs.count() and secrets.find(empty_docs).count() == 0
 
 
+def test_secrets_long_or_without_digits(spark):
+    rng = random.Random(19)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long = "".join(rng.choice(letters + "0123456789+/") for _ in range(3000))
+    few = "".join(rng.choice(letters) for _ in range(30)) + "7"
+    none = "".join(rng.choice(letters) for _ in range(24))
+    words = ["internationalizationofthings", "getUserAccountInformationFromTheServer", "src/components/user/profile/settings"]
+    rows = [(i, f"see {t} there") for i, t in enumerate([long, few, none, *words])]
+    got = {r.doc_id: r.spans for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == [f"random:4:{4 + len(t)}" for t in (long, few, none)] + [""] * 3
+
+
 def test_language_held_out_accuracy(spark, odd_docs, empty_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out()))
