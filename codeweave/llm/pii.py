@@ -4,7 +4,7 @@ Base kinds (email, ip, card, phone) are found in each text and serve as seeds. T
 patterns: the last word, and the last two. Patterns with enough different seeds are looked up in all texts, where each
 occurrence is followed by an identifier-like token (an instance) or by something else (counted against the pattern).
 Spark then scores the pattern-instance graph: a pattern's confidence is the share of believed instances among all that
-follows it, an instance's is 1 minus the product of its patterns' doubts. After ``rounds`` rounds, instances that
+follows it (different instances and other words, so that copies of a text count once), an instance's is 1 minus the product of its patterns' doubts. After ``rounds`` rounds, instances that
 confident patterns extract become spans of kind ``id``.
 """
 
@@ -128,7 +128,9 @@ def _base_schema(docs: DataFrame) -> str:
 
 
 def _occurrences(s: Slice, patterns: np.ndarray):
-    """What follows each pattern in a slice: ``(pattern, row of the batch, start, end, token)``; token '' if it isn't identifier-like."""
+    """What follows each pattern in a slice: ``(pattern, row of the batch, start, end, token, hash of the word)``; token '' if
+    it isn't identifier-like, hash 0 at a text's end."""
+    words = s.hashes.view(np.int64)
     for k in (1, 2):
         h, rows, at = windows(s, k, short=False)
         h = h.view(np.int64)
@@ -136,14 +138,14 @@ def _occurrences(s: Slice, patterns: np.ndarray):
         for i in np.flatnonzero(patterns[np.minimum(place, len(patterns) - 1)] == h):
             word, row = int(at[i]) + k, int(rows[i])
             if word >= s.first[row + 1]:
-                yield int(h[i]), s.lo + row, 0, 0, ""
+                yield int(h[i]), s.lo + row, 0, 0, "", 0
                 continue
             begin = s.bounds[row]
             offset = len(bytes(s.data[begin : s.starts[word]]).decode())
             raw = bytes(s.data[s.starts[word] : s.ends[word]]).decode()
             m = _TOKEN.search(raw)
             good = m is not None and _DIGITS.search(m[0]) is not None
-            yield int(h[i]), s.lo + row, offset + (m.start() if good else 0), offset + (m.end() if good else 0), m[0] if good else ""
+            yield int(h[i]), s.lo + row, offset + (m.start() if good else 0), offset + (m.end() if good else 0), m[0] if good else "", int(words[word])
 
 
 def _look_up(patterns: np.ndarray):
@@ -151,12 +153,12 @@ def _look_up(patterns: np.ndarray):
         for batch in batches:
             column = batch.column(1)
             good = {"doc_id": [], "text_key": [], "pattern": [], "instance": [], "start": [], "stop": []}
-            others: dict[int, int] = {}
+            others: dict[tuple[int, int], None] = {}
             ids = batch.column(0)
             for s in slices(column):
-                for pattern, row, a, b, token in _occurrences(s, patterns):
+                for pattern, row, a, b, token, word in _occurrences(s, patterns):
                     if not token:
-                        others[pattern] = others.get(pattern, 0) + 1
+                        others[pattern, word] = None
                         continue
                     text = column[row].as_py()
                     if any(x < b and a < y for x, _, y in base_spans(text)):
@@ -165,8 +167,8 @@ def _look_up(patterns: np.ndarray):
                         good[name].append(value)
             n = len(good["pattern"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*good["doc_id"], *[None] * len(others)], ids.type), pa.array([*good["text_key"], *[None] * len(others)], pa.string()), pa.array([*good["pattern"], *others], pa.int64()), pa.array([*good["instance"], *[None] * len(others)], pa.string()), pa.array([*good["start"], *[None] * len(others)], pa.int64()), pa.array([*good["stop"], *[None] * len(others)], pa.int64()), pa.array([0] * n + list(others.values()), pa.int64())],
-                names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "others"],
+                [pa.array([*good["doc_id"], *[None] * len(others)], ids.type), pa.array([*good["text_key"], *[None] * len(others)], pa.string()), pa.array([*good["pattern"], *(p for p, _ in others)], pa.int64()), pa.array([*good["instance"], *[None] * len(others)], pa.string()), pa.array([*good["start"], *[None] * len(others)], pa.int64()), pa.array([*good["stop"], *[None] * len(others)], pa.int64()), pa.array([*[None] * n, *(w for _, w in others)], pa.int64())],
+                names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "other"],
             )
 
     return run
@@ -200,10 +202,10 @@ def _contextual(texts: DataFrame, base: DataFrame, scratch: Scratch, min_seeds:
     seen = None
     for i in range(passes):
         chunk = np.sort(np.array([r[0] for r in induced.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).toLocalIterator()], dtype=np.int64))
-        part = texts.mapInArrow(_look_up(chunk), f"doc_id {kind}, text_key string, pattern bigint, instance string, start bigint, stop bigint, others bigint")
+        part = texts.mapInArrow(_look_up(chunk), f"doc_id {kind}, text_key string, pattern bigint, instance string, start bigint, stop bigint, other bigint")
         seen = part if seen is None else seen.unionByName(part)
     seen = scratch.cut(seen)
-    against = seen.groupBy("pattern").agg(F.sum("others").alias("others"))
+    against = seen.where("other is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
     known = seeds.join(induced, "pattern").withColumn("seed", F.lit(1.0))
     fresh = seen.where("instance is not null").select("pattern", "instance", F.lit(0.0).alias("seed")).distinct()
     graph = scratch.cut(known.unionByName(fresh).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))

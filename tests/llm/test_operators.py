@@ -139,6 +139,14 @@ def test_pii_patterns_and_masks(spark, odd_docs, empty_docs):
     assert pii.find(odd_docs).count() == odd_docs.count() and pii.find(empty_docs).count() == 0
 
 
+def test_pii_copies_count_once_against_a_pattern(spark):
+    rows = [(i, f"write to mail{i}@y.org now") for i in range(8)] + [(100 + i, f"write to XK{i}991Q now") for i in range(4)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    copied = plain.unionByName(spark.createDataFrame([(1000 + i, "write to none") for i in range(600)], "doc_id long, text string"))
+    want, got = ({r.doc_id: r.spans for r in pii.find(d, min_seeds=5, min_confidence=0.6).where("doc_id < 1000").collect()} for d in (plain, copied))
+    assert got == want and all(got[100 + i] == "id:9:16" for i in range(4))
+
+
 def test_secrets(spark, odd_docs, empty_docs):
     rng = random.Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
