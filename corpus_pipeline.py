@@ -49,9 +49,15 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by probabilities raked to source, language and topic targets."""
-    drawn = mixing.mix(docs)
-    return _without(docs, drawn.where("not sampled and doc_id is not null").select("doc_id"))
+    """Samples documents by probabilities raked to source, language and topic targets.
+
+    Rows of null doc_id are drawn one by one: each carries itself through the operator and follows its own ``sampled``.
+    """
+    row = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns)).alias("row")
+    drawn = mixing.mix(docs.select(F.struct("doc_id", row).alias("doc_id"), "text", "source", "lang"))
+    drawn = Scratch(spark).cut(drawn.select("doc_id.*", "sampled"))
+    kept = _without(docs.where("doc_id is not null"), drawn.where("not sampled and doc_id is not null").select("doc_id"))
+    return kept.unionByName(drawn.where("sampled and doc_id is null").select("row.*"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
