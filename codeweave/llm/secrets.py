@@ -4,27 +4,35 @@ Base kinds (assign, access, hex) come from fixed patterns. Beyond them, every to
 alphabets of hex, base32, base62 and base64 is a candidate; the narrowest alphabet that holds it is its inferred
 encoding. Three tests ask whether its symbols look drawn at random from that alphabet: a chi-squared test of
 uniformity, a runs test about the alphabet's middle, and a test of lag-one serial correlation. Fisher's method
-combines the p-values. Long strings give such tests more power than short ones, so tokens are compared within strata
-of encoding and length: in each, a Benjamini-Hochberg step-up over all tokens of the corpus declares tokens
-non-random at false-discovery rate ``q``, and what stays is reported as kind ``random``.
+combines them into one level of randomness.
+
+A reported token is claimed to be no ordinary text, so the share of ordinary text among the reported is what is
+controlled. How random ordinary text of the same encoding and length looks is simulated: symbols are drawn with the
+frequencies they have in the whole corpus, and run through the same battery. A token's p-value is the share of those
+that look as random as it does, and within each stratum of encoding and length a Benjamini-Hochberg step-up over all
+tokens of the corpus reports tokens as kind ``random`` at false-discovery rate ``q``. Short tokens, on which the tests
+have little power, are thus held to what ordinary text of their own length reaches.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
 from .spans import ARROW_SPANS, SPAN_TYPE, as_structs, digest, text_key, with_added
 
 KINDS = ("assign", "access", "hex", "random")
-#: p-values are counted in this many bins of -log10 p, each DECADE_BINS to a decade.
+#: Levels of randomness are counted in this many bins of -log10 p, each DECADE_BINS to a decade.
 DECADE_BINS, BINS = 10, 400
+#: Tokens of ordinary text simulated for a stratum; p-values are no finer than one in so many.
+SIMULATED = 4000
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
@@ -68,62 +76,96 @@ def encoding(token: str) -> str | None:
     return next((name for name, s in _SETS.items() if symbols <= s), None)
 
 
-def _upper_normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def chi_squared_tail(x: float, df: int) -> float:
-    """P(chi-squared >= x) by Wilson and Hilferty's cube root."""
-    if x <= 0:
-        return 1.0
-    s = 2 / (9 * df)
-    return _upper_normal(((x / df) ** (1 / 3) - (1 - s)) / math.sqrt(s))
-
-
-def randomness(token: str, name: str) -> float:
-    """Fisher's combination of the three tests' p-values: small for tokens that don't look random."""
-    values = np.array([_VALUES[name][c] for c in token], dtype=np.float64)
-    size, n = len(ALPHABETS[name]), len(token)
-    counts = np.bincount(values.astype(int), minlength=size)
-    uniform = chi_squared_tail(float(((counts - n / size) ** 2).sum() / (n / size)), size - 1)
+def battery(values: np.ndarray, size: int) -> np.ndarray:
+    """Fisher's combination of the three tests' p-values for each row of symbol values below ``size``: small for tokens
+    that don't look random."""
+    m, n = values.shape
+    counts = np.bincount((np.arange(m)[:, None] * size + values).ravel(), minlength=m * size).reshape(m, size)
+    chi = ((counts - n / size) ** 2).sum(1) / (n / size)
+    spread = 2 / (9 * (size - 1))  # Wilson and Hilferty's cube root of chi-squared
+    uniform = 0.5 * _erfc((np.cbrt(chi / (size - 1)) - (1 - spread)) / math.sqrt(2 * spread))
     high = values >= size / 2
-    n1 = int(high.sum())
-    n2 = n - n1
-    if n1 and n2:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * n1 * n2 / n
-        spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
-        p_runs = 2 * _upper_normal(abs(runs - mean) / spread)
-    else:
-        p_runs = 2.0 ** (1 - n)
+    n1 = high.sum(1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    mean = 1 + 2 * n1 * (n - n1) / n
+    deviation = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    p_runs = np.where((n1 > 0) & (n1 < n), _erfc(np.abs(runs - mean) / deviation / math.sqrt(2)), 2.0 ** (1 - n))
     centred = values - (size - 1) / 2
-    correlation = float((centred[1:] * centred[:-1]).sum()) / ((n - 1) * (size * size - 1) / 12)
-    p_serial = 2 * _upper_normal(abs(correlation) * math.sqrt(n - 1))
-    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, min(p_runs, 1.0), min(p_serial, 1.0)))
-    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+    correlation = (centred[:, 1:] * centred[:, :-1]).sum(1) / ((n - 1) * (size * size - 1) / 12)
+    p_serial = _erfc(np.abs(correlation) * math.sqrt((n - 1) / 2))
+    half = -sum(np.log(np.clip(p, 1e-300, 1.0)) for p in (uniform, p_runs, p_serial))
+    return np.minimum(1.0, np.exp(-half) * (1 + half + half * half / 2))
+
+
+def levels(values: np.ndarray, size: int) -> np.ndarray:
+    """The bin of each row's battery; 0 looks most random."""
+    return np.minimum(BINS - 1, (-np.log10(np.maximum(battery(values, size), 1e-300)) * DECADE_BINS).astype(int))
+
+
+def length_class(n: int) -> int:
+    """Two classes to a doubling of the length."""
+    return int(math.log2(n) * 2)
+
+
+def ordinary_levels(name: str, of_class: int, frequencies: np.ndarray) -> np.ndarray:
+    """Sorted levels of SIMULATED tokens of the class's lengths, drawn with the corpus's ``frequencies`` of the symbols
+    of base64 (in that alphabet's order); where the corpus has none of an alphabet's symbols, evenly."""
+    rng = np.random.default_rng([17, of_class, list(ALPHABETS).index(name)])
+    symbols = ALPHABETS["base64"]
+    share = np.array([frequencies[symbols.index("+/"["-_".index(c)] if c in "-_" else c)] for c in ALPHABETS[name]], dtype=float)
+    share = share / share.sum() if share.sum() else np.full(len(share), 1 / len(share))
+    lengths = [n for n in range(max(20, int(2 ** (of_class / 2))), int(2 ** ((of_class + 1) / 2)) + 2) if length_class(n) == of_class]
+    lengths = [lengths[len(lengths) * (2 * i + 1) // 8] for i in range(4)]
+    return np.sort(np.concatenate([levels(rng.choice(len(share), size=(SIMULATED // 4, n), p=share), len(share)) for n in lengths]))
+
+
+def greatest_level(counts: dict[int, int], ordinary: np.ndarray, q: float) -> int:
+    """The step-up of one stratum: tokens up to this level (-1: none) are reported. ``counts``: tokens by level."""
+    total, so_far, found = sum(counts.values()), 0, -1
+    for level in sorted(counts):
+        so_far += counts[level]
+        p = (1 + int(np.searchsorted(ordinary, level, side="right"))) / (1 + len(ordinary))
+        if p * total <= q * so_far:
+            found = level
+    return found
+
+
+_PLACES = np.full(256, 64, dtype=np.int64)
+_PLACES[np.frombuffer(ALPHABETS["base64"].encode(), np.uint8)] = np.arange(64)
 
 
 def _scan(batches):
+    """Base spans and candidates of each text. The first row of a batch also has how often its texts hold each symbol of base64."""
     for batch in batches:
         keys, rows, sha, counts, candidates = [], [], [], [[], [], []], []
+        symbols, alike = np.zeros(65, dtype=np.int64), {}
         for text in batch.column(1).to_pylist():
+            symbols += np.bincount(_PLACES[np.frombuffer(text.encode(), np.uint8)], minlength=65)
             spans = base_spans(text)
             keys.append(text_key(text))
             rows.append(as_structs(spans))
             sha.append(digest(spans, KINDS))
             for k in range(3):
                 counts[k].append(sum(s[1] == k for s in spans))
-            more = []
+            more, starts = [], [a for a, _, _ in spans]
             for m in _CANDIDATE.finditer(text):
                 name = encoding(m[0])
-                if name and not any(a < m.end() and m.start() < b for a, _, b in spans):
-                    p = randomness(m[0], name)
-                    level = min(BINS - 1, int(-math.log10(max(p, 1e-300)) * DECADE_BINS))
-                    more.append({"stratum": f"{name}/{int(math.log2(len(m[0])) * 2)}", "bin": level, "start": m.start(), "stop": m.end()})
+                before = bisect_left(starts, m.end())
+                if name and not any(m.start() < b for _, _, b in spans[max(0, before - 3) : before]):
+                    more.append({"stratum": f"{name}/{length_class(len(m[0]))}", "bin": 0, "start": m.start(), "stop": m.end()})
+                    alike.setdefault((name, len(m[0])), []).append((more[-1], m[0]))
             candidates.append(more)
+        for (name, n), found in alike.items():
+            values = np.array([[_VALUES[name][c] for c in token] for _, token in found]).reshape(len(found), n)
+            for (candidate, _), level in zip(found, levels(values, len(ALPHABETS[name])).tolist(), strict=True):
+                candidate["bin"] = level
+        first = [symbols[:64].tolist(), *[None] * (batch.num_rows - 1)][: batch.num_rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.string()), *[pa.array(x, pa.int64()) for x in counts], pa.array(sha, pa.string()), pa.array(rows, ARROW_SPANS), pa.array(candidates, pa.list_(pa.struct([("stratum", pa.string()), ("bin", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])))],
-            names=["doc_id", "text_key", "n_assign", "n_access", "n_hex", "base_sha256", "base", "candidates"],
+            [batch.column(0), pa.array(keys, pa.string()), *[pa.array(x, pa.int64()) for x in counts], pa.array(sha, pa.string()), pa.array(rows, ARROW_SPANS), pa.array(candidates, pa.list_(pa.struct([("stratum", pa.string()), ("bin", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))), pa.array(first, pa.list_(pa.int64()))],
+            names=["doc_id", "text_key", "n_assign", "n_access", "n_hex", "base_sha256", "base", "candidates", "symbols"],
         )
 
 
@@ -131,31 +173,33 @@ def find(docs: DataFrame, q: float = 0.01) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added.
 
     A null text counts as empty and has no spans. Rows of null or repeated doc_id are scanned like any other. Added
-    spans never overlap base ones. Offsets count code points; ends are exclusive.
+    spans never overlap base ones. Offsets count code points; ends are exclusive. Tokens are tested whole, however
+    long. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base {SPAN_TYPE}, candidates array<struct<stratum:string,bin:int,start:bigint,stop:bigint>>"
+    schema = f"doc_id {kind}, text_key string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, base {SPAN_TYPE}, candidates array<struct<stratum:string,bin:int,start:bigint,stop:bigint>>, symbols array<bigint>"
     base = scratch.cut(texts.mapInArrow(_scan, schema))
     tokens = base.select("doc_id", "text_key", F.explode("candidates").alias("c")).select("doc_id", "text_key", "c.*")
-    added = tokens.join(non_random_bins(tokens, q), ["stratum", "bin"], "left_anti")
+    added = tokens.join(F.broadcast(reported_levels(tokens, base, q)), "stratum").where("bin <= greatest")
     added = added.select("doc_id", "text_key", "start", F.lit(KINDS.index("random")).cast("int").alias("place"), "stop")
     return with_added(base, added, KINDS).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")
 
 
-def non_random_bins(tokens: DataFrame, q: float) -> DataFrame:
-    """``(stratum, bin)`` that the step-up rejects, from counts by stratum and bin (a bounded table).
-
-    A bin's tokens have p up to 10 ** (-bin / DECADE_BINS), so the largest p of a bin stands for all of it.
-    """
-    counts = tokens.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
-    down = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
-    whole = Window.partitionBy("stratum")
-    counts = counts.withColumn("so_far", F.sum("n").over(down)).withColumn("total", F.sum("n").over(whole))
-    ceiling = F.pow(F.lit(10.0), -F.col("bin") / DECADE_BINS)
-    counts = counts.withColumn("ok", ceiling * F.col("total") <= F.lit(q) * F.col("so_far"))
-    counts = counts.withColumn("least", F.min(F.when(F.col("ok"), F.col("bin"))).over(whole))
-    return counts.where("bin >= least").select("stratum", "bin")
+def reported_levels(tokens: DataFrame, base: DataFrame, q: float) -> DataFrame:
+    """``(stratum, greatest)``: the step-up's level of each stratum, from the counts of all tokens by stratum and level
+    and of all symbols of the corpus. There are no more strata than encodings times length classes, whatever the input."""
+    frequencies = np.zeros(64)
+    for place, n in base.select(F.posexplode("symbols").alias("place", "n")).groupBy("place").agg(F.sum("n")).collect():
+        frequencies[place] = n
+    strata: dict[str, dict[int, int]] = {}
+    for stratum, level, n in tokens.groupBy("stratum", "bin").agg(F.count("*")).collect():
+        strata.setdefault(stratum, {})[level] = n
+    rows = []
+    for stratum, counts in sorted(strata.items()):
+        name, _, of_class = stratum.partition("/")
+        rows.append((stratum, greatest_level(counts, ordinary_levels(name, int(of_class), frequencies), q)))
+    return tokens.sparkSession.createDataFrame(rows, "stratum string, greatest int")
