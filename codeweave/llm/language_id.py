@@ -8,11 +8,10 @@ text as ambiguous.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import small_batches
@@ -24,7 +23,7 @@ MAX_TRAINING_ROWS = 2000
 FEATURES = 4096
 RIDGE = 0.05
 SHARPNESS = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -98,7 +97,8 @@ class Model:
 def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     """A model from ``labelled(doc_id, text, lang)``; None if no row has both a language and a letter.
 
-    Rows enter by a hash of their id, at a rate that gives each language the same quota, or all its rows if fewer.
+    Rows enter by a hash of their id, at a rate that gives each language the same quota, or all its rows if fewer; of
+    no language more than twice the quota.
     """
     spark = labelled.sparkSession
     small_batches(spark, 256)
@@ -110,14 +110,16 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     quota = max(1, max_rows // len(languages))
     rate = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, quota / counts[lang])))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.where(draw < F.try_element_at(rate, F.col("lang"))).select("text", "lang")
+    picked = usable.where(draw < F.try_element_at(rate, F.col("lang"))).select("text", "lang", draw.alias("draw"))
+    first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))  # about a quota of rows each; many rows of one id share a draw
+    picked = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * quota).select("text", "lang")
 
     def run(batches):
         for batch in batches:
             x = features(batch.column(0)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "lang"])
 
-    rows = picked.mapInArrow(run, "x binary, lang string").orderBy("lang", "x").limit(2 * max_rows + len(languages)).collect()
+    rows = picked.mapInArrow(run, "x binary, lang string").orderBy("lang", "x").collect()
     if not rows:
         return None
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in rows]).astype(np.float32)
