@@ -4,14 +4,16 @@ Base kinds (email, ip, card, phone) are found in each text and serve as seeds. T
 patterns: the last word, and the last two. Patterns with enough different seeds are looked up in all texts, where each
 occurrence is followed by an identifier-like token (an instance) or by something else (counted against the pattern).
 Spark then scores the pattern-instance graph: a pattern's confidence is the share of believed instances among all that
-follows it (different instances and other words, so that copies of a text count once), an instance's is 1 minus the product of its patterns' doubts. After ``rounds`` rounds, instances that
-confident patterns extract become spans of kind ``id``.
+follows it (different instances and other words, so that copies of a text count once), an instance's is 1 minus the
+product of its patterns' doubts. After ``rounds`` rounds, instances that confident patterns extract become spans of
+kind ``id``.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,8 @@ from .textkeys import Slice, slices, windows
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE_KINDS = KINDS[:4]
-#: Patterns looked up in one pass over the texts; more take further passes.
+#: Patterns looked up in one pass over the texts (8 bytes each, sent to every worker); more take further passes.
 PATTERNS_PER_PASS = 1_000_000
-#: Characters before a span in which context words are sought.
-CONTEXT_CHARS = 400
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -36,9 +36,9 @@ _IP_TAIL = re.compile(r"[0-9]\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
-_GAP = re.compile("[\\x20\\x09-\\x0d]+")
+_WORD = re.compile("[^\\x20\\x09-\\x0d]+")
 _NOT_DIGIT = re.compile("[^0-9]+")
-_TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._@/-]{4,62}[A-Za-z0-9])")
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._@/-]{4,}[A-Za-z0-9]")
 
 
 def _small(digits: str) -> bool:
@@ -87,37 +87,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _word_hashes(words: list[str]) -> tuple[int | None, int | None]:
-    """Pattern hashes of the last word and the last two, as ``textkeys`` gives them for the same words."""
+def context(text: str, starts: list[int]) -> list[str]:
+    """The last two words, or parts of words, before each of ``starts``, joined by a space."""
+    words = [m.span() for m in _WORD.finditer(text)] if starts else []
+    begins = [w[0] for w in words]
     out = []
-    column = pa.array([" ".join(words)])
-    for k in (1, 2):
-        h = windows(next(slices(column)), k, short=False)[0] if len(words) >= k else []
-        out.append(int(h[-1:].view(np.int64)[0]) if len(h) else None)
-    return out[0], out[1]
+    for at in starts:
+        n = bisect_left(begins, at)
+        out.append(" ".join(text[a : min(b, at)] for a, b in words[max(0, n - 2) : n]))
+    return out
+
+
+def _pattern_hashes(contexts: list[str]) -> list[list[int]]:
+    """Of each context the hashes of its last word and its last two, as ``textkeys`` gives them for the same words."""
+    out: list[list[int]] = [[] for _ in contexts]
+    for s in slices(pa.array(contexts, pa.string())):
+        for k in (1, 2):
+            h, rows, _ = windows(s, k, short=False)
+            last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) if len(rows) else rows
+            for row, value in zip(rows[last].tolist(), h[last].view(np.int64).tolist(), strict=True):
+                out[s.lo + row].append(value)
+    return out
 
 
 def _scan_base(batches):
     for batch in batches:
-        rows, keys = [], []
         texts = batch.column(1).to_pylist()
-        out = {"n": [[] for _ in BASE_KINDS], "sha": [], "contexts": []}
-        for text in texts:
-            spans = base_spans(text)
-            rows.append(as_structs(spans))
-            keys.append(text_key(text))
-            for k in range(4):
-                out["n"][k].append(sum(s[1] == k for s in spans))
-            out["sha"].append(digest(spans, KINDS))
-            contexts = []
-            for a, _, b in spans:
-                words = [w for w in _GAP.split(text[max(0, a - CONTEXT_CHARS) : a]) if w][-2:]
-                p1, p2 = _word_hashes(words) if words else (None, None)
-                instance = text_key(text[a:b].lower())
-                contexts += [{"pattern": p, "instance": instance} for p in (p1, p2) if p is not None]
-            out["contexts"].append(contexts)
+        spans = [base_spans(t) for t in texts]
+        before = [c for t, found in zip(texts, spans, strict=True) for c in context(t, [a for a, _, _ in found])]
+        patterns = iter(_pattern_hashes(before))
+        contexts = [[{"pattern": p, "instance": text_key(t[a:b].lower())} for a, _, b in found for p in next(patterns)] for t, found in zip(texts, spans, strict=True)]
+        counts = [pa.array([sum(s[1] == k for s in found) for found in spans], pa.int64()) for k in range(4)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.string()), *[pa.array(x, pa.int64()) for x in out["n"]], pa.array(out["sha"], pa.string()), pa.array(rows, ARROW_SPANS), pa.array(out["contexts"], pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.string())])))],
+            [batch.column(0), pa.array(map(text_key, texts), pa.string()), *counts, pa.array([digest(x, KINDS) for x in spans], pa.string()), pa.array(map(as_structs, spans), ARROW_SPANS), pa.array(contexts, pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.string())])))],
             names=["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "contexts"],
         )
 
@@ -128,48 +130,55 @@ def _base_schema(docs: DataFrame) -> str:
 
 
 def _occurrences(s: Slice, patterns: np.ndarray):
-    """What follows each pattern in a slice: ``(pattern, row of the batch, start, end, token, hash of the word)``; token '' if
-    it isn't identifier-like, hash 0 at a text's end."""
-    words = s.hashes.view(np.int64)
+    """What follows each of the sorted ``patterns`` in a slice, as arrays of ``(pattern, row, word)``; word is -1 at a text's end."""
+    found = []
     for k in (1, 2):
         h, rows, at = windows(s, k, short=False)
         h = h.view(np.int64)
-        place = np.searchsorted(patterns, h)
-        for i in np.flatnonzero(patterns[np.minimum(place, len(patterns) - 1)] == h):
-            word, row = int(at[i]) + k, int(rows[i])
-            if word >= s.first[row + 1]:
-                yield int(h[i]), s.lo + row, 0, 0, "", 0
-                continue
-            begin = s.bounds[row]
-            offset = len(bytes(s.data[begin : s.starts[word]]).decode())
-            raw = bytes(s.data[s.starts[word] : s.ends[word]]).decode()
-            m = _TOKEN.search(raw)
-            good = m is not None and _DIGITS.search(m[0]) is not None
-            yield int(h[i]), s.lo + row, offset + (m.start() if good else 0), offset + (m.end() if good else 0), m[0] if good else "", int(words[word])
-
-
-def _look_up(patterns: np.ndarray):
+        hit = np.flatnonzero(patterns[np.minimum(np.searchsorted(patterns, h), len(patterns) - 1)] == h)
+        word = at[hit] + k
+        found.append((h[hit], rows[hit], np.where(word < s.first[rows[hit] + 1], word, -1)))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+_SEEN = "text_key string, pattern bigint, instance string, start bigint, stop bigint, other bigint"
+
+
+def _look_up(shared):
+    """Rows of ``doc_id`` and _SEEN: a row for each identifier after a pattern, and one of (pattern, other word) for each
+    different word that is none. Base spans, keys and offsets are found once for a text, whatever it holds."""
+
     def run(batches):
+        patterns = shared.value
         for batch in batches:
-            column = batch.column(1)
-            good = {"doc_id": [], "text_key": [], "pattern": [], "instance": [], "start": [], "stop": []}
-            others: dict[tuple[int, int], None] = {}
-            ids = batch.column(0)
+            column, ids, rows, others = batch.column(1), batch.column(0), [], []
             for s in slices(column):
-                for pattern, row, a, b, token, word in _occurrences(s, patterns):
-                    if not token:
-                        others[pattern, word] = None
-                        continue
-                    text = column[row].as_py()
-                    if any(x < b and a < y for x, _, y in base_spans(text)):
+                pattern, row, word = _occurrences(s, patterns)
+                hashes = np.append(s.hashes.view(np.int64), 0)  # the last one stands for a text's end
+                digits = np.concatenate([[0], np.cumsum((s.data >= 48) & (s.data <= 57))])
+                digit = np.append(digits[s.ends] > digits[s.starts], False)[word]
+                others.append(np.stack([pattern[~digit], hashes[word[~digit]]]))
+                chars = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])
+                known, base = -1, []
+                for i in np.flatnonzero(digit)[np.argsort(row[digit], kind="stable")].tolist():
+                    r, w = int(row[i]), int(word[i])
+                    m = _TOKEN.search(bytes(s.data[s.starts[w] : s.ends[w]]).decode())
+                    if m is None or not _DIGITS.search(m[0]):
+                        others.append(np.array([[pattern[i]], [hashes[w]]]))
                         continue
-                    for name, value in zip(good, (ids[row].as_py(), text_key(text), pattern, text_key(token.lower()), a, b), strict=True):
-                        good[name].append(value)
-            n = len(good["pattern"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*good["doc_id"], *[None] * len(others)], ids.type), pa.array([*good["text_key"], *[None] * len(others)], pa.string()), pa.array([*good["pattern"], *(p for p, _ in others)], pa.int64()), pa.array([*good["instance"], *[None] * len(others)], pa.string()), pa.array([*good["start"], *[None] * len(others)], pa.int64()), pa.array([*good["stop"], *[None] * len(others)], pa.int64()), pa.array([*[None] * n, *(w for _, w in others)], pa.int64())],
-                names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "other"],
-            )
+                    if r != known:
+                        text = column[s.lo + r].as_py()
+                        known, base, key = r, base_spans(text), text_key(text)
+                    begin = int(chars[s.starts[w]] - chars[s.bounds[r]])
+                    a, b = begin + m.start(), begin + m.end()
+                    if not any(x < b and a < y for x, _, y in base):
+                        rows.append((ids[s.lo + r].as_py(), key, int(pattern[i]), text_key(m[0].lower()), a, b))
+            rest = np.unique(np.concatenate([*others, np.zeros((2, 0), np.int64)], axis=1), axis=1)
+            n, m = len(rows), rest.shape[1]
+            kinds = [ids.type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            columns = [[x[i] for x in rows] + [None] * m for i in range(6)]
+            columns[2][n:] = rest[0].tolist()
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array([None] * n + rest[1].tolist(), pa.int64())], names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "other"])
 
     return run
 
@@ -179,7 +188,8 @@ def find(docs: DataFrame, min_seeds: int = 5, min_confidence: float = 0.6, round
     and all_spans (an array).
 
     A null text counts as empty and has no spans. Rows of null or repeated doc_id are scanned like any other. Added
-    spans never overlap base ones. Offsets count code points; ends are exclusive. Contexts reach CONTEXT_CHARS back.
+    spans never overlap base ones. Offsets count code points; ends are exclusive. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
@@ -200,11 +210,12 @@ def _contextual(texts: DataFrame, base: DataFrame, scratch: Scratch, min_seeds:
         return spark.createDataFrame([], f"doc_id {kind}, text_key string, start bigint, place int, stop bigint")
     passes = math.ceil(n / PATTERNS_PER_PASS)
     seen = None
-    for i in range(passes):
-        chunk = np.sort(np.array([r[0] for r in induced.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).toLocalIterator()], dtype=np.int64))
-        part = texts.mapInArrow(_look_up(chunk), f"doc_id {kind}, text_key string, pattern bigint, instance string, start bigint, stop bigint, other bigint")
+    for i in range(passes):  # one after the other, so that the driver holds the patterns of one pass only
+        chunk = induced.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).toArrow().column(0).to_numpy()
+        shared = spark.sparkContext.broadcast(np.sort(chunk))
+        part = scratch.cut(texts.mapInArrow(_look_up(shared), f"doc_id {kind}, {_SEEN}"))
+        shared.destroy()
         seen = part if seen is None else seen.unionByName(part)
-    seen = scratch.cut(seen)
     against = seen.where("other is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
     known = seeds.join(induced, "pattern").withColumn("seed", F.lit(1.0))
     fresh = seen.where("instance is not null").select("pattern", "instance", F.lit(0.0).alias("seed")).distinct()
@@ -227,44 +238,34 @@ def _contextual(texts: DataFrame, base: DataFrame, scratch: Scratch, min_seeds:
 def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with every span of ``found`` (the result of ``find`` on it) replaced by ``<KIND>`` and n_chars renewed.
 
-    Base spans are found again while a text passes; only added ones are joined in. Overlapping spans are replaced
-    together, by the kind that starts first. Null texts stay null; all columns of ``docs`` are kept.
+    Base spans are found again while a text passes; only added ones are joined in, by id and text, so that rows of null
+    or repeated id get their own. Overlapping spans are replaced together, by the kind that starts first. Null texts
+    stay null; all columns of ``docs`` are kept, whatever their names, and all rows, repeated ones too.
     """
     small_batches(docs.sparkSession, 256)
-    extra = found.where("n_added > 0").select(F.col("doc_id").alias("d_"), F.col("text_key").alias("k_"), "all_spans").distinct()
-    n_extra = extra.count()
+    extra = found.where("n_added > 0").select("doc_id", "text_key", "all_spans").distinct()
     schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
     place = schema.fieldNames().index("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            added = batch.column(batch.num_columns - 1).to_pylist() if n_extra else [None] * len(texts)
-            new = []
-            for text, more in zip(texts, added, strict=True):
+            columns = batch.column(0).flatten()
+            texts, new = columns[place].to_pylist(), []
+            for text, more in zip(texts, batch.column(1).to_pylist(), strict=True):
                 spans = [(s["start"], s["place"], s["stop"]) for s in more] if more else base_spans(text or "")
                 new.append(masked(text, spans) if spans else text)
-            columns = []
             for i, field in enumerate(schema.fields):
                 if i == place:
-                    columns.append(pa.array(new, batch.column(i).type))
+                    columns[i] = pa.array(new, columns[i].type)
                 elif field.name == "n_chars":
-                    columns.append(pa.array([None if t is None else len(t) for t in new], batch.column(i).type))
-                else:
-                    columns.append(batch.column(i))
+                    columns[i] = pa.array([None if t is None else len(t) for t in new], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    if not n_extra:
-        return docs.mapInArrow(run, schema)
-    with_key = docs.join(extra.groupBy("d_").agg(F.map_from_entries(F.collect_set(F.struct("k_", "all_spans"))).alias("by_key_")), docs.doc_id.eqNullSafe(F.col("d_")), "left").drop("d_")
-
-    def run_keyed(batches):
-        for batch in batches:
-            texts, maps = batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            chosen = [dict(m).get(text_key(t or "")) if m else None for t, m in zip(texts, maps, strict=True)]
-            yield from run([pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chosen, ARROW_SPANS)], names=[*schema.fieldNames(), "all_spans"])])
-
-    return with_key.mapInArrow(run_keyed, schema)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("key"))
+    if extra.isEmpty():
+        return rows.select("row", F.lit(None).cast(SPAN_TYPE).alias("all_spans")).mapInArrow(run, schema)
+    keyed = rows.join(extra, rows.of.eqNullSafe(extra.doc_id) & (rows.key == extra.text_key), "left")
+    return keyed.select("row", "all_spans").mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
