@@ -155,7 +155,7 @@ class Automaton:
         self.filled = 0
 
     def _has(self, keys: np.ndarray) -> np.ndarray:
-        """``arc`` for many keys ``state * 2**17 + token * 2``; answers are kept, in bit 0, in an open-addressed table."""
+        """``arc`` for many keys ``state * 2**32 + token * 2``; answers are kept, in bit 0, in an open-addressed table."""
         todo, out = np.arange(len(keys)), np.zeros(len(keys), dtype=bool)
         shift = np.uint64(64 - (len(self.slots).bit_length() - 1))
         at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
@@ -171,7 +171,7 @@ class Automaton:
         lost = np.concatenate(missing) if missing else todo
         if len(lost):
             new, where = np.unique(keys[lost], return_inverse=True)
-            answers = np.array([self.arc(k >> 17, (k >> 1) & 0xFFFF) for k in new.tolist()], dtype=bool)
+            answers = np.array([self.arc(k >> 32, (k >> 1) & 0x7FFFFFFF) for k in new.tolist()], dtype=bool)
             out[lost] = answers[where]
             self._keep(new | answers)
         return out
@@ -217,7 +217,7 @@ class Automaton:
                 token = self.node_token[node]
                 new = np.flatnonzero((token >= 0) & (ending[at] < 0) & (node > 0))
                 if len(new):
-                    has = new[self._has((state[new] << 17) | (token[new] << 1))]
+                    has = new[self._has((state[new] << 32) | (token[new] << 1))]
                     ending[at[has]] = token[has]
                 on = np.flatnonzero((node > 0) & (node < len(self.child)) & (at + 1 < stop))
                 at, stop, state, node = at[on] + 1, stop[on], state[on], node[on]
