@@ -7,6 +7,7 @@ Lineage is cut by writing a Parquet table into the folder that the cluster names
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,9 +23,12 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder. Where none is configured, a local run (tests) gets a temporary one; on a cluster
+    that is an error, since no local folder is seen by all executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codeweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -51,20 +55,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/codeweave-{uuid.uuid4().hex}"
+        _written.append((self.spark, path))
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        _written.append((self.spark, path))
+        self.tables.append((out, path))
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for t, p in self.tables if any(t is x for x in tables)]:
             _remove(self.spark, path)
+            _written.remove((self.spark, path))
+        self.tables = [(t, p) for t, p in self.tables if not any(t is x for x in tables)]
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
