@@ -8,7 +8,7 @@ combines them into one level of randomness.
 
 A reported token is claimed to be no ordinary text, so the share of ordinary text among the reported is what is
 controlled. How random ordinary text of the same encoding and length looks is simulated: symbols are drawn with the
-frequencies they have in the whole corpus, and run through the same battery. A token's p-value is the share of those
+frequencies they have in the whole corpus outside the candidates, and run through the same battery. A token's p-value is the share of those
 that look as random as it does, and within each stratum of encoding and length a Benjamini-Hochberg step-up over all
 tokens of the corpus reports tokens as kind ``random`` at false-discovery rate ``q``. Short tokens, on which the tests
 have little power, are thus held to what ordinary text of their own length reaches.
@@ -133,12 +133,26 @@ def greatest_level(counts: dict[int, int], ordinary: np.ndarray, q: float) -> in
     return found
 
 
+# Letters of ordinary text in a thousand.
+LETTERS = {"a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24, "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1}
+#: Symbols that count as seen before the corpus, and how many of them in a thousand are capitals, digits and + and /.
+PRIOR, CAPITALS, NUMERALS, MARKS = 20_000, 60, 60, 20
+
+
+def prior_frequencies() -> np.ndarray:
+    """Counts of the symbols of base64 in PRIOR symbols of ordinary text, for corpora too small to tell."""
+    letters = np.array([LETTERS[c] for c in _LOWER]) / sum(LETTERS.values())
+    parts = [letters * CAPITALS, letters * (1000 - CAPITALS - NUMERALS - MARKS), np.full(10, NUMERALS / 10), np.full(2, MARKS / 2)]
+    return np.concatenate(parts) * PRIOR / 1000
+
+
 _PLACES = np.full(256, 64, dtype=np.int64)
 _PLACES[np.frombuffer(ALPHABETS["base64"].encode(), np.uint8)] = np.arange(64)
 
 
 def _scan(batches):
-    """Base spans and candidates of each text. The first row of a batch also has how often its texts hold each symbol of base64."""
+    """Base spans and candidates of each text. The first row of a batch also has how often its texts hold each symbol of
+    base64 outside the candidates."""
     for batch in batches:
         keys, rows, sha, counts, candidates = [], [], [], [[], [], []], []
         symbols, alike = np.zeros(65, dtype=np.int64), {}
@@ -155,6 +169,7 @@ def _scan(batches):
                 name = encoding(m[0])
                 before = bisect_left(starts, m.end())
                 if name and not any(m.start() < b for _, _, b in spans[max(0, before - 3) : before]):
+                    symbols -= np.bincount(_PLACES[np.frombuffer(m[0].encode(), np.uint8)], minlength=65)
                     more.append({"stratum": f"{name}/{length_class(len(m[0]))}", "bin": 0, "start": m.start(), "stop": m.end()})
                     alike.setdefault((name, len(m[0])), []).append((more[-1], m[0]))
             candidates.append(more)
@@ -192,9 +207,9 @@ def find(docs: DataFrame, q: float = 0.01) -> DataFrame:
 def reported_levels(tokens: DataFrame, base: DataFrame, q: float) -> DataFrame:
     """``(stratum, greatest)``: the step-up's level of each stratum, from the counts of all tokens by stratum and level
     and of all symbols of the corpus. There are no more strata than encodings times length classes, whatever the input."""
-    frequencies = np.zeros(64)
+    frequencies = prior_frequencies()
     for place, n in base.select(F.posexplode("symbols").alias("place", "n")).groupBy("place").agg(F.sum("n")).collect():
-        frequencies[place] = n
+        frequencies[place] += n
     strata: dict[str, dict[int, int]] = {}
     for stratum, level, n in tokens.groupBy("stratum", "bin").agg(F.count("*")).collect():
         strata.setdefault(stratum, {})[level] = n
