@@ -136,7 +136,7 @@ def greatest_level(counts: dict[int, int], ordinary: np.ndarray, q: float) -> in
 # Letters of ordinary text in a thousand.
 LETTERS = {"a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24, "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1}
 #: Symbols that count as seen before the corpus, and how many of them in a thousand are capitals, digits and + and /.
-PRIOR, CAPITALS, NUMERALS, MARKS = 20_000, 60, 60, 20
+PRIOR, CAPITALS, NUMERALS, MARKS = 20_000, 30, 15, 5
 
 
 def prior_frequencies() -> np.ndarray:
@@ -184,7 +184,7 @@ def _scan(batches):
         )
 
 
-def find(docs: DataFrame, q: float = 0.01) -> DataFrame:
+def find(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added.
 
     A null text counts as empty and has no spans. Rows of null or repeated doc_id are scanned like any other. Added
