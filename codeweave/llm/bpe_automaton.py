@@ -73,7 +73,7 @@ class Automaton:
                 self.prefixes.setdefault(b[:n], -1)
         for i in self.born:
             self.prefixes[self.label[i]] = i
-        self.child: np.ndarray | None = None
+        self.base: np.ndarray | None = None
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(SPLIT)
         self.split_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -138,14 +138,15 @@ class Automaton:
     def _tables(self) -> None:
         """The byte trie of the labels and the arrays that the joint encoding of many words indexes."""
         inner = {b: n for n, b in enumerate(sorted({b[:n] for b in self.prefixes for n in range(len(b))}, key=len))}
-        self.child = np.zeros((len(inner), 256), dtype=np.int32)
-        ids = dict(inner)
+        ids, self.inner = dict(inner), len(inner)
         for b in self.prefixes:
             ids.setdefault(b, len(ids))
         self.node_token = np.full(len(ids), -1, dtype=np.int64)
-        for b, token in self.prefixes.items():
-            self.child[inner[b[:-1]], b[-1]] = ids[b]
+        arcs = np.zeros((len(self.prefixes), 3), dtype=np.int64)
+        for i, (b, token) in enumerate(self.prefixes.items()):
+            arcs[i] = inner[b[:-1]], b[-1], ids[b]
             self.node_token[ids[b]] = token
+        self._place(*arcs.T)
         top = max(self.label) + 1
         self.after = np.zeros(top, dtype=np.int64)
         self.width = np.ones(top, dtype=np.int64)
@@ -154,6 +155,31 @@ class Automaton:
         self.slots = np.full(1 << 16, -1, dtype=np.int64)
         self.filled = 0
 
+    def _place(self, parent: np.ndarray, byte: np.ndarray, child: np.ndarray) -> None:
+        """Puts all nodes' rows of 256 arcs into one array, shifted so that their arcs fall between each other's: the arc
+        of a node by a byte stands at ``base[node] + byte`` if that place is the node's."""
+        order = np.lexsort((byte, parent))
+        parent, byte, child = parent[order], byte[order], child[order]
+        first = np.searchsorted(parent, np.arange(self.inner + 1))
+        arcs = np.diff(first)
+        free = np.ones(4 * len(parent) + 4096, dtype=bool)
+        self.base = np.zeros(self.inner, dtype=np.int64)
+        low = 0
+        for turn, node in enumerate(np.argsort(-arcs, kind="stable")[: int((arcs > 1).sum())].tolist()):
+            row, at = byte[first[node] : first[node + 1]], low
+            while not (fits := free[np.arange(at, at + 1024)[:, None] + row].all(1)).any():
+                at += 1024
+            self.base[node] = at + int(fits.argmax())
+            free[self.base[node] + row] = False
+            if turn % 64 == 0:
+                low = max(low, int(free.argmax()) - 255)
+        single = np.flatnonzero(arcs == 1)
+        self.base[single] = np.flatnonzero(free[256:])[: len(single)] + 256 - byte[first[single]]
+        places = self.base[parent] + byte
+        self.owner = np.full(int(self.base.max()) + 256, -1, dtype=np.int32)
+        self.target = np.zeros(len(self.owner), dtype=np.int32)
+        self.owner[places], self.target[places] = parent, child
+
     def _has(self, keys: np.ndarray) -> np.ndarray:
         """``arc`` for many keys ``state * 2**32 + token * 2``; answers are kept, in bit 0, in an open-addressed table."""
         todo, out = np.arange(len(keys)), np.zeros(len(keys), dtype=bool)
@@ -197,7 +223,7 @@ class Automaton:
         """``encode_bytes`` of many words at once: byte by byte, the one token that ends there in each word."""
         if not words:
             return []
-        if self.child is None:
+        if self.base is None:
             self._tables()
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -213,13 +239,14 @@ class Automaton:
             state = self.after[ending[at - 1]] if offset else np.zeros(n, dtype=np.int64)
             node = np.zeros(n, dtype=np.int64)
             while len(at):
-                node = self.child[node, data[at]]
+                place = self.base[node] + data[at]
+                node = np.where(self.owner[place] == node, self.target[place], 0)
                 token = self.node_token[node]
                 new = np.flatnonzero((token >= 0) & (ending[at] < 0) & (node > 0))
                 if len(new):
                     has = new[self._has((state[new] << 32) | (token[new] << 1))]
                     ending[at[has]] = token[has]
-                on = np.flatnonzero((node > 0) & (node < len(self.child)) & (at + 1 < stop))
+                on = np.flatnonzero((node > 0) & (node < self.inner) & (at + 1 < stop))
                 at, stop, state, node = at[on] + 1, stop[on], state[on], node[on]
         last = np.zeros(len(data), dtype=bool)
         at, first = end - 1, start
@@ -300,8 +327,11 @@ def _each_text(docs: DataFrame, path: str, make, schema: str) -> DataFrame:
 
     def run(batches):
         a = automaton(key, vocabulary.value)
-        for batch in batches:
-            yield make(a, batch)
+        try:
+            for batch in batches:
+                yield make(a, batch)
+        finally:
+            a.words.clear()  # the worker lives on, in other operators' stages too
 
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
