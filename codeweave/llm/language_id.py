@@ -73,8 +73,11 @@ class Model:
     def __init__(self, languages: list[str], x: np.ndarray, labels: np.ndarray):
         self.languages, self.code = languages, codewords(max(1, len(languages)))
         y = self.code[labels]
-        gram = x @ x.T + RIDGE * np.eye(len(x), dtype=np.float32) + 1.0
-        inverse = np.linalg.inv(gram.astype(np.float64))
+        gram = (x @ x.T).astype(np.float64)
+        gram += 1.0
+        gram.flat[:: len(x) + 1] += RIDGE
+        inverse = np.linalg.inv(gram)
+        del gram
         dual = inverse @ y
         left_out = y - dual / np.diag(inverse)[:, None]
         right = ((left_out * y) > 0).mean(0).clip(0.5, 1 - 0.5 / (len(x) + 1))
@@ -119,11 +122,16 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
             x = features(batch.column(0)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "lang"])
 
-    rows = picked.mapInArrow(run, "x binary, lang string").orderBy("lang", "x").collect()
-    if not rows:
+    rows = picked.mapInArrow(run, "x binary, lang string").orderBy("lang", "x").toArrow()
+    if not len(rows):
         return None
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in rows]).astype(np.float32)
-    return Model(languages, x, np.array([languages.index(r["lang"]) for r in rows]))
+    place = {lang: i for i, lang in enumerate(languages)}
+    labels = np.array([place[lang] for lang in rows.column("lang").to_pylist()])
+    x = np.empty((len(rows), FEATURES), dtype=np.float32)
+    for i, value in enumerate(rows.column("x")):
+        x[i] = np.frombuffer(value.as_buffer(), dtype=np.float16)
+    del rows
+    return Model(languages, x, labels)
 
 
 def classify(docs: DataFrame, model: Model | None, min_lead: float = 0.15) -> DataFrame:
