@@ -39,8 +39,10 @@ def relationship_filters(relationships: DataFrame, search: str | None = None, ki
     return relationships.where(anywhere & has("relationship_kind", kind) & has("source_identifier", source) & has("target_identifier", target))
 
 
-def take(rows: DataFrame, n: int, *order: str | Column, by: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
-    """The first ``n`` rows of each workspace."""
+def take(rows: DataFrame, n: int | None, *order: str | Column, by: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """The first ``n`` rows of each workspace; all of them, unsorted, where ``n`` is None."""
+    if n is None:
+        return rows
     return rows.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n_") <= n).drop("n_")
 
 
@@ -91,7 +93,7 @@ def list_azure_services(relationships: DataFrame, service: str | None = None, li
     return take(grouped, limit, "service", "source")
 
 
-def list_flows(relationships: DataFrame, api: str | None = None, source: str | None = None, handler: str | None = None, limit: int = 50) -> DataFrame:
+def list_flows(relationships: DataFrame, api: str | None = None, source: str | None = None, handler: str | None = None, limit: int | None = 50) -> DataFrame:
     """Q16."""
     found = exclude_test_relationships(relationships.where("relationship_kind = 'matches_backend_handler'")).where(has("metadata", api) & has("source_identifier", source) & has("target_identifier", handler))
     return take(found, limit, "source_identifier", "target_identifier", "metadata").select("workspace_id", F.col("source_identifier").alias("frontend"), F.col("target_identifier").alias("handler"), metadata_value(F.col("metadata"), "match").alias("match"), "metadata")
