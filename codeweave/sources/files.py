@@ -90,10 +90,10 @@ def indexable(files: DataFrame) -> DataFrame:
 
 
 def write_evidence(table: DataFrame, path: str, keys: list[str]) -> None:
-    """One row per key, partitioned by workspace."""
+    """One row per key, partitioned by workspace. Only the partitions of ``table``'s workspaces are replaced."""
     first = Window.partitionBy("workspace_id", *keys).orderBy(*[c for c in table.columns if c not in keys])
     unique = table.withColumn("n_", F.row_number().over(first)).where("n_ = 1").drop("n_")
-    unique.write.mode("overwrite").partitionBy("workspace_id").parquet(path)
+    unique.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
 
 
 def read_evidence(spark: SparkSession, path: str, workspace_id: str | None = None) -> DataFrame:
@@ -132,6 +132,12 @@ def soft_delete_missing(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return joined.withColumn("is_deleted", F.col("is_deleted") | F.col("p_").isNull()).drop("w_", "p_")
 
 
+def without_deleted(relationships: DataFrame, files: DataFrame) -> DataFrame:
+    """The relationships left when those from or into files with ``is_deleted`` are removed."""
+    gone = files.where("is_deleted")
+    return replace_file_evidence(relationships, gone, relationships.limit(0))
+
+
 def index_summary(files: DataFrame, changed: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per workspace, files scanned, indexed and skipped, and symbols of changed files."""
     scanned = mark_skipped(exclude_directories(files)).groupBy("workspace_id").agg(F.count("*").alias("files_scanned"), F.count_if("skipped").alias("files_skipped"))
