@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension, qualify
+from ..functions.tokens import CLOSE, DOT, NAME, OPEN, QUOTED, TYPE_ARGUMENTS, any_of, apart, either, keep, line, maybe, seq
 from ..plans.materialise import cut
 
 FILE = ("workspace_id", "relative_path")
@@ -67,18 +68,31 @@ def _line_note() -> Column:
 
 # --- JavaScript and TypeScript -------------------------------------------------------------------------------------
 
-_TS_NAMED = r"^\s*(?:export\s+)?(?:default\s+)?(class|interface|function|const|let|var|type)\s+([A-Za-z_$][\w$]*)"
-_TS_ASYNC = r"^\s*(?:export\s+)?(?:default\s+)?async\s+function\s+([A-Za-z_$][\w$]*)"
-_TS_ARROW = r"^\s*([A-Za-z_$][\w$]*)\s*[:=]\s*(?:async\s*)?\([^)]*\)\s*=>"
-_TS_METHOD = r"^\s*(?:(?:public|private|protected)\s+)?(?:async\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?::[^{;]+)?[{;]?\s*}?\s*$"
+# Words that declare, receivers and members that requests, moves and ordinary calls are told by.
+_TS_WORDS = ("class", "interface", "function", "const", "let", "var", "type")
 _TS_NOT_METHODS = ("if", "for", "foreach", "while", "switch", "catch")
-_TS_REQUEST = r"(?:\b(?:http|httpClient|client|axios)\.(get|post|put|patch|delete)\s*(?:<[^>]*>)?|\bfetch)\s*\(\s*([^,)]+)"
-_TS_NAVIGATE = r"\b(?:router|history|navigate|navigation)(?:\.(?:navigate|navigateByUrl|push|replace))?\(\s*\[?\s*(['\"`][^'\"`]*['\"`])"
-_TS_CALL = r"\b([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)\s*\("
-_TS_NOT_RECEIVERS = ("http", "httpClient", "client", "axios", "console", "Math", "JSON", "Object", "Array")
-_TS_NOT_MEMBERS = ("get", "post", "put", "patch", "delete", "log", "map", "filter", "reduce", "subscribe", "navigate", "navigateByUrl", "push", "replace")
+_TS_CLIENTS = ("http", "httpClient", "client")
+_TS_VERBS = ("get", "post", "put", "patch", "delete")
+_TS_MOVERS = ("router", "history", "navigate", "navigation")
+_TS_MOVES = ("navigate", "navigateByUrl", "push", "replace")
+_TS_NOT_RECEIVERS = (*_TS_CLIENTS, "axios", "console", "Math", "JSON", "Object", "Array")
+_TS_NOT_MEMBERS = (*_TS_VERBS, "log", "map", "filter", "reduce", "subscribe", *_TS_MOVES)
+_TS_EVENTS = ("Click", "Submit", "Change", "Blur", "Focus")
 _TS_NO_SCOPE = ("const", "let", "var", "constant", "type-alias")
 
+_EXPORTED = maybe(r"export\b") + maybe(r"default\b")
+_PARAMETERS = seq(OPEN, "[^)]*", CLOSE)
+_TS_NAMED = line(_EXPORTED + apart(keep(any_of(*_TS_WORDS)), keep(NAME)))
+_TS_ASYNC = line(_EXPORTED + apart("async", "function", keep(NAME)))
+_TS_ARROW = line(keep(NAME), "[=:]", maybe(r"async\b") + _PARAMETERS, "=>")
+_TS_METHOD = line(maybe(any_of("public", "protected", "private")) + maybe(r"async\b") + keep(NAME), _PARAMETERS, maybe(":", "[^;{]+") + "[;{]?", r"\}?", "$")
+_TS_REQUEST = r"(?i)(?<![\w$])" + either(seq(any_of(*_TS_CLIENTS, "axios"), DOT, keep(any_of(*_TS_VERBS)), maybe(TYPE_ARGUMENTS)), r"fetch\s*") + seq(OPEN, "([^),]+)")
+_TS_NAVIGATE = r"(?<![\w$])" + either(seq(any_of(*_TS_MOVERS), DOT, any_of(*_TS_MOVES)), r"(?<!\.)navigate") + seq("", OPEN, r"\[?", "([^)\\],]+)")
+_TS_CALL = r"(?<![\w$])" + seq(keep(NAME), DOT, keep(NAME), OPEN)
+_TS_EVENT = r"\bon" + seq(keep(any_of(*_TS_EVENTS)), "=", r"\{", keep(NAME), r"\}")
+_TS_ANGULAR = r"\b" + seq("path", ":", QUOTED) + r"[^{}]*?\b" + seq("component", ":", keep(NAME))
+_TS_REACT = r"<Route\b[^>]*?\b" + seq("path", "=", QUOTED) + "[^>]*?" + either(seq("element", "=", r"\{", "<"), seq("component", "=", r"\{")) + r"\s*" + keep(NAME)
+
 
 def ts_declarations(lines: DataFrame) -> DataFrame:
     """Lines with ``name`` and ``kind`` of what they declare, and the enclosing ``scope``."""
@@ -119,12 +133,13 @@ def ts_resolve(known: Column, expression: Column) -> Column:
 
 def ts_constants(lines: DataFrame) -> DataFrame:
     """Per file, a map of its constants' values; each is resolved with those above it."""
-    plain, value = group("text", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*[^{\s]"), group("text", r"^\s*(?:export\s+)?const\s+[A-Za-z_$][\w$]*\s*(?::[^=]+)?=\s*(.+)$")
-    opened = group("text", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*\{\s*$")
-    closed = F.col("text").rlike(r"^\s*\}\s*(?:as\s+const\s*)?[;,]?\s*$")
+    constant = maybe(r"export\b") + apart("const", keep(NAME)) + r"\s*" + maybe(":", "[^=]+") + "="
+    plain, value = group("text", line(constant, r"[^\s{]")), group("text", line(constant, "(.+)$"), 2)
+    opened = group("text", line(constant, r"\{", "$"))
+    closed = F.col("text").rlike(line(r"\}", maybe(apart("as", "const")) + "[;,]?", "$"))
     so_far = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("object", F.last(F.when(opened.isNotNull(), opened).when(closed, ""), ignorenulls=True).over(so_far))
-    prop, prop_value = group("text", r"^\s*([A-Za-z_$][\w$]*)\s*:\s*.+$"), group("text", r"^\s*[A-Za-z_$][\w$]*\s*:\s*(.+)$")
+    prop, prop_value = (group("text", line(keep(NAME), ":", "(.+)$"), i) for i in (1, 2))
     inside = (F.coalesce("object", F.lit("")) != "") & prop.isNotNull() & opened.isNull()
     name = F.when(plain.isNotNull(), plain).when(inside, F.concat("object", F.lit("."), prop))
     found = marked.select(*FILE, "line", name.alias("name"), F.when(plain.isNotNull(), value).otherwise(prop_value).alias("expression")).where("name is not null")
@@ -150,12 +165,12 @@ def extract_ts(files: DataFrame, fetch_verb: str = "") -> tuple[DataFrame, DataF
     declared = cut(ts_declarations(lines))
     symbols = symbol(declared.where("name is not null"), F.col("name"), F.col("kind"))
     spread = lambda pattern, *names: declared.select(*FILE, "line", "scope", F.posexplode(every("text", pattern, *names)).alias("col", "m"))
-    events = spread(r"\bon(Click|Submit|Change|Blur|Focus)=\{\s*([A-Za-z_$][\w$.]*)\s*\}", "event", "handler")
+    events = spread(_TS_EVENT, "event", "handler")
     out = [edge(events, "ui-event", F.concat(F.lit("on"), F.col("m.event"), F.lit(":"), F.col("m.handler")), "invokes_handler", "function", F.col("m.handler"), _line_note())]
-    angular = spread(r"\bpath:\s*['\"]([^'\"]*)['\"][^{}]*\bcomponent:\s*([A-Za-z_$][\w$]*)", "path", "component")
-    react = spread(r"<Route\b[^>]*\bpath=['\"]([^'\"]*)['\"][^>]*?(?:element=\{\s*<|component=\{\s*)([A-Za-z_$][\w$]*)", "path", "component")
+    body = F.concat("m.single", "m.double", "m.tick")
+    angular, react = (spread(p, "single", "double", "tick", "component") for p in (_TS_ANGULAR, _TS_REACT))
     for routes, framework in ((angular, "angular"), (react, "react")):
-        out.append(edge(routes, "route", client_route(F.col("m.path")), "renders_component", "component", _global(F.col("m.component")), F.concat(_line_note(), F.lit(f";framework={framework}"))))
+        out.append(edge(routes, "route", client_route(body), "renders_component", "component", _global(F.col("m.component")), F.concat(_line_note(), F.lit(f";framework={framework}"))))
     moves = spread(_TS_NAVIGATE, "to")
     out.append(edge(moves, "symbol", F.col("scope"), "navigates_to", "route", client_route(F.col("m.to")), _line_note()))
     calls = spread(_TS_CALL, "receiver", "member")
@@ -171,7 +186,7 @@ def extract_ts(files: DataFrame, fetch_verb: str = "") -> tuple[DataFrame, DataF
 
 def extract_html(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """X15."""
-    pattern = r"(?i)\((click|submit|ngSubmit|change|blur|focus)\)\s*=\s*[\"']\s*([A-Za-z_$][\w$]*)\s*\("
+    pattern = "(?i)" + seq(OPEN, keep(any_of("click", "submit", "ngSubmit", "change", "blur", "focus")), CLOSE, "=", "[\"']", keep(NAME), OPEN)
     found = explode_lines(files).select(*FILE, "line", "text", F.posexplode(every("text", pattern, "event", "handler")).alias("col", "m"))
     name = F.concat("m.event", F.lit(":"), "m.handler")
     return symbol(found, name, "ui-event"), edge(found, "ui-event", name, "invokes_handler", "method", F.col("m.handler"), _line_note())
@@ -179,18 +194,32 @@ def extract_html(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
-_OBJECT = r"((?:\[[^\]]+\]|\w+)(?:\.(?:\[[^\]]+\]|\w+))*)"
+_PART = either(r"\[[^\]]+\]", r"\w+")
+_OBJECT = keep(_PART + rf"(?:\s*\.\s*{_PART})*")
+
+
+def _after(*ways: str) -> str:
+    """The objects that follow one of some phrases."""
+    return r"(?i)(?<![\w@#])" + apart(either(*(apart(*w.split()) for w in ways)), _OBJECT)
+
+
+#: Phrases before the tables that a statement writes and reads, in procedures and in texts of programs.
+_WRITTEN = _after("merge into", r"merge(?!\s+into\b)", "insert into", r"insert(?!\s+into\b)", "update", "delete from", r"delete(?!\s+from\b)")
+_READ = _after("from", "join", "using")
+_TEXT_WRITTEN = _after("insert into", "update", "delete from")
+_TEXT_READ = _after("from", "join")
+_EXECUTED = _after("execute", "exec", "call")
 
 
 def _plain(name: Column) -> Column:
-    return F.regexp_replace(name, r"[\[\]]", "")
+    return F.regexp_replace(name, r"[\[\]]|\s*(?=\.)|(?<=\.)\s*", "")
 
 
 def extract_sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Created objects, and what each procedure reads and writes. A written table is also read."""
     blank = F.regexp_replace(F.regexp_replace("content", r"(?m)--[^\n]*", ""), r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", " ")
     lines = explode_lines(files.withColumn("content", blank))
-    create = rf"(?i)^\s*CREATE\s+(TABLE|VIEW|PROCEDURE|PROC|FUNCTION)\s+{_OBJECT}"
+    create = "(?i)" + line(apart("create", keep(any_of("table", "view", "procedure", "proc", "function")), _OBJECT))
     kind = F.lower(group("text", create))
     lines = lines.withColumn("kind", F.when(kind == "proc", "procedure").otherwise(kind)).withColumn("object", _plain(group("text", create, 2)))
     schema = F.when(F.col("object").contains("."), F.regexp_replace("object", r"\.[^.]*$", ""))
@@ -199,8 +228,8 @@ def extract_sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = F.when(F.col("kind") == "procedure", F.col("object")).when(ended, "")
     so_far = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     body = lines.withColumn("procedure", F.last(now, ignorenulls=True).over(so_far)).where("procedure <> '' and object is null")
-    written = body.select(*FILE, "procedure", "line", F.explode(F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:INSERT\s+(?:INTO\s+)?|UPDATE\s+|DELETE\s+FROM\s+|DELETE\s+(?!FROM\b)|MERGE\s+(?:INTO\s+)?){_OBJECT}"), F.lit(1))).alias("table"))
-    read = body.select(*FILE, "procedure", "line", F.explode(F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:FROM|JOIN|USING)\s+{_OBJECT}"), F.lit(1))).alias("table"))
+    written = body.select(*FILE, "procedure", "line", F.explode(F.regexp_extract_all("text", F.lit(_WRITTEN), F.lit(1))).alias("table"))
+    read = body.select(*FILE, "procedure", "line", F.explode(F.regexp_extract_all("text", F.lit(_READ), F.lit(1))).alias("table"))
     both = written.withColumn("kind", F.lit("writes_table")).unionByName(written.unionByName(read).withColumn("kind", F.lit("reads_table")))
     both = both.withColumn("table", _plain(F.col("table")))
     first = Window.partitionBy(*FILE, F.lower("procedure"), "kind", F.lower("table")).orderBy("line", "table")
@@ -211,18 +240,21 @@ def extract_sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- C# ------------------------------------------------------------------------------------------------------------
 
+# a list of parameters, whose attributes have brackets of their own
+_GIVEN = r"\(((?:[^()]|\([^()]*\))*)\)"
 _MODIFIER = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|async|virtual|override|new|extern|unsafe)\s+)"
 _TYPE = rf"^\s*(?:\[[^\]]*\]\s*)*{_MODIFIER}*(class|interface|struct|record|enum)\s+([A-Za-z_]\w*)(?:<[^>{{]*>)?\s*(?:\([^)]*\))?\s*(?::\s*([^{{]+))?"
-_METHOD = rf"^\s*(?:\[[^\]]*\]\s*)*{_MODIFIER}+[A-Za-z_][\w<>\[\],.?]*(?:\s*<[^>]*>)?\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\s*\(([^)]*)\)"
+_METHOD = rf"^\s*(?:\[[^\]]*\]\s*)*{_MODIFIER}+[A-Za-z_][\w<>\[\],.?]*(?:\s*<[^>]*>)?\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\s*" + _GIVEN
 _INTERFACE_METHOD = r"^\s*[A-Za-z_][\w<>\[\],.?]*\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*;"
-_CONSTRUCTOR = r"^\s*(?:public|private|protected|internal)\s+([A-Za-z_]\w*)\s*\(([^)]*)\)"
+_CONSTRUCTOR = r"^\s*(?:public|private|protected|internal)\s+([A-Za-z_]\w*)\s*" + _GIVEN
 _FIELD = r"^\s*(?:(?:private|protected|public|internal|readonly|static)\s+)+([A-Za-z_][\w<>,.?\[\]]*)\s+([A-Za-z_]\w*)\s*(?:;|=(?!>))"
 _PROPERTY = rf"^\s*{_MODIFIER}+([A-Za-z_][\w<>,.?\[\]]*)\s+([A-Za-z_]\w*)\s*(?:\{{|=>)"
 _EF_WRITES = ("Add", "AddAsync", "AddRange", "AddRangeAsync", "Update", "UpdateRange", "Remove", "RemoveRange")
 _EF_READS = ("Find", "FindAsync", "Where", "First", "FirstAsync", "FirstOrDefault", "FirstOrDefaultAsync", "Single", "SingleAsync", "SingleOrDefault", "SingleOrDefaultAsync", "ToList", "ToListAsync")
 _NOT_DIRECT = ("nameof", "ConfigureAwait", "Ok", "BadRequest", "StatusCode", "GetType", "ReferenceEquals", "if", "for", "foreach", "while", "switch", "catch", "using", "lock", "return", "typeof", "sizeof", "default", "when", "base", "this", "throw", "await", "checked", "fixed")
 _SQL_NAME = r"(?i)Sql|Query|Execute|Procedure"
-MAX_NESTING = 6
+_CS_CALL = r"(?<!\w)" + seq(keep(NAME), r"[?!]?\.", keep(NAME), maybe(TYPE_ARGUMENTS) + OPEN)
+_CS_SET_CALL = r"(?<!\w)" + seq(keep(NAME), r"[?!]?\.", keep(NAME), r"[?!]?\.", keep(NAME), maybe(TYPE_ARGUMENTS) + OPEN)
 # Namespaces of cloud services and the services' names.
 AZURE_SERVICES = {
     "Azure.Storage.Blobs": "Azure Blob Storage",
@@ -251,10 +283,13 @@ def cs_scopes(files: DataFrame) -> DataFrame:
     lines = lines.withColumn("depth", F.coalesce(F.sum(delta).over(before), F.lit(0)))
     lines = lines.withColumn("type_word", group("code", _TYPE)).withColumn("type_name", group("code", _TYPE, 2)).withColumn("bases", group("code", _TYPE, 3))
     at = lambda d: F.last(F.when(F.col("type_name").isNotNull() & (F.col("depth") == d), F.struct("type_name", F.col("line").alias("at"), F.col("depth").alias("d"), "type_word")), ignorenulls=True).over(before)
-    for d in range(MAX_NESTING):
+    lines = cut(lines)
+    deepest = lines.where("type_name is not null").agg(F.max("depth")).first()[0] or 0
+    depths = range(deepest + 1)
+    for d in depths:
         lines = lines.withColumn(f"o{d}", at(d))
-    owner = F.coalesce(*[F.when(F.col("depth") > d, F.col(f"o{d}")) for d in reversed(range(MAX_NESTING))])
-    lines = lines.withColumn("o", owner).drop(*[f"o{d}" for d in range(MAX_NESTING)])
+    owner = F.coalesce(*[F.when(F.col("depth") > d, F.col(f"o{d}")) for d in reversed(depths)])
+    lines = lines.withColumn("o", owner).drop(*[f"o{d}" for d in depths])
     lines = lines.withColumn("owner", F.col("o.type_name")).withColumn("owner_depth", F.col("o.d")).withColumn("owner_word", F.col("o.type_word")).drop("o")
     member = (F.col("depth") == F.col("owner_depth") + 1) & F.col("type_name").isNull()
     built = group("code", _CONSTRUCTOR)
@@ -353,7 +388,7 @@ def extract_cs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     out.append(edge(keyed, "class", F.col("owner"), "depends_on", "service", _global(F.col("type")), note))
 
     bodies = lines.where("body is not null")
-    calls = bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)(?:<[^>()]*>)?\s*\(", "receiver", "member")).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
+    calls = bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", _CS_CALL, "receiver", "member")).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
     typed = calls.join(known.select(*FILE, "owner", F.col("member").alias("receiver"), "type"), [*FILE, "owner", "receiver"])
     saves = F.col("member").isin("SaveChanges", "SaveChangesAsync")
     skipped = saves | F.col("member").isin(*_EF_WRITES, *_EF_READS) & F.col("type").rlike(r"Context\??$") | F.col("member").rlike(_SQL_NAME) | F.col("member").isin("GetShardConnection", "GetReadonlyShardConnection") | F.col("member").startswith("Log") | F.col("type").startswith("ILogger")
@@ -362,7 +397,7 @@ def extract_cs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     out.append(edge(saving, "symbol", F.col("method"), "saves_changes", "db-context", _global(F.coalesce("type", "receiver"))))
     direct = bodies.select(*FILE, "line", "method", F.posexplode(every("body", r"(?<![\w.>\"])(?<!new )([A-Za-z_]\w*)\s*\(", "member")).alias("col", "c")).where(~F.col("c.member").isin(*_NOT_DIRECT))
     out.append(edge(direct, "symbol", F.col("method"), "calls_method", "method", F.col("c.member"), "receiver=this;direct=true"))
-    tables = bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*\(", "context", "set", "member")).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
+    tables = bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", _CS_SET_CALL, "context", "set", "member")).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
     tables = tables.join(known.select(*FILE, "owner", F.col("member").alias("context"), "type"), [*FILE, "owner", "context"]).where(F.col("type").rlike(r"(?:Db)?Context\??$"))
     note = F.concat(F.lit("context="), "context", F.lit(";method="), "member")
     for kind, members in (("writes_table", _EF_WRITES), ("reads_table", _EF_READS)):
@@ -408,10 +443,10 @@ def _sql_in_text(bodies: DataFrame) -> list[DataFrame]:
     through = words.join(variables, [*FILE, "method_at", "variable"]).select(*FILE, "line", "method", "by", F.col("value").alias("sql"))
     texts = inline.unionByName(through).distinct()
     note = F.concat(F.lit("method="), "by")
-    called = F.regexp_extract_all("sql", F.lit(rf"(?i)\b(?:EXEC|EXECUTE|CALL)\s+{_OBJECT}"), F.lit(1))
+    called = F.regexp_extract_all("sql", F.lit(_EXECUTED), F.lit(1))
     alone = F.when(F.col("sql").rlike(rf"^\s*{_OBJECT}\s*$") & (F.col("sql").contains(".") | F.col("sql").rlike(r"(?i)(?:Procedure|Proc)\s*$|^\s*\[?sp")), F.array(F.trim("sql"))).otherwise(F.expr("cast(array() as array<string>)"))
     out = [edge(texts.select("*", F.explode(F.concat(called, alone)).alias("object")), "symbol", F.col("method"), "executes_procedure", "procedure", _global(_plain(F.col("object"))), note)]
-    for kind, pattern in (("reads_table", rf"(?i)\b(?:FROM|JOIN)\s+{_OBJECT}"), ("writes_table", rf"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+{_OBJECT}")):
+    for kind, pattern in (("reads_table", _TEXT_READ), ("writes_table", _TEXT_WRITTEN)):
         found = texts.select("*", F.explode(F.regexp_extract_all("sql", F.lit(pattern), F.lit(1))).alias("object"))
         out.append(edge(found, "symbol", F.col("method"), kind, "database-table", _global(_plain(F.col("object"))), note))
     return [x.distinct() for x in out]
@@ -429,6 +464,7 @@ EXTRACTORS: dict[tuple[str, ...], Extractor] = {
 
 def extract_evidence(files: DataFrame, extractors: dict[tuple[str, ...], Extractor] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(symbols, relationships)`` of all files, qualified. ``extractors`` replaces or extends the built-in ones."""
+    files = files.repartition(*FILE)  # whole files move once; their lines are then sorted where they are
     found = [f(files.where(extension(F.col("relative_path")).isin(*ext))) for ext, f in (extractors or EXTRACTORS).items()]
     symbols = union([s.select(*SYMBOL) for s, _ in found])
     return symbols, normalise(symbols, union([r.select(*EDGE) for _, r in found]))
