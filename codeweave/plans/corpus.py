@@ -119,3 +119,34 @@ def part_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = part.select(_text("ws", (n % 5).cast("string")).alias("workspace_id"), F.explode(F.filter(files, lambda f: f.isNotNull())).alias("f"))
     return rows.select("workspace_id", "f.relative_path", "f.content", F.octet_length("f.content").cast("long").alias("size_bytes"))
+
+
+def other_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_files`` rows in another layout: nested types in a namespace, triggers, keyed services, query texts in
+    variables, minimal APIs, React and Angular routes with blanks between tokens, and look-alikes in comments and names."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    n, k = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    m = (n % 50).cast("string")
+    job = _lines(
+        "namespace Shop.Jobs", "{",
+        _text("    public class Job", k), "    {",
+        "        private readonly IStore _store;",
+        _text("        public Job", k, '([FromKeyedServices("main")] IStore store)'), "        {",
+        "            _store = store; // _store.Gone();", "        }",
+        _text('        [Function("run', k, '")]'),
+        _text("        public void Run", k, '([HttpTrigger("get", "post", Route = "jobs/', k, '")] Request req)'), "        {",
+        _text('            var text = "SELECT Id FROM dbo.Part', m, '";'),
+        "            _store.ExecuteQuery(text);", "        }",
+        _text("        public class Inner", k), "        {",
+        _text("            public void Deep", k, "()"), "            {",
+        _text("                Helper", k, "();"), "            }", "        }", "    }", "}",
+    )
+    minimal = _text('app.MapGet("/mini/', k, '", () => 1);')
+    page = _lines(
+        _text("export const Page", k, " = () => <a />;"), _text("  return <button onClick = { save", k, " } onHover={ no } />;"),
+        _text('  <Route path="/p/', k, '" element={<Page', k, " />} />"), _text("  const routes = [{ path : 'a/", k, "', component : Page", k, " }];"), _text("  return myrouter.push('/no/", k, "');"), _text("  router.push(target", k, ");"),
+    )
+    file = lambda path, content: F.struct(path.alias("relative_path"), content.alias("content"))
+    files = F.array(file(_text("fn/F", k, ".cs"), job), file(_text("fn/M", k, ".cs"), minimal), file(_text("web2/v", k, ".tsx"), page))
+    rows = part.select(F.lit("ws0").alias("workspace_id"), F.explode(files).alias("f"))
+    return rows.select("workspace_id", "f.relative_path", "f.content", F.octet_length("f.content").cast("long").alias("size_bytes"))

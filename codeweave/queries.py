@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import chains, extract, inventory, link, runtime, trace
-from .plans.corpus import part_corpus
+from .plans.corpus import other_corpus, part_corpus
 from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
 from .sources import files as sources
@@ -30,6 +30,50 @@ _MATCH = f"""SELECT ws AS workspace_id, {_WEB} || '.service.ts::load' || k AS fr
        'frontendApi=' || {_CALL} || ';backendApi=' || {_API} || ';match=' || CASE WHEN k % 4 = 1 THEN 'exact' ELSE 'template' END || ';controller=P' || k || 'Controller' AS metadata
   FROM p WHERE k % 4 <> 3"""
 
+_SYMBOLS = f"""s AS (
+        SELECT ws, {_WEB} || '.service.ts' AS path, 'base' AS name, 'const' AS kind, NULL AS container, 1 AS line, 1 AS col FROM p
+        UNION ALL SELECT ws, {_WEB} || '.service.ts', 'P' || k || 'Service', 'class', NULL, 2, 1 FROM p
+        UNION ALL SELECT ws, {_WEB} || '.service.ts', 'load' || k, 'method', NULL, 3, 3 FROM p
+        UNION ALL SELECT ws, {_WEB} || '.component.ts', 'P' || k || 'Component', 'class', NULL, 1, 1 FROM p
+        UNION ALL SELECT ws, {_WEB} || '.component.ts', 'go' || k, 'method', NULL, 2, 3 FROM p
+        UNION ALL SELECT ws, {_WEB} || '.component.html', 'click:go' || k, 'ui-event', NULL, 1, 1 FROM p
+        UNION ALL SELECT ws, 'sql/' || b || '/GetP' || k || '.sql', 'GetP' || k, 'procedure', 'dbo', 1, 1 FROM p
+        UNION ALL SELECT ws, {_ACT}, 'P' || k || 'Controller', 'controller', NULL, 3, 1 FROM p
+        UNION ALL SELECT ws, {_ACT}, 'P' || k || 'Controller', 'constructor', 'P' || k || 'Controller', 6, 5 FROM p
+        UNION ALL SELECT ws, {_ACT}, 'Act' || k, 'method', 'P' || k || 'Controller', 11, 5 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'P' || k || 'Service', 'class', NULL, 1, 1 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'P' || k || 'Service', 'constructor', 'P' || k || 'Service', 4, 5 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'Load' || k, 'method', 'P' || k || 'Service', 8, 5 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'Audit' || k, 'method', 'P' || k || 'Service', 13, 5 FROM p
+        UNION ALL SELECT ws, {_REPO}, 'P' || k || 'Repository', 'repository', NULL, 1, 1 FROM p
+        UNION ALL SELECT ws, {_REPO}, 'P' || k || 'Repository', 'constructor', 'P' || k || 'Repository', 4, 5 FROM p
+        UNION ALL SELECT ws, {_REPO}, 'Fetch' || k, 'method', 'P' || k || 'Repository', 8, 5 FROM p
+        UNION ALL SELECT ws, 'src/' || b || '/P' || k || '.Tests/P' || k || 'Tests.cs', 'P' || k || 'Tests', 'class', NULL, 2, 1 FROM p WHERE k % 10 = 0)"""
+#: How many relationships of each kind a part gives: a number, or the parts that give one.
+_PER_PART = {
+    "contains_symbol": "25 * count(*)", "calls_api": "count(*)", "navigates_to": "count(*)", "calls_method": "4 * count(*)", "inherits_from": "3 * count(*)", "depends_on": "3 * count(*)",
+    "handles_api": "count(*)", "handled_by": "count(*)", "implemented_by": "2 * count(*)", "invokes_handler": "2 * count(*)", "reads_table": "2 * count(*)", "writes_table": "count(*) + count_if(k % 2 = 1)",
+    "executes_procedure": "count_if(k % 2 = 0)", "saves_changes": "count_if(k % 2 = 1)", "uses_azure_service": "count_if(k % 3 = 0)", "matches_backend_handler": "count_if(k % 4 <> 3)",
+}
+_KINDS = "r AS (" + " UNION ALL ".join(f"SELECT ws, '{kind}' AS kind, CAST({n} AS BIGINT) AS n FROM p GROUP BY ws" for kind, n in _PER_PART.items()) + ")"
+_LIVE = r"s2 AS (SELECT * FROM s WHERE path NOT LIKE '%.Tests/%')"
+_TEN = "row_number() OVER (PARTITION BY ws ORDER BY n DESC, title)"
+_SUMMARY = f"""WITH {_P}, {_SYMBOLS}, {_KINDS}, {_LIVE}, k AS (
+        SELECT ws, 'language' AS section, l.title, CAST(l.f * count(*) AS BIGINT) AS n FROM p, (VALUES ('csharp', 4), ('sql', 1), ('typescript', 2), ('html', 1)) l(title, f) GROUP BY ws, l.title, l.f
+        UNION ALL SELECT ws, 'symbol', kind, count(*) FROM s2 GROUP BY ws, kind
+        UNION ALL SELECT ws, 'azure', 'Azure Blob Storage', n FROM r WHERE kind = 'uses_azure_service' AND n > 0
+        UNION ALL SELECT ws, 'relationship', title, n FROM (SELECT ws, kind AS title, n, {_TEN} AS i FROM (SELECT ws, kind, kind AS title, n FROM r WHERE n > 0)) WHERE i <= 10)
+    SELECT ws AS workspace_id, section, title, n FROM k
+    UNION ALL SELECT ws, 'total', 'files', 8 * count(*) FROM p GROUP BY ws
+    UNION ALL SELECT ws, 'total', 'symbols', count(*) FROM s2 GROUP BY ws
+    UNION ALL SELECT ws, 'total', 'relationships', CAST(sum(n) AS BIGINT) FROM r GROUP BY ws"""
+_DEPENDS = f"""WITH {_P}, d AS (
+        SELECT ws AS workspace_id, {_ACT} || '::P' || k || 'Controller' AS source_identifier, 'IP' || k || 'Service' AS target_identifier FROM p
+        UNION ALL SELECT ws, {_SVC} || '::P' || k || 'Service', 'IP' || k || 'Repository' FROM p
+        UNION ALL SELECT ws, {_REPO} || '::P' || k || 'Repository', 'ShopDbContext' FROM p)
+    SELECT workspace_id, 'depends_on' AS relationship_kind, source_identifier, target_identifier, CAST(NULL AS VARCHAR) AS metadata FROM d
+    QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY source_identifier, target_identifier) <= 50"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -140,6 +184,76 @@ def x38_azure_services(spark, sf_dir):
     return _of(_edges(spark, sf_dir, ".cs"), "uses_azure_service").select("workspace_id", "source_identifier", "target_identifier")
 
 
+def _symbols(spark: SparkSession, sf_dir: str, *extensions: str) -> DataFrame:
+    wanted = {e: f for e, f in extract.EXTRACTORS.items() if not extensions or set(e) & set(extensions)}
+    return extract.extract_evidence(_files(spark, sf_dir), wanted)[0].select("workspace_id", "relative_path", "name", "kind", "container", "line", "col")
+
+
+_SYMBOL_ROWS = "SELECT ws AS workspace_id, path AS relative_path, name, kind, container, line, col FROM s"
+
+
+@query(f"WITH {_P}, {_SYMBOLS} {_SYMBOL_ROWS} WHERE path LIKE 'web/%'")
+def x3_x4_client_symbols(spark, sf_dir):
+    return _symbols(spark, sf_dir, ".ts", ".html")
+
+
+@query(f"WITH {_P}, {_SYMBOLS} {_SYMBOL_ROWS} WHERE path LIKE 'sql/%'")
+def x16_sql_symbols(spark, sf_dir):
+    return _symbols(spark, sf_dir, ".sql")
+
+
+@query(f"WITH {_P}, {_SYMBOLS} {_SYMBOL_ROWS} WHERE path LIKE 'src/%'")
+def x18_x19_types_and_members(spark, sf_dir):
+    return _symbols(spark, sf_dir, ".cs")
+
+
+@query(f"WITH {_P}, {_SYMBOLS} SELECT ws AS workspace_id, 'file' AS source_kind, path AS source_identifier, kind AS target_kind, path || '::' || name AS target_identifier, 'line=' || line || ';column=' || col AS metadata FROM s UNION ALL SELECT ws, 'symbol', path || '::' || container, kind, path || '::' || name, NULL FROM s WHERE container IS NOT NULL")
+def x39_contains_symbol(spark, sf_dir):
+    return _of(_edges(spark, sf_dir), "contains_symbol").drop("relationship_kind")
+
+
+@query(f"WITH {_P}, {_SYMBOLS} SELECT ws AS workspace_id, kind, name, path || ':' || line AS location FROM s WHERE contains(lower(name), 'load') QUALIFY row_number() OVER (PARTITION BY ws ORDER BY name, path, line, kind) <= 200")
+def q3_search_symbols(spark, sf_dir):
+    return inventory.search_symbols(_symbols(spark, sf_dir), "LOAD")
+
+
+@query(f"WITH {_P}, {_SYMBOLS}, f AS (SELECT ws, CAST(8 * count(*) + count_if(k % 10 = 0) AS BIGINT) AS n FROM p GROUP BY ws) SELECT ws AS workspace_id, any_value(f.n) AS file_count, count(*) AS symbol_count FROM s JOIN f USING (ws) GROUP BY ws")
+def q1_workspace_status(spark, sf_dir):
+    return inventory.workspace_status(_files(spark, sf_dir), _symbols(spark, sf_dir))
+
+
+@query(f"WITH {_P}, {_SYMBOLS}, e AS (SELECT DISTINCT ws, 1 AS section, {_API} AS entry FROM p UNION ALL SELECT ws, 2, path || '::' || name FROM s WHERE kind = 'method' AND container IS NOT NULL) SELECT ws AS workspace_id, section, entry FROM e QUALIFY row_number() OVER (PARTITION BY ws ORDER BY section, entry) <= 1000")
+def q20_trace_entries(spark, sf_dir):
+    return inventory.trace_entries(_edges(spark, sf_dir, ".cs"))
+
+
+def _other_edges(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return _of(extract.extract_evidence(sources.indexable(other_corpus(spark, sf_dir)))[1], *kinds)
+
+
+_K = "p AS (SELECT p_partkey AS k FROM part)"
+
+
+@query(f"WITH {_K} SELECT 'ui-event' AS source_kind, 'web2/v' || k || '.tsx::onClick:save' || k AS source_identifier, 'web2/v' || k || '.tsx::save' || k AS target_identifier, 'line=2' AS metadata FROM p UNION ALL SELECT 'route', '/p/' || k, 'Page' || k, 'line=3;framework=react' FROM p UNION ALL SELECT 'route', '/a/' || k, 'Page' || k, 'line=4;framework=angular' FROM p UNION ALL SELECT 'symbol', 'web2/v' || k || '.tsx::Page' || k, '/target' || k, 'line=6' FROM p")
+def x6_x8_events_and_routes(spark, sf_dir):
+    return _other_edges(spark, sf_dir, "invokes_handler", "renders_component", "navigates_to").select("source_kind", "source_identifier", "target_identifier", "metadata")
+
+
+@query(f"WITH {_K} SELECT 'fn/F' || k || '.cs::Job' || k AS source_identifier, 'IStore' AS target_identifier, 'parameter=store;field=_store;key=main;source=FromKeyedServices' AS metadata FROM p UNION ALL SELECT 'fn/F' || k || '.cs::Job' || k, 'IStore', NULL FROM p")
+def x24_keyed_dependencies(spark, sf_dir):
+    return _other_edges(spark, sf_dir, "depends_on").select("source_identifier", "target_identifier", "metadata")
+
+
+@query(f"WITH {_K} SELECT 'fn/F' || k || '.cs::Run' || k AS source_identifier, 'reads_table' AS relationship_kind, 'dbo.Part' || (k % 50) AS target_identifier, 'method=ExecuteQuery' AS metadata FROM p")
+def x30_x32_query_texts(spark, sf_dir):
+    return _other_edges(spark, sf_dir, "reads_table", "writes_table", "executes_procedure").select("source_identifier", "relationship_kind", "target_identifier", "metadata")
+
+
+@query(f"WITH {_K}, v AS (SELECT k, v.verb || ' /jobs/' || k AS api FROM p, (VALUES ('GET'), ('POST')) v(verb)) SELECT 'symbol' AS source_kind, 'fn/F' || k || '.cs::Run' || k AS source_identifier, 'handles_api' AS relationship_kind, 'api' AS target_kind, api AS target_identifier, 'azureFunction=run' || k AS metadata FROM v UNION ALL SELECT 'api', api, 'handled_by', 'azure-function', 'fn/F' || k || '.cs::Run' || k, 'azureFunction=run' || k FROM v UNION ALL SELECT 'api', 'GET /mini/' || k, 'handled_by', 'minimal-api', 'GET /mini/' || k, 'source=minimal-api' FROM p")
+def x35_x36_triggers_and_minimal_apis(spark, sf_dir):
+    return _other_edges(spark, sf_dir, "handles_api", "handled_by").drop("workspace_id")
+
+
 @query(f"WITH {_P} SELECT ws AS workspace_id, {_WEB} || '.component.html::click:go' || k AS source_identifier, {_WEB} || '.component.ts::go' || k AS target_identifier, 'resolved=true' AS metadata FROM p")
 def l1_template_handlers(spark, sf_dir):
     symbols, edges = extract.extract_evidence(_files(spark, sf_dir), {e: f for e, f in extract.EXTRACTORS.items() if ".ts" in e or ".html" in e})
@@ -149,7 +263,7 @@ def l1_template_handlers(spark, sf_dir):
 @query(f"WITH {_P} {_MATCH}")
 def l4_backend_matches(spark, sf_dir):
     found = link.match_backend_handlers(cut(_edges(spark, sf_dir, ".ts", ".cs")))
-    return inventory.list_flows(found, limit=1 << 30)
+    return inventory.list_flows(found, limit=None)
 
 
 @query(f"WITH {_P}, m AS ({_MATCH}), r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY frontend, handler, metadata) AS n FROM m) SELECT workspace_id, frontend, handler, match, metadata FROM r WHERE n <= 50")
@@ -187,7 +301,7 @@ def i3_soft_delete(spark, sf_dir):
     return sources.soft_delete_missing(stored, docs.where("doc_id % 3 <> 0")).select("workspace_id", "relative_path", "is_deleted")
 
 
-@query()
+@query(_SUMMARY)
 def q19_workspace_summary(spark, sf_dir):
     return inventory.workspace_summary(*_evidence(spark, sf_dir))
 
@@ -198,7 +312,7 @@ def o1_o6_overview(spark, sf_dir):
     return inventory.overview(files, edges)
 
 
-@query()
+@query(_DEPENDS)
 def q17_backend_listing(spark, sf_dir):
     return inventory.backend_listing(_edges(spark, sf_dir, ".cs", ".sql"))
 
@@ -248,14 +362,14 @@ _FLOWS = f"""SELECT ws AS workspace_id, 'cross-stack' AS category, {_WEB} || '.s
 
 @query(f"WITH {_P} {_FLOWS}")
 def r6_runtime_flows(spark, sf_dir):
-    flows = runtime.runtime_flows(_evidence(spark, sf_dir)[2], limit=1 << 30)
+    flows = runtime.runtime_flows(_evidence(spark, sf_dir)[2], limit=None)
     return flows.select("workspace_id", "category", "source", "target", "confidence", F.size("steps").alias("n_steps"))
 
 
 @query(f"WITH {_P}, f AS ({_FLOWS}) SELECT workspace_id, 2 AS entry_points, count(*) AS flows, count_if(category <> 'ui-interaction') AS reach_api, count(*) AS reach_backend, count(*) AS reach_data, 0 AS reach_cloud FROM f GROUP BY workspace_id")
 def r14_runtime_coverage(spark, sf_dir):
     files, _, edges = _evidence(spark, sf_dir)
-    return runtime.runtime_coverage(runtime.entry_points(files, edges), runtime.runtime_flows(edges, limit=1 << 30))
+    return runtime.runtime_coverage(runtime.entry_points(files, edges), runtime.runtime_flows(edges, limit=None))
 
 
 @query(f"WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY relative_path) AS n FROM d WHERE contains(language_id, 'sql')) SELECT workspace_id, relative_path AS title, 'sql parsed' AS subtitle, lang_of AS folder FROM (SELECT *, split_part(relative_path, '/', 1) AS lang_of FROM r) WHERE n <= 200")
