@@ -8,29 +8,24 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-    return row[0], row[1]
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; component is the smallest node reachable.
 
     Only per-node minima are gathered, never a node's neighbours, so a component or hub of any size costs a
-    pre-aggregated minimum and a skew-splittable join. Each round is written to shared storage. Self loops are
-    ignored; an empty table gives an empty table.
+    pre-aggregated minimum and a skew-splittable join. Each round is written to shared storage, which also counts and
+    sums its edges; rounds end when these stay. Self loops are ignored; an empty table gives an empty table.
     """
-    edges = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _signature(edges)
+    sign = ("u", "v")
+    edges, *before = scratch.counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *sign)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        after = scratch.cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        after, *now = scratch.counted(small.distinct(), *sign)
         scratch.drop(edges)
-        edges, now = after, _signature(after)
+        edges = after
         if now == before:
             break
         before = now

@@ -87,115 +87,119 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity_pct: int = 80,
     classes = scratch.cut(classes.select("h1", "h2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.a", "m.b"))
 
     groups_of = scratch.cut(_shared_groups(classes))
-    check = _Check(texts, classes, shingle, similarity_pct, scratch)
+    check = _Check(texts, shingle, similarity_pct, scratch)
     # the key of a class's two most common groups, then all keys of one class per component, join most copies; of all
     # keys of all classes only those that still span components are taken up
     check.stars(_keys(groups_of, top_only=True), rounds=1)
-    roots = groups_of.join(check.components(), "rep", "left").where("component is null or component = rep").drop("component")
-    check.stars(_keys(roots), rounds=1)
-    spread = groups_of.join(check.components(), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    check.stars(_keys(check.labelled(groups_of).where("component = rep").drop("component")), rounds=1)
+    spread = check.labelled(groups_of)
     open_keys = _keys(spread).groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    check.stars(_keys(spread).join(scratch.cut(open_keys), "key", "left_semi").select("key", "rep", "shared"), rounds=star_rounds, rest=True)
+    check.stars(_keys(spread).drop("component").join(scratch.cut(open_keys).hint("merge"), "key", "left_semi"), rounds=star_rounds, rest=True)
 
     found = check.components()
-    labelled = classes.join(found, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    labelled = labelled.withColumnRenamed("n_shingles", "n")
+    labelled = classes.join(found.hint("merge"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    labelled = labelled.withColumnRenamed("n_shingles", "n").hint("merge")
     out = sig.join(labelled, (sig.h1 == labelled.h1) & (sig.h2 == labelled.h2) & (sig.n_shingles == labelled.n) & sig.doc_id.isNotNull() & (sig.n_shingles > 0), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 class _Check:
-    """Confirms candidates on full shingle sets and remembers what was compared."""
+    """Confirms candidates on full shingle sets and remembers what was compared.
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, shingle: int, similarity_pct: int, scratch: Scratch):
+    Joins are merge joins: what they join grows with the input, and none of it is to be gathered in the driver."""
+
+    def __init__(self, texts: DataFrame, shingle: int, similarity_pct: int, scratch: Scratch):
         self.texts, self.shingle, self.pct, self.scratch = texts, shingle, similarity_pct, scratch
-        self.sizes = classes.select("rep", F.col("n_shingles").alias("n"))
         self.tried: DataFrame | None = None
-        self.fresh: DataFrame | None = None
-        self.found = self.sizes.limit(0).select("rep", F.col("rep").alias("component"))
+        self.found: DataFrame | None = None
 
     def compare(self, pairs: DataFrame) -> None:
-        """Adds ``pairs(rep, centre)`` that weren't compared before to ``tried(rep, centre, linked)``."""
-        pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried.select("rep", "centre"), ["rep", "centre"], "left_anti")
-        sized = pairs.join(self.sizes, "rep").join(self.sizes.select(F.col("rep").alias("centre"), F.col("n").alias("n_centre")), "centre")
+        """Confirms ``pairs(rep, n, centre, n_centre)`` that weren't compared before and joins the linked ones' components."""
         possible = f"100 * least(n, n_centre) >= {self.pct} * greatest(n, n_centre)"
-        pairs = self.scratch.cut(sized.select("rep", "centre", F.expr(possible).alias("possible")))
-        possible = pairs.where("possible").select("rep", "centre")
-        wanted = self.scratch.cut(possible.select(F.col("rep").alias("doc_id")).union(possible.select(F.col("centre").alias("doc_id"))).distinct())
-        sets = keep_ids(self.texts, wanted, wanted.count()).mapInArrow(_sets(self.shingle), "doc_id bigint, shingles array<bigint>")
-        checked = possible.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s1")), "rep")
-        checked = checked.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("s2")), "centre")
+        pairs = pairs.where(possible).select("rep", "centre").distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried.select("rep", "centre").hint("merge"), ["rep", "centre"], "left_anti")
+        pairs = self.scratch.cut(pairs)
+        wanted, n_wanted = self.scratch.counted(pairs.select(F.explode(F.array("rep", "centre")).alias("doc_id")).distinct())
+        if n_wanted == 0:
+            return
+        sets = keep_ids(self.texts, wanted, n_wanted).mapInArrow(_sets(self.shingle), "doc_id bigint, shingles array<bigint>")
+        checked = pairs.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("s1")).hint("merge"), "rep")
+        checked = checked.join(sets.select(F.col("doc_id").alias("centre"), F.col("shingles").alias("s2")).hint("merge"), "centre")
         common = F.size(F.array_intersect("s1", "s2"))
         linked = 100 * common >= self.pct * (F.size("s1") + F.size("s2") - common)
-        checked = checked.select("rep", "centre", linked.alias("linked")).groupBy("rep", "centre").agg(F.max("linked").alias("linked"))
-        checked = checked.unionByName(pairs.where("not possible").select("rep", "centre", F.lit(False).alias("linked")))
-        checked = self.scratch.cut(checked)
+        checked = self.scratch.cut(checked.select("rep", "centre", linked.alias("linked")).groupBy("rep", "centre").agg(F.max("linked").alias("linked")))
+        self.scratch.drop(pairs, wanted)
+        edges = checked.where("linked").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
+        if self.found is not None:
+            edges = edges.unionByName(self.found.select(F.col("rep").alias("u"), F.col("component").alias("v")))
+        self.found = self.scratch.cut(components(edges, self.scratch).select(F.col("node").alias("rep"), "component"))
         self.tried = checked if self.tried is None else self.tried.unionByName(checked)
-        self.fresh = checked if self.fresh is None else self.fresh.unionByName(checked)
+        self.scratch.collect_garbage()
+
+    def labelled(self, classes: DataFrame) -> DataFrame:
+        """``classes(rep, ...)`` with their ``component``; a class without links is one of its own."""
+        if self.found is None:
+            return classes.withColumn("component", F.col("rep"))
+        return classes.join(self.found.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def stars(self, members: DataFrame, rounds: int, rest: bool = False) -> None:
-        """Compares the members of each key with its centre, then, without it, with the next centre, ``rounds`` times.
+        """Compares the members ``(key, rep, n, shared)`` of each key with its centre, then, without it, with the next
+        centre, ``rounds`` times.
 
         Members that links join with the centre already need no comparison, and keys within one component are done.
         With ``rest``, the members of keys that are still open are then joined exactly (see ``rest``).
         """
         for turn in range(rounds + rest):
-            found = self.components()
-            members = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-            members = self.scratch.cut(members.join(self.scratch.cut(open_keys), "key", "left_semi"))
-            if members.isEmpty():
+            members = self.labelled(members)
+            order = F.struct((-F.col("shared")).alias("p"), F.xxhash64("rep").alias("h"), F.col("rep").alias("centre"), F.col("n").alias("n_centre"), F.col("component").alias("c"))
+            heads = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(order).alias("m"))
+            heads, n_heads = self.scratch.counted(heads.where("least <> most").select("key", "m.centre", "m.n_centre", "m.c"))
+            if n_heads == 0:
                 return
+            members = self.scratch.cut(members.join(heads.hint("merge"), "key"))
             if turn == rounds:
                 self.rest(members.select("rep", "component").distinct())
                 return
-            order = F.struct((-F.col("shared")).alias("p"), F.xxhash64("rep").alias("h"), "rep", "component")
-            centres = self.scratch.cut(members.groupBy("key").agg(F.min(order).alias("m")).select("key", F.col("m.rep").alias("centre"), F.col("m.component").alias("c")))
-            pairs = self.scratch.cut(members.join(centres, "key").where("rep <> centre"))
-            self.compare(pairs.where("component <> c").select("rep", "centre"))
-            members = pairs.select("key", "rep", "shared")
+            members = members.where("rep <> centre")
+            self.compare(members.where("component <> c"))
+            members = members.select("key", "rep", "n", "shared")
 
     def rest(self, left: DataFrame) -> None:
         """Compares all pairs of ``left(rep, component)`` that can be similar enough but are not of one component.
 
         Two such sets share one of their rarest shingles: of n shingles those but for the n - ceil(n * similarity) + 1
         rarest can be missed in any pair of that similarity. What is left of both sets from their first common shingle on
-        must still be enough for the overlap. Passages that many texts share are not rare, so they
-        make no pairs.
+        must still be enough for the overlap. Passages that many texts share are rarely among the rarest of a text, so
+        they make few pairs.
         """
-        left = self.scratch.cut(left)
-        sets = keep_ids(self.texts, left.select(F.col("rep").alias("doc_id")), left.count()).mapInArrow(_sets(self.shingle), "doc_id bigint, shingles array<bigint>")
+        left, n_left = self.scratch.counted(left)
+        sets = keep_ids(self.texts, left.select(F.col("rep").alias("doc_id")), n_left).mapInArrow(_sets(self.shingle), "doc_id bigint, shingles array<bigint>")
         each = self.scratch.cut(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("s")).distinct())
         often = each.groupBy("s").agg(F.count("*").alias("f"))
         rarest = Window.partitionBy("rep").orderBy("f", "s")
-        kept = each.join(often, "s").withColumn("i", F.row_number().over(rarest)).where(f"i <= n - ceil(n * {self.pct} / 100) + 1 and f > 1")
-        kept = self.scratch.cut(kept.join(left, "rep").select("s", "rep", "n", "i", "component"))
+        kept = each.join(often.hint("merge"), "s").withColumn("i", F.row_number().over(rarest)).where(f"i <= n - ceil(n * {self.pct} / 100) + 1 and f > 1")
+        kept = self.scratch.cut(kept.join(left.hint("merge"), "rep").select("s", "rep", "n", "i", "component"))
         open_ = kept.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("s")
-        kept = self.scratch.cut(kept.join(open_, "s", "left_semi"))
-        other = kept.select("s", F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("component").alias("c"))
-        near = f"100 * least(n, n2) >= {self.pct} * greatest(n, n2) and {100 + self.pct} * (1 + least(n - i, n2 - i2)) >= {self.pct} * (n + n2)"
-        self.compare(kept.join(other, "s").where("rep < centre and component <> c").where(near).select("rep", "centre"))
+        open_kept = self.scratch.cut(kept.join(open_.hint("merge"), "s", "left_semi"))
+        other = open_kept.select("s", F.col("rep").alias("centre"), F.col("n").alias("n_centre"), F.col("i").alias("i2"), F.col("component").alias("c"))
+        near = f"100 * least(n, n_centre) >= {self.pct} * greatest(n, n_centre) and {100 + self.pct} * (1 + least(n - i, n_centre - i2)) >= {self.pct} * (n + n_centre)"
+        self.compare(open_kept.join(other.hint("merge"), "s").where("rep < centre and component <> c").where(near).select("rep", "n", "centre", "n_centre"))
+        self.scratch.drop(each, kept, open_kept)
 
     def components(self) -> DataFrame:
-        """``(rep, component)`` of linked classes: links found since the last call are added to its components."""
-        if self.fresh is not None:
-            edges = self.fresh.where("linked").select(F.col("rep").alias("u"), F.col("centre").alias("v"))
-            edges = edges.unionByName(self.found.select(F.col("rep").alias("u"), F.col("component").alias("v")))
-            self.found = self.scratch.cut(components(edges, self.scratch).select(F.col("node").alias("rep"), "component"))
-            self.fresh = None
-        return self.found
+        """``(rep, component)`` of the linked classes."""
+        return self.found if self.found is not None else self.texts.sparkSession.createDataFrame([], "rep bigint, component bigint")
 
 
 def _shared_groups(classes: DataFrame) -> DataFrame:
-    """``(rep, shared, a, b)``: the hash groups that another class has too, of classes with some in both collections."""
-    one = lambda col, side: classes.select("rep", F.posexplode(col).alias("i", "value")).withColumn("side", F.lit(side))
+    """``(rep, n, shared, a, b)``: the hash groups that another class has too, of classes with some in both collections."""
+    one = lambda col, side: classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode(col).alias("i", "value")).withColumn("side", F.lit(side))
     groups = one("a", 0).unionByName(one("b", 1))
     common = groups.groupBy("side", "i", "value").agg(F.count("*").alias("c")).where("c > 1")
     group = F.struct((-F.col("c")).alias("few"), "i", "value")
-    by_class = groups.join(common, ["side", "i", "value"]).groupBy("rep").agg(
+    by_class = groups.join(common.hint("merge"), ["side", "i", "value"]).groupBy("rep", "n").agg(
         F.sum(F.col("c") - 1).alias("shared"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 0, group))).alias("a"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, group))).alias("b"),

@@ -7,13 +7,16 @@ Lineage is cut by writing a Parquet table into the folder that the cluster names
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids are broadcast for a semi or anti join only up to this many (8 bytes each); beyond it the join shuffles.
@@ -65,12 +68,25 @@ class Scratch:
         self.tables.append((out, path))
         return out
 
+    def counted(self, df: DataFrame, *signed: str) -> tuple:
+        """``cut``, its number of rows and, of the columns ``signed``, a sum that tells tables apart; found while writing."""
+        seen = Observation()
+        sign = F.sum(F.xxhash64(*signed).bitwiseAND(F.lit((1 << 40) - 1))) if signed else F.count(F.lit(1))
+        out = self.cut(df.observe(seen, F.count(F.lit(1)).alias("n"), sign.alias("s")))
+        return (out, seen.get["n"], seen.get["s"]) if signed else (out, seen.get["n"])
+
     def drop(self, *tables: DataFrame) -> None:
         for path in [p for t, p in self.tables if any(t is x for x in tables)]:
             _remove(self.spark, path)
             _written.remove((self.spark, path))
         self.tables = [(t, p) for t, p in self.tables if not any(t is x for x in tables)]
 
+    def collect_garbage(self) -> None:
+        """Lets Spark delete the shuffle files and plans of rounds that are over; else they stay until the driver happens
+        to need memory."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def keep_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or is not (``left_anti``) in ``ids``.
@@ -88,6 +104,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     ship(spark)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's modules to the executors, once per Spark application."""
     context = spark.sparkContext
