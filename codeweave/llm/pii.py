@@ -5,7 +5,8 @@ patterns: the last word, and the last two. Patterns with enough different seeds
 occurrence is followed by an identifier-like token (an instance) or by something else (counted against the pattern).
 Spark then scores the pattern-instance graph: a pattern's confidence is the share of believed instances among all that
 follows it (different instances and other words, so that copies of a text count once), an instance's is 1 minus the
-product of its patterns' doubts. After ``rounds`` rounds, instances that confident patterns extract become spans of
+product of its patterns' doubts. Patterns that could not be confident even if all their instances were believed, which
+is what common words come to, are dropped before their other words are gathered. After ``rounds`` rounds, instances that confident patterns extract become spans of
 kind ``id``.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql.types import StructField, StructType
 
 from .scratch import Scratch, small_batches
 from .spans import ARROW_SPANS, SPAN_TYPE, as_structs, digest, text_key, with_added
-from .textkeys import Slice, slices, windows
+from .textkeys import Slice, mix, slices, windows
 
 KINDS = ("email", "ip", "card", "phone", "id")
 BASE_KINDS = KINDS[:4]
@@ -142,29 +143,43 @@ def _occurrences(s: Slice, patterns: np.ndarray):
 
 
 _SEEN = "text_key string, pattern bigint, instance string, start bigint, stop bigint, other bigint"
+#: Pairs of a pattern and another word that a task holds before it passes them on.
+PAIRS_HELD = 500_000
 
 
-def _look_up(shared):
-    """Rows of ``doc_id`` and _SEEN: a row for each identifier after a pattern, and one of (pattern, other word) for each
-    different word that is none. Base spans, keys and offsets are found once for a text, whatever it holds."""
+def _different(pairs: list[np.ndarray]) -> np.ndarray:
+    """The different columns of some arrays of two rows, in the order of the first."""
+    both = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+    with np.errstate(over="ignore"):
+        key = mix(both[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + both[1].astype(np.uint64))
+    both = both[:, np.unique(key, return_index=True)[1]]
+    return both[:, np.argsort(both[0], kind="stable")]
+
+
+def _look_up(shared, words: bool):
+    """Rows of ``doc_id`` and _SEEN. With ``words``, the pairs of a pattern and another word after it, each once a task
+    (or more often, if it holds too many). Else a row for each identifier after a pattern, and for each pattern how many
+    different other words the task saw. Base spans, keys and offsets are found once for a text, whatever it holds."""
 
     def run(batches):
-        patterns = shared.value
+        patterns, held = shared.value, []
         for batch in batches:
-            column, ids, rows, others = batch.column(1), batch.column(0), [], []
+            column, ids, rows = batch.column(1), batch.column(0), []
             for s in slices(column):
                 pattern, row, word = _occurrences(s, patterns)
                 hashes = np.append(s.hashes.view(np.int64), 0)  # the last one stands for a text's end
                 digits = np.concatenate([[0], np.cumsum((s.data >= 48) & (s.data <= 57))])
                 digit = np.append(digits[s.ends] > digits[s.starts], False)[word]
-                others.append(np.stack([pattern[~digit], hashes[word[~digit]]]))
+                held.append(np.stack([pattern[~digit], hashes[word[~digit]]]))
                 chars = np.concatenate([[0], np.cumsum((s.data & 0xC0) != 0x80)])
                 known, base = -1, []
                 for i in np.flatnonzero(digit)[np.argsort(row[digit], kind="stable")].tolist():
                     r, w = int(row[i]), int(word[i])
                     m = _TOKEN.search(bytes(s.data[s.starts[w] : s.ends[w]]).decode())
                     if m is None or not _DIGITS.search(m[0]):
-                        others.append(np.array([[pattern[i]], [hashes[w]]]))
+                        held.append(np.array([[pattern[i]], [hashes[w]]]))
+                        continue
+                    if words:
                         continue
                     if r != known:
                         text = column[s.lo + r].as_py()
@@ -172,17 +187,46 @@ def _look_up(shared):
                     begin = int(chars[s.starts[w]] - chars[s.bounds[r]])
                     a, b = begin + m.start(), begin + m.end()
                     if not any(x < b and a < y for x, _, y in base):
-                        rows.append((ids[s.lo + r].as_py(), key, int(pattern[i]), text_key(m[0].lower()), a, b))
-            rest = np.unique(np.concatenate([*others, np.zeros((2, 0), np.int64)], axis=1), axis=1)
-            n, m = len(rows), rest.shape[1]
-            kinds = [ids.type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            columns = [[x[i] for x in rows] + [None] * m for i in range(6)]
-            columns[2][n:] = rest[0].tolist()
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array([None] * n + rest[1].tolist(), pa.int64())], names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "other"])
+                        rows.append((ids[s.lo + r].as_py(), key, int(pattern[i]), text_key(m[0].lower()), a, b, None))
+            yield _seen(rows, ids.type)
+            if sum(x.shape[1] for x in held) > PAIRS_HELD:
+                held = [_different(held)]
+                if held[0].shape[1] > PAIRS_HELD // 2:
+                    yield from _others(held.pop(), words, ids.type)
+        if held:
+            yield from _others(_different(held), words, ids.type)
 
     return run
 
 
+def _seen(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "other"])
+
+
+def _others(pairs: np.ndarray, words: bool, kind: pa.DataType):
+    if not words:
+        pairs = np.stack(np.unique(pairs[0], return_counts=True))
+    for i in range(0, pairs.shape[1], 100_000):
+        pattern, other = pairs[:, i : i + 100_000]
+        none = [pa.nulls(len(pattern), t) for t in (kind, pa.string(), pa.int64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([none[0], none[1], pa.array(pattern), none[3], none[2], none[2], pa.array(other)], names=["doc_id", "text_key", "pattern", "instance", "start", "stop", "other"])
+
+
+def _passes(texts: DataFrame, patterns: DataFrame, n: int, words: bool, scratch: Scratch) -> DataFrame:
+    """What ``_look_up`` finds of ``n`` patterns, one pass after the other, so that the driver holds those of one only."""
+    spark, seen, passes = texts.sparkSession, None, math.ceil(n / PATTERNS_PER_PASS)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    for i in range(passes):
+        chunk = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).toArrow().column(0).to_numpy()
+        shared = spark.sparkContext.broadcast(np.sort(chunk))
+        part = scratch.cut(texts.mapInArrow(_look_up(shared, words), f"doc_id {kind}, {_SEEN}"))
+        shared.destroy()
+        seen = part if seen is None else seen.unionByName(part)
+    return seen
+
+
 def find(docs: DataFrame, min_seeds: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added
     and all_spans (an array).
@@ -204,22 +248,22 @@ def _contextual(texts: DataFrame, base: DataFrame, scratch: Scratch, min_seeds:
     spark = texts.sparkSession
     kind = texts.schema["doc_id"].dataType.simpleString()
     seeds = base.select(F.explode("contexts").alias("c")).select("c.pattern", "c.instance").distinct()
-    induced = scratch.cut(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"))
-    n = induced.count()
+    nothing = spark.createDataFrame([], f"doc_id {kind}, text_key string, start bigint, place int, stop bigint")
+    induced, n = scratch.counted(seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"))
     if n == 0:
-        return spark.createDataFrame([], f"doc_id {kind}, text_key string, start bigint, place int, stop bigint")
-    passes = math.ceil(n / PATTERNS_PER_PASS)
-    seen = None
-    for i in range(passes):  # one after the other, so that the driver holds the patterns of one pass only
-        chunk = induced.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i).toArrow().column(0).to_numpy()
-        shared = spark.sparkContext.broadcast(np.sort(chunk))
-        part = scratch.cut(texts.mapInArrow(_look_up(shared), f"doc_id {kind}, {_SEEN}"))
-        shared.destroy()
-        seen = part if seen is None else seen.unionByName(part)
-    against = seen.where("other is not null").select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
+        return nothing
+    seen = _passes(texts, induced, n, False, scratch)
     known = seeds.join(induced, "pattern").withColumn("seed", F.lit(1.0))
     fresh = seen.where("instance is not null").select("pattern", "instance", F.lit(0.0).alias("seed")).distinct()
     graph = scratch.cut(known.unionByName(fresh).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    least = seen.where("other is not null").groupBy("pattern").agg(F.max("other").alias("least"))
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("n")).join(least, "pattern", "left")
+    hopeful, n = scratch.counted(sizes.where(min_confidence * F.coalesce("least", F.lit(0)) <= (1 - min_confidence) * F.col("n") + 1e-9).select("pattern"))
+    if n == 0:
+        return nothing
+    against = _passes(texts, hopeful, n, True, scratch).select("pattern", "other").distinct().groupBy("pattern").agg(F.count("*").alias("others"))
+    against = scratch.cut(against)
+    graph = scratch.cut(graph.join(hopeful, "pattern", "left_semi"))
     belief = graph.groupBy("instance").agg(F.max("seed").alias("belief"))
     patterns = None
     for _ in range(rounds):
