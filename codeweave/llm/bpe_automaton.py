@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import release, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -332,6 +332,7 @@ def _each_text(docs: DataFrame, path: str, make, schema: str) -> DataFrame:
                 yield make(a, batch)
         finally:
             a.words.clear()  # the worker lives on, in other operators' stages too
+            release()
 
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
