@@ -23,20 +23,23 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those between two languages; lang becomes the predicted language.
 
-    Learns from the same rows as query op4. A row is judged by its text, so repeated ids are judged one by one.
+    Learns from the same rows as query op4. A row is judged by its text, so repeated ids are judged one by one; null
+    and empty texts go. Columns of any further names stay as they are. An empty table stays empty.
     """
     model = language_id.fit(docs.where(~language_id.held_out()))
     judged = language_id.classify(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), model)
     kept = judged.where("lang_pred <> 'und' and not ambiguous")
-    return kept.withColumn("doc", F.col("doc_id")).select("doc.*", "lang_pred").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return kept.select(*[F.col("lang_pred" if c == "lang" else f"doc_id.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (shingles of five words, similarity 0.8), one row of it."""
-    found = minhash_dedup.near_duplicates(docs, shingle=5, similarity_pct=80)
-    found = Scratch(spark).cut(found)
+    """Keeps the smallest doc_id of each group of near copies (shingles of five words, similarity 0.8), one row of it.
+
+    Rows of null doc_id stay, and so do texts without words, each repeated id once. An empty table stays empty."""
+    scratch = Scratch(spark)
+    found = scratch.cut(minhash_dedup.near_duplicates(docs, shingle=5, similarity_pct=80))
     kept = _without(docs, found.where("not kept").select("doc_id"))
-    repeated = Scratch(spark).cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    repeated = scratch.cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
@@ -44,24 +47,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every personal-data span by its kind and renews n_chars; no document goes."""
+    """Replaces every personal-data span by its kind and renews n_chars; no document goes, null and repeated ones included."""
     return pii.mask(docs, pii.find(docs))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by probabilities raked to source, language and topic targets.
-
-    Rows of null doc_id are drawn one by one: each carries itself through the operator and follows its own ``sampled``.
-    """
-    row = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns)).alias("row")
-    drawn = mixing.mix(docs.select(F.struct("doc_id", row).alias("doc_id"), "text", "source", "lang"))
-    drawn = Scratch(spark).cut(drawn.select("doc_id.*", "sampled"))
-    kept = _without(docs.where("doc_id is not null"), drawn.where("not sampled and doc_id is not null").select("doc_id"))
-    return kept.unionByName(drawn.where("sampled and doc_id is null").select("row.*"))
+    """Samples documents by probabilities raked to source, language and topic targets. Every row follows its own draw,
+    one of null doc_id by its text; rows without words are not sampled."""
+    return mixing.sample(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    """Token ids of each document, with digests of the ids and of the text decoded from them; a null text counts as
+    empty, repeated rows give repeated results."""
     return bpe_automaton.encode_and_decode(docs, tokenizer_path(), keep_ids=True)
 
 
