@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import release, small_batches
 from .textkeys import slices
 
 #: The classifiers are fitted on about this many labelled rows at most, spread evenly over the languages; the model
@@ -70,20 +70,31 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 
 class Model:
+    """``x`` holds the training rows in half precision; the fit takes it in blocks and keeps three square matrices of
+    single precision at most, since the driver has little memory."""
+
     def __init__(self, languages: list[str], x: np.ndarray, labels: np.ndarray):
         self.languages, self.code = languages, codewords(max(1, len(languages)))
-        y = self.code[labels]
-        gram = (x @ x.T).astype(np.float64)
+        n, y = len(x), self.code[labels].astype(np.float32)
+        blocks = [slice(i, i + 256) for i in range(0, n, 256)]
+        gram = np.empty((n, n), dtype=np.float32)
+        for i in blocks:
+            rows = x[i].astype(np.float32)
+            for j in blocks:
+                gram[i, j] = rows @ x[j].astype(np.float32).T
         gram += 1.0
-        gram.flat[:: len(x) + 1] += RIDGE
-        inverse = np.linalg.inv(gram)
+        gram.flat[:: n + 1] += RIDGE
+        lower = np.linalg.cholesky(gram)
         del gram
-        dual = inverse @ y
-        left_out = y - dual / np.diag(inverse)[:, None]
-        right = ((left_out * y) > 0).mean(0).clip(0.5, 1 - 0.5 / (len(x) + 1))
+        inverse = np.linalg.inv(lower)
+        del lower
+        dual = inverse.T @ (inverse @ y)
+        left_out = y - dual / np.einsum("ij,ij->j", inverse, inverse)[:, None]
+        del inverse
+        right = ((left_out * y) > 0).mean(0).clip(0.5, 1 - 0.5 / (n + 1))
         self.bit_weight = np.log(right / (1 - right)) + 1e-6
         self.bit_weight /= self.bit_weight.sum()
-        self.weights, self.offset = (x.T @ dual).astype(np.float32), dual.sum(0)
+        self.weights, self.offset = sum(x[i].astype(np.float32).T @ dual[i] for i in blocks), dual.sum(0)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its share of the softmax of negative losses, and the lead over the next."""
@@ -127,11 +138,12 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
         return None
     place = {lang: i for i, lang in enumerate(languages)}
     labels = np.array([place[lang] for lang in rows.column("lang").to_pylist()])
-    x = np.empty((len(rows), FEATURES), dtype=np.float32)
-    for i, value in enumerate(rows.column("x")):
-        x[i] = np.frombuffer(value.as_buffer(), dtype=np.float16)
-    del rows
-    return Model(languages, x, labels)
+    values = rows.column("x").combine_chunks()
+    x = np.frombuffer(values.buffers()[2], dtype=np.float16)[values.offset * FEATURES :][: len(rows) * FEATURES].reshape(len(rows), FEATURES)
+    model = Model(languages, x, labels)
+    del rows, values, x
+    release()
+    return model
 
 
 def classify(docs: DataFrame, model: Model | None, min_lead: float = 0.15) -> DataFrame:
