@@ -8,6 +8,8 @@ text as ambiguous.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -131,17 +133,22 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     def run(batches):
         for batch in batches:
             x = features(batch.column(0)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "lang"])
+            keys = [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in x]
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), pa.array(keys, pa.int64())], names=["x", "lang", "k"])
 
-    rows = picked.mapInArrow(run, "x binary, lang string").orderBy("lang", "x").toArrow()
+    # put in order here, by a digest: a sort in Spark would sample the rows themselves for its ranges
+    rows = picked.mapInArrow(run, "x binary, lang string, k bigint").toArrow()
     if not len(rows):
         return None
     place = {lang: i for i, lang in enumerate(languages)}
     labels = np.array([place[lang] for lang in rows.column("lang").to_pylist()])
+    order = np.lexsort((rows.column("k").to_numpy(), labels))
     values = rows.column("x").combine_chunks()
     x = np.frombuffer(values.buffers()[2], dtype=np.float16)[values.offset * FEATURES :][: len(rows) * FEATURES].reshape(len(rows), FEATURES)
-    model = Model(languages, x, labels)
-    del rows, values, x
+    x = x[order]
+    del rows, values
+    model = Model(languages, x, labels[order])
+    del x
     release()
     return model
 
