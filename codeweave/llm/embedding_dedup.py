@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,7 +276,9 @@ def _compared(pairs: DataFrame, members: DataFrame, classes: DataFrame, threshol
     right = of.withColumnRenamed("ball", "v").join(pairs.select("u", "v").hint("merge"), "v").join(grids.hint("merge"), "u").select("u", "v", "rep", "copies", every("rows").alias("i"), part("columns").alias("j"))
     cells = left.unionByName(right).join(classes.select("rep", F.col("v").alias("x")).hint("merge"), "rep")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(part):
+        import pandas as pd
+
         out = []
         for _, same in part.groupby(part.x.map(len)):
             a, b = same[same.v.isna()], same[same.v.notna()]
@@ -291,4 +292,4 @@ def _compared(pairs: DataFrame, members: DataFrame, classes: DataFrame, threshol
         names = ["rep", "links", "u", "v"]
         return pd.concat([x.astype("Int64") for x in out]) if out else pd.DataFrame({c: pd.array([], "Int64") for c in names})
 
-    return cells.groupBy("u", "i", "j").applyInPandas(run, "rep bigint, links bigint, u bigint, v bigint").where("rep is null or links > 0")
+    return cells.groupBy("u", "i", "j").applyInPandas(run, schema="rep bigint, links bigint, u bigint, v bigint").where("rep is null or links > 0")
