@@ -8,7 +8,7 @@ text as ambiguous.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .scratch import release, small_batches
 from .textkeys import slices
 
-#: The classifiers are fitted on about this many labelled rows at most, spread evenly over the languages; the model
-#: and its data on the driver have this size whatever the input.
+#: The classifiers are fitted on about this many labelled rows at most, spread evenly over the languages; the task
+#: that fits them has this size whatever the input.
 MAX_TRAINING_ROWS = 2000
 FEATURES = 4096
 RIDGE = 0.05
@@ -73,7 +73,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 class Model:
     """``x`` holds the training rows in half precision; the fit takes it in blocks and keeps three square matrices of
-    single precision at most, since the driver has little memory."""
+    single precision at most, which a task has room for beside its executor."""
 
     def __init__(self, languages: list[str], x: np.ndarray, labels: np.ndarray):
         self.languages, self.code = languages, codewords(max(1, len(languages)))
@@ -130,27 +130,24 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | None:
     first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))  # about a quota of rows each; many rows of one id share a draw
     picked = picked.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * quota).select("text", "lang")
 
-    def run(batches):
+    def vectors(batches):
         for batch in batches:
             x = features(batch.column(0)).astype(np.float16)
-            keys = [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in x]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), pa.array(keys, pa.int64())], names=["x", "lang", "k"])
-
-    # put in order here, by a digest: a sort in Spark would sample the rows themselves for its ranges
-    rows = picked.mapInArrow(run, "x binary, lang string, k bigint").toArrow()
-    if not len(rows):
-        return None
-    place = {lang: i for i, lang in enumerate(languages)}
-    labels = np.array([place[lang] for lang in rows.column("lang").to_pylist()])
-    order = np.lexsort((rows.column("k").to_numpy(), labels))
-    values = rows.column("x").combine_chunks()
-    x = np.frombuffer(values.buffers()[2], dtype=np.float16)[values.offset * FEATURES :][: len(rows) * FEATURES].reshape(len(rows), FEATURES)
-    x = x[order]
-    del rows, values
-    model = Model(languages, x, labels[order])
-    del x
-    release()
-    return model
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "lang"])
+
+    def train(batches):
+        if sample := [row for batch in batches for row in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())]:
+            sample.sort()  # the order of rows must not depend on the shuffle
+            x = np.frombuffer(b"".join(r for _, r in sample), dtype=np.float16).reshape(len(sample), FEATURES)
+            labels = np.array([languages.index(lang) for lang, _ in sample])
+            del sample
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(languages, x, labels))], pa.binary())], names=["model"])
+            del x
+            release()
+
+    # the sample is bounded, so one task fits it; the driver only receives the weights
+    fitted = picked.mapInArrow(vectors, "x binary, lang string").repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
 def classify(docs: DataFrame, model: Model | None, min_lead: float = 0.15) -> DataFrame:
