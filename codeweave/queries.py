@@ -372,6 +372,32 @@ def r14_runtime_coverage(spark, sf_dir):
     return runtime.runtime_coverage(runtime.entry_points(files, edges), runtime.runtime_flows(edges, limit=None))
 
 
+_PATHS = f"""WITH {_P}, t AS (
+        SELECT ws, b, k, 95 AS c, 8 - k % 2 AS n, 'api / ' || lower(b) || ' / p' || k || CASE k % 4 WHEN 0 THEN ' / id' WHEN 1 THEN ' / save' ELSE '' END AS title FROM p WHERE k % 4 <> 3
+        UNION ALL SELECT ws, b, k, 80, 5, 'api / ' || lower(b) || ' / p' || k || ' / id / rev' FROM p WHERE k % 4 = 3),
+    e AS (SELECT DISTINCT ws, 'backend-startup' AS category, 'src/' || b || '/Api/Program.cs' AS detail, b FROM p),
+    f AS (SELECT e.ws, e.category, e.detail, t.c, t.n, row_number() OVER (PARTITION BY e.ws, e.detail ORDER BY t.c DESC, t.title) AS i FROM e JOIN t ON e.ws = t.ws AND e.b = t.b),
+    j AS (SELECT DISTINCT ws, 'jobs/Stock.Audit' || (k % 50) || '/Program.cs' AS detail, 'audit' || (k % 50) AS token FROM p),
+    x AS (SELECT DISTINCT ws, 'dbo.GetP' || k AS s, r AS kind, 'dbo.Audit' || (k % 50) AS d FROM p, (VALUES (12), (14)) v(r)),
+    y AS (SELECT j.ws, j.detail, row_number() OVER (PARTITION BY j.ws, j.detail ORDER BY x.kind, x.s, x.d) AS i FROM j JOIN x ON j.ws = x.ws AND contains(lower(x.d), j.token))
+    SELECT ws AS workspace_id, category, detail, CAST(max(c) AS BIGINT) AS confidence, count(*) AS n_flows, CAST(sum(n) AS BIGINT) AS n_steps FROM f WHERE i <= 6 GROUP BY ALL
+    UNION ALL SELECT ws, 'backend-startup', detail, 73, count(*), 3 * count(*) FROM y WHERE i <= 6 GROUP BY ws, detail
+    UNION ALL SELECT DISTINCT ws, 'backend-startup', 'tools/Program.cs', 90, 1, 1 FROM p"""
+
+
+@query(_PATHS)
+def r8_execution_paths(spark, sf_dir):
+    """Start files beside the corpus: in the folder of handlers, in a project named after a table, and in neither."""
+    files, _, edges = _evidence(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("workspace_id", F.concat(F.lit("ws"), (F.col("p_partkey") % 5).cast("string")))
+    brand = F.replace("p_brand", F.lit("Brand#"), F.lit("b"))
+    places = F.array(F.concat(F.lit("src/"), brand, F.lit("/Api/Program.cs")), F.concat(F.lit("jobs/Stock.Audit"), (F.col("p_partkey") % 50).cast("string"), F.lit("/Program.cs")), F.lit("tools/Program.cs"))
+    starts = part.select("workspace_id", F.explode(places).alias("relative_path")).distinct()
+    entries = runtime.entry_points(starts, edges).where("category = 'backend-startup'")
+    paths = runtime.execution_paths(entries, runtime.runtime_flows(edges, limit=None), edges, limit=None)
+    return paths.select("workspace_id", "category", "detail", "confidence", F.size("flows").cast("long").alias("n_flows"), "n_steps")
+
+
 @query(f"WITH {_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY relative_path) AS n FROM d WHERE contains(language_id, 'sql')) SELECT workspace_id, relative_path AS title, 'sql parsed' AS subtitle, lang_of AS folder FROM (SELECT *, split_part(relative_path, '/', 1) AS lang_of FROM r) WHERE n <= 200")
 def q9_explorer_files(spark, sf_dir):
     return inventory.explorer_files(sources.indexable(_documents(spark, sf_dir)), "SQL").select("workspace_id", "title", "subtitle", "folder")
