@@ -24,6 +24,7 @@ LANGUAGE_BY_EXTENSION = {
     ".yaml": "yaml",
     ".md": "markdown",
 }
+LANGUAGE_TITLES = {"csharp": "C# / ASP.NET", "sql": "SQL / T-SQL", "typescript": "TypeScript", "javascript": "JavaScript", "html": "HTML / Angular Templates", "json": "JSON configuration"}
 
 
 def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
@@ -32,6 +33,11 @@ def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
 
 
+def language_title(language_id: Column) -> Column:
+    """an id without a title stands for itself."""
+    return lookup(LANGUAGE_TITLES, language_id, language_id)
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import language_title
 from .operators import chains, extract, inventory, link, runtime, trace
 from .plans.corpus import other_corpus, part_corpus
 from .plans.materialise import cut, shared_folder
@@ -448,5 +449,22 @@ def t11_step_groups(spark, sf_dir):
     return trace.step_groups(_order_traces(spark, sf_dir)).select("entry", "stage", "first_step", "n")
 
 
+_CALL_TEXT = "CASE k % 4 WHEN 0 THEN 'this.http.get(''/api/' || b || '/P' || k || '/' || p_size || ''', {});' WHEN 1 THEN 'this.http.post(`${base}/P' || k || '/save`, {});' WHEN 2 THEN 'this.http.put(''/v2/api/' || b || '/P' || k || ''', {});' ELSE 'this.http.delete(''/api/' || b || '/P' || k || '/1'', {});' END"
+
+
+@query(f"WITH {_P} SELECT ws AS workspace_id, {_ACT} || '::Act' || k AS identifier, 11 AS line, 'public IActionResult Act' || k || '(int id)' AS preview FROM p UNION ALL SELECT ws, {_WEB} || '.service.ts::load' || k, 4, {_CALL_TEXT} FROM p")
+def t9_source_previews(spark, sf_dir):
+    edges = cut(_edges(spark, sf_dir, ".ts", ".cs"))
+    handlers = edges.where("relationship_kind = 'handled_by'").select("workspace_id", F.col("target_identifier").alias("identifier"), F.lit(None).cast("string").alias("metadata"))
+    calls = edges.where("relationship_kind = 'calls_api'").select("workspace_id", F.col("source_identifier").alias("identifier"), "metadata")
+    return trace.source_previews(handlers.unionByName(calls), edges, _files(spark, sf_dir)).select("workspace_id", "identifier", "line", "preview")
+
+
+@query(f"WITH {_DOCS} SELECT workspace_id, CASE language_id WHEN 'csharp' THEN 'C# / ASP.NET' WHEN 'sql' THEN 'SQL / T-SQL' WHEN 'typescript' THEN 'TypeScript' WHEN 'html' THEN 'HTML / Angular Templates' WHEN 'json' THEN 'JSON configuration' ELSE language_id END AS title, count(*) AS n FROM d WHERE octet_length(encode(text)) <= 1048576 GROUP BY ALL")
+def f12_language_titles(spark, sf_dir):
+    files = sources.indexable(_documents(spark, sf_dir))
+    return files.groupBy("workspace_id", language_title(F.col("language_id")).alias("title")).agg(F.count("*").alias("n"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return q16_list_flows(spark, "/root/testdata/sf0.001")
