@@ -1,4 +1,4 @@
-"""Queries of the ten operators and, where SQL can express them, their oracle."""
+"""Queries of the operators and, where SQL can express them, their oracle."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, bpe_automaton, chat_format, embedding_dedup, language_id, minhash_dedup, mixing, pii, secrets, substring_dedup
+from . import bitsliced_topk, bpe_automaton, chat_format, embedding_dedup, language_id, minhash_dedup, mixing, pii, secrets, substring_dedup, token_alignment
 
 
 def tokenizer_path() -> str:
@@ -17,6 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    """The sentencepiece model of the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,9 +75,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, similarity_pct=80)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_topk_search, op3_secret_scan, op4_language_id, op5_pii, op6_chat_format, op7_embedding_dedup, op8_mixing, op9_bpe, op10_minhash_dedup)
+    for f in (op1_substring_dedup, op2_topk_search, op3_secret_scan, op4_language_id, op5_pii, op6_chat_format, op7_embedding_dedup, op8_mixing, op9_bpe, op10_minhash_dedup, op13_token_alignment)
 }
 
 ORACLES = {
