@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, bpe_automaton, chat_format, embedding_dedup, language_id, minhash_dedup, mixing, pii, secrets, substring_dedup, token_alignment
+from . import bitsliced_topk, bpe_automaton, chat_format, embedding_dedup, language_id, minhash_dedup, mixing, pii, repeated_bytes, secrets, substring_dedup, token_alignment
 
 
 def tokenizer_path() -> str:
@@ -75,16 +75,36 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, similarity_pct=80)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_topk_search, op3_secret_scan, op4_language_id, op5_pii, op6_chat_format, op7_embedding_dedup, op8_mixing, op9_bpe, op10_minhash_dedup, op13_token_alignment)
+    for f in (op1_substring_dedup, op2_topk_search, op3_secret_scan, op4_language_id, op5_pii, op6_chat_format, op7_embedding_dedup, op8_mixing, op9_bpe, op10_minhash_dedup, op12_suffix_dedup, op13_token_alignment)
 }
 
 ORACLES = {
+    "op12_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (SELECT doc_id, unnest(range(CAST(length(h) / 2 AS BIGINT) - 99)) AS i, h FROM d WHERE length(h) >= 200),
+        strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM starts),
+        repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM strings) WHERE n > 1),
+        marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM repeats),
+        numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+        runs AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY doc_id, run),
+        totals AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS tail FROM runs GROUP BY doc_id),
+        pieces AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM runs),
+        heads AS (SELECT p.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+        SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN totals ON totals.doc_id = d.doc_id LEFT JOIN heads ON heads.doc_id = d.doc_id
+    """,
     "op2_topk_search": """
         WITH q AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
