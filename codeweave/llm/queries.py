@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, bpe_automaton, chat_format, embedding_dedup, language_id, minhash_dedup, mixing, pii, repeated_bytes, secrets, substring_dedup, token_alignment
+from . import bitsliced_topk, bpe_automaton, chat_format, embedding_dedup, language_id, minhash_dedup, mixing, pii, repeated_bytes, secrets, spelling_variants, substring_dedup, token_alignment
 
 
 def tokenizer_path() -> str:
@@ -75,6 +75,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, similarity_pct=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_bytes.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -86,7 +90,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_topk_search, op3_secret_scan, op4_language_id, op5_pii, op6_chat_format, op7_embedding_dedup, op8_mixing, op9_bpe, op10_minhash_dedup, op12_suffix_dedup, op13_token_alignment)
+    for f in (op1_substring_dedup, op2_topk_search, op3_secret_scan, op4_language_id, op5_pii, op6_chat_format, op7_embedding_dedup, op8_mixing, op9_bpe, op10_minhash_dedup, op11_spelling_variants, op12_suffix_dedup, op13_token_alignment)
 }
 
 ORACLES = {
