@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name, extension, qualify
 from ..functions.tokens import CLOSE, DOT, NAME, OPEN, QUOTED, TYPE_ARGUMENTS, any_of, apart, either, keep, line, maybe, seq
 from ..plans.materialise import cut
+from .statements import cs_statements, place, sql_code, with_block
 
 FILE = ("workspace_id", "relative_path")
 SYMBOL = (*FILE, "name", "kind", "container", "line", "col")
@@ -194,67 +195,70 @@ def extract_html(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
-_PART = either(r"\[[^\]]+\]", r"\w+")
-_OBJECT = keep(_PART + rf"(?:\s*\.\s*{_PART})*")
+_PART = either(r"\[[^\]]+\]", r"\"[^\"]+\"", r"#{0,2}\w++")
+_OBJECT = keep(_PART + rf"(?:\s*\.\s*{_PART})*+")
+_TOP = maybe("top", r"\([^)]*\)", maybe("percent"))
 
 
 def _after(*ways: str) -> str:
     """The objects that follow one of some phrases."""
-    return r"(?i)(?<![\w@#])" + apart(either(*(apart(*w.split()) for w in ways)), _OBJECT)
+    return r"(?i)(?<![\w@#])" + either(*(apart(*w.split()) for w in ways)) + r"\s+" + _TOP + _OBJECT
 
 
 #: Phrases before the tables that a statement writes and reads, in procedures and in texts of programs.
 _WRITTEN = _after("merge into", r"merge(?!\s+into\b)", "insert into", r"insert(?!\s+into\b)", "update", "delete from", r"delete(?!\s+from\b)")
-_READ = _after("from", "join", "using")
+_READ = _after("from", "join", "using") + r"(?!\s*\()"
 _TEXT_WRITTEN = _after("insert into", "update", "delete from")
 _TEXT_READ = _after("from", "join")
 _EXECUTED = _after("execute", "exec", "call")
+_CREATED = r"(?is)(.*?)\bcreate\s+" + keep(any_of("table", "view", "procedure", "proc", "function")) + r"\s+" + _OBJECT
+#: A procedure and what it does: in its batch, up to the next object that can't be created inside of it.
+_PROCEDURE = r"(?is)\bcreate\s+" + any_of("procedure", "proc") + r"\s+" + _OBJECT + r"(.*?)(?=\bcreate\s+" + any_of("view", "procedure", "proc", "function") + r"|\z)"
 
 
 def _plain(name: Column) -> Column:
-    return F.regexp_replace(name, r"[\[\]]|\s*(?=\.)|(?<=\.)\s*", "")
+    return F.regexp_replace(name, r"[\[\]\"]|\s*(?=\.)|(?<=\.)\s*", "")
+
+
+def _sql_symbols(files: DataFrame) -> DataFrame:
+    """Created objects, at the line and column of their name, however the statement wraps."""
+    match = F.arrays_zip(*[F.regexp_extract_all("code", F.lit(_CREATED), F.lit(i)).alias(n) for i, n in enumerate(("whole", "before", "kind", "object"))])
+    found = files.select(*FILE, F.posexplode(match).alias("i", "m")).select(*FILE, "i", "m.*")
+    ahead = F.substring(F.col("whole"), F.lit(1), F.length("whole") - F.length("object"))
+    wraps = lambda c: F.length(F.regexp_replace(c, r"[^\n]", ""))
+    earlier = Window.partitionBy(*FILE).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    line = F.coalesce(F.sum(wraps("whole")).over(earlier), F.lit(0)) + wraps(ahead) + 1
+    # two on one line: the column counts on from the line's start
+    rest = F.when(wraps(ahead) == 0, F.coalesce(F.lag(F.length(F.substring_index("whole", "\n", -1))).over(Window.partitionBy(*FILE).orderBy("i")), F.lit(0))).otherwise(0)
+    plain, kind = _plain(F.col("object")), F.lower("kind")
+    schema = F.when(plain.contains("."), F.substring_index(F.regexp_replace(plain, r"\.[^.]*$", ""), ".", -1))
+    return found.select(*FILE, F.substring_index(plain, ".", -1).alias("name"), F.when(kind == "proc", "procedure").otherwise(kind).alias("kind"), schema.alias("container"), line.cast("int").alias("line"), (rest + F.length(F.substring_index(ahead, "\n", -1)) + 1).cast("int").alias("col"))
 
 
 def extract_sql(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Created objects, and what each procedure reads and writes. A written table is also read."""
-    blank = F.regexp_replace(F.regexp_replace("content", r"(?m)--[^\n]*", ""), r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", " ")
-    lines = explode_lines(files.withColumn("content", blank))
-    create = "(?i)" + line(apart("create", keep(any_of("table", "view", "procedure", "proc", "function")), _OBJECT))
-    kind = F.lower(group("text", create))
-    lines = lines.withColumn("kind", F.when(kind == "proc", "procedure").otherwise(kind)).withColumn("object", _plain(group("text", create, 2)))
-    schema = F.when(F.col("object").contains("."), F.regexp_replace("object", r"\.[^.]*$", ""))
-    symbols = symbol(lines.where("object is not null"), F.substring_index("object", ".", -1), F.col("kind"), schema)
-    ended = F.col("text").rlike(r"(?i)^\s*GO\s*$") | (F.col("object").isNotNull() & (F.col("kind") != "procedure"))
-    now = F.when(F.col("kind") == "procedure", F.col("object")).when(ended, "")
-    so_far = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    body = lines.withColumn("procedure", F.last(now, ignorenulls=True).over(so_far)).where("procedure <> '' and object is null")
-    written = body.select(*FILE, "procedure", "line", F.explode(F.regexp_extract_all("text", F.lit(_WRITTEN), F.lit(1))).alias("table"))
-    read = body.select(*FILE, "procedure", "line", F.explode(F.regexp_extract_all("text", F.lit(_READ), F.lit(1))).alias("table"))
+    files = files.select(*FILE, sql_code(F.regexp_replace("content", "\r\n?", "\n")).alias("code"))
+    batch = F.posexplode(F.split("code", r"(?im)^[ \t]*GO[ \t]*(?:\d+[ \t]*)?$")).alias("batch", "code")
+    procedure = F.arrays_zip(*[F.regexp_extract_all("code", F.lit(_PROCEDURE), F.lit(i)).alias(n) for i, n in ((1, "procedure"), (2, "body"))])
+    bodies = files.select(*FILE, batch).select(*FILE, "batch", F.posexplode(procedure).alias("line", "p"))
+    bodies = bodies.select(*FILE, _plain(F.col("p.procedure")).alias("procedure"), (F.col("batch") * 1000 + F.col("line")).alias("line"), "p.body")
+    tables = lambda pattern: bodies.select(*FILE, "procedure", "line", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("col", "table"))
+    written, read = tables(_WRITTEN), tables(_READ)
     both = written.withColumn("kind", F.lit("writes_table")).unionByName(written.unionByName(read).withColumn("kind", F.lit("reads_table")))
     both = both.withColumn("table", _plain(F.col("table")))
-    first = Window.partitionBy(*FILE, F.lower("procedure"), "kind", F.lower("table")).orderBy("line", "table")
+    first = Window.partitionBy(*FILE, F.lower("procedure"), "kind", F.lower("table")).orderBy("line", "col", "table")
     both = both.withColumn("n", F.row_number().over(first)).where("n = 1")
     kinds = [edge(both.where(F.col("kind") == k), "procedure", _global(F.col("procedure")), k, "database-table", _global(F.col("table")), "source=tsql") for k in ("writes_table", "reads_table")]
-    return symbols, union(kinds)
+    return _sql_symbols(files), union(kinds)
 
 
 # --- C# ------------------------------------------------------------------------------------------------------------
 
-# a list of parameters, whose attributes have brackets of their own
-_GIVEN = r"\(((?:[^()]|\([^()]*\))*)\)"
-_MODIFIER = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|async|virtual|override|new|extern|unsafe)\s+)"
-_TYPE = rf"^\s*(?:\[[^\]]*\]\s*)*{_MODIFIER}*(class|interface|struct|record|enum)\s+([A-Za-z_]\w*)(?:<[^>{{]*>)?\s*(?:\([^)]*\))?\s*(?::\s*([^{{]+))?"
-_METHOD = rf"^\s*(?:\[[^\]]*\]\s*)*{_MODIFIER}+[A-Za-z_][\w<>\[\],.?]*(?:\s*<[^>]*>)?\s+([A-Za-z_]\w*)\s*(?:<[^>]*>)?\s*" + _GIVEN
-_INTERFACE_METHOD = r"^\s*[A-Za-z_][\w<>\[\],.?]*\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*;"
-_CONSTRUCTOR = r"^\s*(?:public|private|protected|internal)\s+([A-Za-z_]\w*)\s*" + _GIVEN
-_FIELD = r"^\s*(?:(?:private|protected|public|internal|readonly|static)\s+)+([A-Za-z_][\w<>,.?\[\]]*)\s+([A-Za-z_]\w*)\s*(?:;|=(?!>))"
-_PROPERTY = rf"^\s*{_MODIFIER}+([A-Za-z_][\w<>,.?\[\]]*)\s+([A-Za-z_]\w*)\s*(?:\{{|=>)"
+# Methods of data sets that write and read, and calls that are no steps of a flow.
 _EF_WRITES = ("Add", "AddAsync", "AddRange", "AddRangeAsync", "Update", "UpdateRange", "Remove", "RemoveRange")
 _EF_READS = ("Find", "FindAsync", "Where", "First", "FirstAsync", "FirstOrDefault", "FirstOrDefaultAsync", "Single", "SingleAsync", "SingleOrDefault", "SingleOrDefaultAsync", "ToList", "ToListAsync")
-_NOT_DIRECT = ("nameof", "ConfigureAwait", "Ok", "BadRequest", "StatusCode", "GetType", "ReferenceEquals", "if", "for", "foreach", "while", "switch", "catch", "using", "lock", "return", "typeof", "sizeof", "default", "when", "base", "this", "throw", "await", "checked", "fixed")
-_SQL_NAME = r"(?i)Sql|Query|Execute|Procedure"
-_CS_CALL = r"(?<!\w)" + seq(keep(NAME), r"[?!]?\.", keep(NAME), maybe(TYPE_ARGUMENTS) + OPEN)
-_CS_SET_CALL = r"(?<!\w)" + seq(keep(NAME), r"[?!]?\.", keep(NAME), r"[?!]?\.", keep(NAME), maybe(TYPE_ARGUMENTS) + OPEN)
+_NO_STEPS = ("nameof", "ConfigureAwait", "Ok", "BadRequest", "StatusCode", "GetType", "ReferenceEquals")
+_CONNECTIONS = ("GetShardConnection", "GetReadonlyShardConnection")
 # Namespaces of cloud services and the services' names.
 AZURE_SERVICES = {
     "Azure.Storage.Blobs": "Azure Blob Storage",
@@ -267,184 +271,252 @@ AZURE_SERVICES = {
     "Microsoft.Azure.Functions": "Azure Functions",
     "Microsoft.Azure.WebJobs": "Azure Functions",
 }
-
-
-def cs_scopes(files: DataFrame) -> DataFrame:
-    """Lines with brace ``depth`` before them, the enclosing ``owner`` type and ``method``, and what they declare.
-
-    Braces in comments and string bodies don't count; of each depth the last type declared so far is carried along.
-    """
-    lines = explode_lines(files)
-    code = F.regexp_replace(F.regexp_replace("text", r'"(?:\\.|[^"\\])*"', '""'), r"//.*$", "")
-    lines = lines.withColumn("code", code)
-    delta = F.length(F.regexp_replace("code", r"[^{]", "")) - F.length(F.regexp_replace("code", r"[^}]", ""))
-    order = Window.partitionBy(*FILE).orderBy("line")
-    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("depth", F.coalesce(F.sum(delta).over(before), F.lit(0)))
-    lines = lines.withColumn("type_word", group("code", _TYPE)).withColumn("type_name", group("code", _TYPE, 2)).withColumn("bases", group("code", _TYPE, 3))
-    at = lambda d: F.last(F.when(F.col("type_name").isNotNull() & (F.col("depth") == d), F.struct("type_name", F.col("line").alias("at"), F.col("depth").alias("d"), "type_word")), ignorenulls=True).over(before)
-    lines = cut(lines)
-    deepest = lines.where("type_name is not null").agg(F.max("depth")).first()[0] or 0
-    depths = range(deepest + 1)
-    for d in depths:
-        lines = lines.withColumn(f"o{d}", at(d))
-    owner = F.coalesce(*[F.when(F.col("depth") > d, F.col(f"o{d}")) for d in reversed(depths)])
-    lines = lines.withColumn("o", owner).drop(*[f"o{d}" for d in depths])
-    lines = lines.withColumn("owner", F.col("o.type_name")).withColumn("owner_depth", F.col("o.d")).withColumn("owner_word", F.col("o.type_word")).drop("o")
-    member = (F.col("depth") == F.col("owner_depth") + 1) & F.col("type_name").isNull()
-    built = group("code", _CONSTRUCTOR)
-    lines = lines.withColumn("constructor", F.when(member & (built == F.col("owner")), built)).withColumn("parameters", F.when(member, F.coalesce(group("text", _CONSTRUCTOR, 2), group("text", _METHOD, 2))))
-    name = F.when(F.col("owner_word") == "interface", F.coalesce(group("code", _METHOD), group("code", _INTERFACE_METHOD))).otherwise(group("code", _METHOD))
-    lines = lines.withColumn("method_name", F.when(member & F.col("constructor").isNull(), name))
-    lines = lines.withColumn("property_name", F.when(member & F.col("constructor").isNull() & F.col("method_name").isNull(), group("code", _PROPERTY, 2)))
-    started = F.when(F.col("method_name").isNotNull() | F.col("constructor").isNotNull(), F.struct(F.coalesce("method_name", "constructor").alias("name"), F.col("depth").alias("d"), F.col("line").alias("at"), F.col("constructor").isNotNull().alias("builds")))
-    lines = lines.withColumn("m", F.last(started, ignorenulls=True).over(so_far))
-    inside = (F.col("depth") > F.col("m.d")) | (F.col("line") == F.col("m.at"))
-    lines = lines.withColumn("method", F.when(inside, F.col("m.name"))).withColumn("method_at", F.when(inside, F.col("m.at"))).withColumn("in_constructor", F.coalesce(inside & F.col("m.builds"), F.lit(False)))
-    body = F.when(F.col("line") == F.col("method_at"), F.coalesce(group("text", r"(?:=>|\)\s*\{)(.*)$"), F.lit(""))).otherwise(F.col("text"))
-    return lines.withColumn("body", F.when(F.col("method").isNotNull(), F.regexp_replace(body, r"//[^\"]*$", ""))).drop("m")
+_SQL_CALL = r"(?i)Sql|Query|Execute|Procedure"
+
+# Words of the language: modifiers, words that begin something other than a member with a type, and words before a
+# round bracket that call nothing.
+_MODIFIERS = ("public", "private", "protected", "internal", "static", "sealed", "abstract", "partial", "readonly", "async", "virtual", "override", "new", "extern", "unsafe", "const", "volatile", "required", "ref", "file")
+_NO_TYPES = (*_MODIFIERS, "class", "interface", "struct", "record", "enum", "delegate", "event", "namespace", "using", "operator", "implicit", "explicit", "return", "await", "throw", "yield", "else", "case", "goto", "in", "is", "as", "not", "and", "or", "when", "where", "out", "params", "this", "base")
+_NO_CALLS = (*_NO_TYPES, "if", "for", "foreach", "while", "switch", "catch", "lock", "typeof", "sizeof", "default", "checked", "unchecked", "fixed", "stackalloc", "var", "with", "get", "set", "init")
+
+_WORD = r"[A-Za-z_]\w*+"
+_ARGUMENTS = r"<[^<>(){};]*+(?:<[^<>(){};]*+(?:<[^<>(){};]*+>[^<>(){};]*+)*+>[^<>(){};]*+)*+>"
+_CS_TYPE = rf"(?!{any_of(*_NO_TYPES)})(?:{_WORD}(?:\s*(?:\.|::)\s*{_WORD})*+(?:\s*{_ARGUMENTS})?(?:\s*\.\s*{_WORD}(?:\s*{_ARGUMENTS})?)?|\([^()]*+\))(?:\?|\s*\[[,\s]*+\])*+"
+_HEAD = rf"(?s)^(\s*(?:{any_of(*_MODIFIERS)}\s+)*"
+_OF_INTERFACE = rf"(?:{_WORD}(?:{_ARGUMENTS})?\s*\.\s*)*+"
+_ROUND = r"\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\))*+)\)"
+_DECLARED = _HEAD + rf"(class|interface|struct|record|enum)\s+(?:(?:struct|class)\s+)?)({_WORD})(?:\s*{_ARGUMENTS})?\s*(?:{_ROUND})?\s*(?::(.*?))?(?:\bwhere\b[^{{;]*+)?[{{;]?\s*$"
+_METHOD = _HEAD + rf"({_CS_TYPE})\s+{_OF_INTERFACE})({_WORD})\s*(?:{_ARGUMENTS})?\s*{_ROUND}"
+_CONSTRUCTOR = _HEAD + rf")({_WORD})\s*{_ROUND}"
+_PROPERTY = _HEAD + rf"({_CS_TYPE})\s+{_OF_INTERFACE})({_WORD})\s*(?:\{{|=>)"
+_FIELD = _HEAD + rf"({_CS_TYPE})\s+)({_WORD}(?:\s*,\s*{_WORD})*+)\s*(?:;|=(?!>))"
+_NAMESPACE = r"^\s*namespace\s+([\w.]+)"
+_ATTRIBUTES = r"^\s*(?:\[(?:[^\[\]]|\[[^\[\]]*+\])*+\]\s*)+"
+_CS_CALL = rf"(?<!\w)(?<!\?\.)({_WORD})\s*\.\s*({_WORD})\s*(?:{_ARGUMENTS}\s*)?\("
+_CS_SET_CALL = rf"(?<!\w)(?<!\?\.)({_WORD})\s*\.\s*({_WORD})\s*\.\s*({_WORD})\s*(?:{_ARGUMENTS}\s*)?\("
+_CS_ASSIGNED = rf"\b(?:this\s*\.\s*)?({_WORD})\s*=\s*(?:\w+\s*\.\s*)*+({_WORD})\s*;"
+#: Texts as written: filled-in ones (no literals), verbatim, raw and plain ones; their bodies are groups 1 to 3.
+_CS_TEXT = r"(?:(?:\$@|@\$|\$+)\"(?:[^\"\\]|\\.)*+\"|@\"([^\"]*+(?:\"\"[^\"]*+)*+)\"|\"\"\"(?s:(.*?))\"\"\"|\"([^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+)\")"
+
+
+def _attribute(names: str) -> str:
+    """An attribute of one of some names, dotted or with its long name, in a list or alone."""
+    return rf"(?:\[|,)\s*(?:[\w.]+\.)?{names}(?:Attribute)?(?=\s*[\](,])"
+
+
+def _first_text(names: str) -> str:
+    return _attribute(names) + r"\s*\([^\")]*+\"([^\"]*+)\""
+
+
+def cs_members(files: DataFrame) -> DataFrame:
+    """Statements with the ``owner`` type around them (its word, and its line as ``owner_at``), what they declare
+    (``type_name``, ``method_name``, ``constructor``, ``property_name``, each at ``line`` and ``col``), their
+    ``attributes``, and for statements of a method or constructor ``method``, ``method_at`` and ``body``."""
+    s = cs_statements(files)
+    file = Window.partitionBy(*FILE).orderBy("pos")
+    so_far, earlier = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(Window.unboundedPreceding, -1)
+    # attributes on the declaration itself give way to blanks; those that stand alone above it are carried down
+    ahead = F.regexp_extract("code", _ATTRIBUTES, 0)
+    alone = (F.length(ahead) == F.length("code")) & (ahead != "")
+    own = F.substring(F.col("text"), F.lit(1), F.length(ahead))
+    run = F.coalesce(F.sum(F.when(alone, 0).otherwise(1)).over(earlier), F.lit(0))
+    s = s.withColumn("alone", alone).withColumn("run", run).withColumn("own", own)
+    above = Window.partitionBy(*FILE, "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("attributes", F.concat_ws("\n", F.collect_list(F.when(F.col("own") != "", F.col("own"))).over(above)))
+    s = s.where("not alone").withColumn("code", F.concat(F.regexp_replace(ahead, r"[^\n]", " "), F.substring(F.col("code"), F.length(ahead) + 1, F.length("code")))).drop("own", "run", "alone")
+
+    word, name = group("code", _DECLARED, 2), group("code", _DECLARED, 3)
+    s = s.withColumn("type_word", word).withColumn("type_name", name).withColumn("bases", group("code", _DECLARED, 5))
+    s = s.withColumn("namespace_name", group("code", _NAMESPACE))
+    kind = F.when(F.col("type_name").isNotNull(), "type").when(F.col("namespace_name").isNotNull(), "namespace").otherwise("other")
+    s = with_block(s, F.struct(kind.alias("kind"), F.coalesce("type_name", "namespace_name").alias("name"), F.col("type_word").alias("word"), F.col("line").alias("at")))
+    in_type, of_file = F.col("block.kind") == "type", F.last(F.when((F.col("depth") == 0) & F.col("code").endswith(";"), F.col("namespace_name")), ignorenulls=True).over(so_far)
+    member = F.coalesce(in_type, F.lit(False)) & F.col("type_name").isNull()
+    owner = F.when(in_type, F.struct(F.col("block.name").alias("name"), F.col("block.word").alias("word"), F.col("block.at").alias("at")))
+    s = s.withColumn("member", member).withColumn("o", owner)
+    s = s.withColumn("namespace", F.when(F.col("block.kind") == "namespace", F.col("block.name")).when(~F.coalesce(in_type, F.lit(False)), of_file))
+    built = group("code", _CONSTRUCTOR, 2)
+    s = s.withColumn("constructor", F.when(member & (built == F.col("o.name")), built))
+    plain = member & F.col("constructor").isNull()
+    s = s.withColumn("method_name", F.when(plain, group("code", _METHOD, 3)))
+    s = s.withColumn("property_name", F.when(plain & F.col("method_name").isNull(), group("code", _PROPERTY, 3)))
+    pattern = lambda i, j, k, m: F.when(F.col("type_name").isNotNull(), group("code", _DECLARED, i)).when(F.col("constructor").isNotNull(), group("code", _CONSTRUCTOR, j)).when(F.col("method_name").isNotNull(), group("code", _METHOD, k)).when(F.col("property_name").isNotNull(), group("code", _PROPERTY, m))
+    line, col = place(F.coalesce(pattern(1, 1, 1, 1), F.lit("")))
+    s = s.withColumn("first", F.col("line")).withColumn("line", F.coalesce(line, F.col("line"))).withColumn("col", col)
+    listed = F.when(F.col("constructor").isNotNull(), group("code", _CONSTRUCTOR, 3)).when(F.col("method_name").isNotNull(), group("code", _METHOD, 4))
+    start = F.when(F.col("constructor").isNotNull(), F.length(F.regexp_extract("code", _CONSTRUCTOR.removesuffix(_ROUND), 0))).otherwise(F.length(F.regexp_extract("code", _METHOD.removesuffix(_ROUND), 0)))
+    s = s.withColumn("parameters", F.when(listed.isNotNull(), F.substring(F.col("text"), start + 2, F.length(listed))))
+
+    # a member's statements are those deeper than it, up to the next member
+    now = F.struct("o", "depth", F.col("pos").alias("at"), F.coalesce("method_name", "constructor").alias("name"), F.col("constructor").isNotNull().alias("builds"))
+    started = F.when(F.col("member"), now).when(F.col("type_name").isNotNull() | (F.col("depth") == 0), F.struct(F.lit(None).cast(s.schema["o"].dataType).alias("o"), "depth", F.col("pos").alias("at"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("builds")))
+    s = s.withColumn("m", F.last(started, ignorenulls=True).over(so_far))
+    itself = F.col("pos") == F.col("m.at")
+    inside = F.col("m.name").isNotNull() & ((F.col("depth") > F.col("m.depth")) | itself)
+    s = s.withColumn("owner", F.when(inside, F.col("m.o.name")).otherwise(F.col("o.name"))).withColumn("owner_word", F.when(inside, F.col("m.o.word")).otherwise(F.col("o.word")))
+    s = s.withColumn("method", F.when(inside, F.col("m.name"))).withColumn("method_at", F.when(inside, F.col("m.at"))).withColumn("in_constructor", F.coalesce(inside & F.col("m.builds"), F.lit(False)))
+    arrow = F.regexp_extract("code", r"(?s)=>(.*)$", 1)
+    local = F.when(F.col("code").rlike(_METHOD + r"\s*(?:where\b[^{;=]*+)?(?:\{|=>)"), group("code", _METHOD.removesuffix(_ROUND), 0))
+    within = F.when(local.isNotNull(), F.substring(F.col("code"), F.length(local) + 1, F.length("code"))).otherwise(F.col("code"))
+    s = s.withColumn("body", F.when(inside & itself, arrow).when(inside, within))
+    return s.withColumn("body_text", F.substring(F.col("text"), F.length("code") - F.length("body") + 1, F.length("body"))).withColumnRenamed("text", "whole_text").drop("m", "o", "block", "lines")
 
 
 def cs_type_kind() -> Column:
     """The kind of a type from its word, name, bases, attributes and path."""
     name = F.col("type_name")
-    model = F.col("relative_path").rlike("/(Domain|Models)/") | name.rlike("(Model|Entity)$")
+    model = F.col("relative_path").rlike("(?i)/(Domain|Models)/") | name.rlike("(Model|Entity)$")
+    has = lambda names: F.coalesce(F.col("attributes").rlike(_attribute(names)), F.lit(False))
     of_class = (
-        F.when(name.endswith("Controller") | F.coalesce(F.col("attributes").rlike(r"\[(?:Api)?Controller"), F.lit(False)), "controller")
+        F.when(name.endswith("Controller") | has("(?:Api)?Controller"), "controller")
         .when(name.endswith("Repository"), "repository")
         .when(name.endswith("Function") | F.coalesce(F.col("has_function"), F.lit(False)), "azure-function")
-        .when(F.coalesce(F.col("bases"), F.lit("")).rlike(r"DbContext\b"), "db-context")
+        .when(F.coalesce(F.col("bases"), F.lit("")).rlike(r"DbContext\s*(?:,|$)"), "db-context")
         .when(model, "domain-model")
         .otherwise("class")
     )
     return F.when(F.col("type_word") == "class", of_class).otherwise(F.col("type_word"))
 
 
-def _attributes(lines: DataFrame) -> DataFrame:
-    """Adds ``attributes``: the attribute lines directly above a declaration, and those on its own line."""
-    order = Window.partitionBy(*FILE).orderBy("line")
-    alone = F.col("text").rlike(r"^\s*\[.*\]\s*$")
-    run = F.sum(F.when(alone, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    lines = lines.withColumn("alone", alone).withColumn("run", F.coalesce(run, F.lit(0)))
-    above = Window.partitionBy(*FILE, "run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when(F.col("alone"), F.col("text")).otherwise(F.regexp_extract("text", r"^\s*((?:\[[^\]]*\]\s*)+)", 1))
-    return lines.withColumn("attributes", F.concat_ws("\n", F.collect_list(own).over(above)))
-
-
-def member_types(lines: DataFrame) -> DataFrame:
-    """``(file, owner, member, type)``: fields, then constructor parameters, then assignments from parameters."""
-    member = (F.col("depth") == F.col("owner_depth") + 1) & F.col("method_name").isNull() & F.col("constructor").isNull()
-    fields = lines.where(member).select(*FILE, "owner", group("code", _FIELD).alias("type"), group("code", _FIELD, 2).alias("member"), "line", F.lit(1).alias("rank")).where("member is not null")
-    parameter = r"(?:\[[^\]]*\]\s*)*([A-Za-z_][\w<>.?\[\]]*)\s+([A-Za-z_]\w*)\s*(?:=.*)?$"
-    given = lines.where("constructor is not null").select(*FILE, "owner", "line", F.explode(F.split("parameters", r",(?![^<]*>)")).alias("p"))
-    given = given.select(*FILE, "owner", group(F.trim("p"), parameter).alias("type"), group(F.trim("p"), parameter, 2).alias("member"), "line", F.lit(2).alias("rank")).where("member is not null")
-    assigned = lines.where("in_constructor").select(*FILE, "owner", "line", F.explode(every("body", r"\b(?:this\.)?([A-Za-z_]\w*)\s*=\s*([A-Za-z_]\w*)\s*;", "left", "right")).alias("a"))
-    assigned = assigned.select(*FILE, "owner", F.col("a.left").alias("member"), F.col("a.right").alias("right"), "line")
-    from_parameter = assigned.join(given.select(*FILE, "owner", F.col("member").alias("right"), "type").distinct(), [*FILE, "owner", "right"]).select(*FILE, "owner", "type", "member", "line", F.lit(3).alias("rank"))
-    every_one = union([fields, given.select(fields.columns), from_parameter.select(fields.columns)])
-    return every_one.groupBy(*FILE, "owner", "member").agg(F.max_by("type", F.struct("rank", "line")).alias("type"), F.min("line").alias("line"))
-
-
-def _mvc(lines: DataFrame) -> DataFrame:
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _listed(text: str | Column) -> Column:
+    """Parts of a list between commas outside of brackets."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?:[^,<>()\[\]\"]|{_ARGUMENTS}|{_ROUND}|\[(?:[^\[\]\"]|\"[^\"]*+\")*+\]|\"[^\"]*+\"|[<>])++"), F.lit(0)), _strip)
+
+
+def member_types(s: DataFrame) -> DataFrame:
+    """``(file, owner, member, type)`` of classes: fields, then parameters and assignments of each constructor in
+    turn; the later wins. An assignment passes the type of the parameter on, else that of the field."""
+    s = s.where("owner_word = 'class'")
+    fields = s.where("member and method_name is null and constructor is null and property_name is null").select(*FILE, "owner", group("code", _FIELD, 2).alias("type"), F.explode(F.split(group("code", _FIELD, 3), r"\s*,\s*")).alias("member"), "line", F.struct(F.lit(0).alias("at"), F.lit(0).alias("step"), F.col("pos").alias("pos")).alias("order"))
+    parameter = rf"(?s)^(?:\[(?:[^\[\]]|\[[^\[\]]*+\])*+\]\s*)*+(?:(?:this|ref|out|in|params)\s+)*+({_CS_TYPE})\s+({_WORD})\s*(?:=.*)?$"
+    given = s.where("constructor is not null").select(*FILE, "owner", "line", "pos", F.posexplode(_listed("parameters")).alias("i", "p"))
+    given = given.select(*FILE, "owner", group("p", parameter).alias("type"), group("p", parameter, 2).alias("member"), "line", F.struct(F.col("pos").alias("at"), F.lit(1).alias("step"), F.col("i").alias("pos")).alias("order")).where("member is not null")
+    assigned = s.where("in_constructor").select(*FILE, "owner", "line", "pos", "method_at", F.explode(every("body", _CS_ASSIGNED, "left", "right")).alias("a"))
+    assigned = assigned.select(*FILE, "owner", F.col("a.left").alias("member"), F.col("a.right").alias("right"), "line", F.struct(F.col("method_at").alias("at"), F.lit(2).alias("step"), F.col("pos").alias("pos")).alias("order"))
+    known = union([x.select(*FILE, "owner", F.col("member").alias("right"), "type", F.col("order.at").alias("from")) for x in (fields, given)])
+    passed = assigned.join(known, [*FILE, "owner", "right"]).where("from = 0 or from = order.at")
+    passed = passed.groupBy(*FILE, "owner", "member", "line", "order").agg(F.max_by("type", "from").alias("type"))
+    every_one = union([x.select(*FILE, "owner", "member", "type", "line", "order") for x in (fields, given, passed)])
+    return every_one.groupBy(*FILE, "owner", "member").agg(F.max_by("type", "order").alias("type"), F.min("line").alias("line"))
+
+
+def _mvc(s: DataFrame) -> DataFrame:
     """Endpoints by verb attributes; class and method routes combined."""
-    types = lines.where("type_name is not null").select(*FILE, F.col("type_name").alias("owner"), group("attributes", r"\[Route\(\"([^\"]*)\"").alias("class_route"))
-    found = lines.where("method_name is not null").withColumn("own_route", group("attributes", r"\[Route\(\"([^\"]*)\""))
-    verbs = found.select(*FILE, "line", "owner", "method_name", "own_route", F.posexplode(every("attributes", r"\[(?:[\w.]+\.)?Http(Get|Post|Put|Patch|Delete)(?:Attribute)?(?:\(\s*(?:\"([^\"]*)\")?[^)]*\))?", "verb", "template")).alias("col", "m"))
+    types = s.where("type_word = 'class'").select(*FILE, F.col("type_name").alias("owner"), group("attributes", _first_text("Route")).alias("class_route"))
+    found = s.where("method_name is not null and owner_word = 'class'").withColumn("own_route", group("attributes", _first_text("Route")))
+    verb = _attribute("Http(Get|Post|Put|Patch|Delete)") + r"(?:\s*\([^\")]*+(?:\"([^\"]*+)\")?)?"
+    verbs = found.select(*FILE, "line", "owner", "method_name", "own_route", F.posexplode(every("attributes", verb, "verb", "template")).alias("col", "m"))
     verbs = verbs.join(types, [*FILE, "owner"], "left")
     own = F.when(F.col("m.template") != "", F.col("m.template")).otherwise(F.col("own_route"))
-    trim = lambda c: F.regexp_replace(c, "^/+|/+$", "")
-    joined = F.array_join(F.filter(F.array(trim(F.col("class_route")), trim(own)), lambda x: x.isNotNull() & (x != "")), "/")
+    joined = F.array_join(F.filter(F.array(F.col("class_route"), own), lambda x: x.isNotNull() & (F.trim(x) != "")), "/")
     named = F.regexp_replace(F.regexp_replace(joined, r"(?i)\[controller\]", F.regexp_replace("owner", "Controller$", "")), r"(?i)\[action\]", F.col("method_name"))
-    return verbs.withColumn("api", F.concat(F.upper("m.verb"), F.lit(" /"), named))
+    return verbs.withColumn("api", F.concat(F.upper("m.verb"), F.lit(" /"), _bare_route(named)))
+
+
+def _bare_route(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), "^/+|/+$", "")
 
 
 def extract_cs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """X18 to X38, lexically."""
-    lines = _attributes(cs_scopes(files))
-    namespace = F.last(group("code", r"^\s*namespace\s+([\w.]+)"), ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    lines = cut(lines.withColumn("namespace", namespace).drop("content", "run", "alone"))
-    has_function = lines.where(F.col("attributes").rlike(r"\[Function(?:Name)?\(") & F.col("method_name").isNotNull()).select(*FILE, F.col("owner").alias("type_name"), F.lit(True).alias("has_function")).distinct()
-    types = lines.where("type_name is not null").join(has_function, [*FILE, "type_name"], "left").withColumn("type_kind", cs_type_kind())
-    container = F.coalesce("owner", "namespace")
-    symbols = [symbol(types, F.col("type_name"), F.col("type_kind"), container)]
+    """X18 to X38, from statements."""
+    s = cut(cs_members(files))
+    is_function = F.col("attributes").rlike(_attribute("Function(?:Name)?")) & F.col("method_name").isNotNull()
+    has_function = s.where(is_function).select(*FILE, F.col("owner").alias("type_name"), F.lit(True).alias("has_function")).distinct()
+    types = s.where("type_name is not null").join(has_function, [*FILE, "type_name"], "left").withColumn("type_kind", cs_type_kind())
+    made = lambda df, name, kind, container: df.select(*FILE, F.col(name).alias("name"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), container.alias("container"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))
+    symbols = [made(types, "type_name", F.col("type_kind"), F.coalesce("owner", "namespace"))]
     for column, kind in (("method_name", "method"), ("constructor", "constructor"), ("property_name", "property")):
-        symbols.append(symbol(lines.where(F.col(column).isNotNull()), F.col(column), kind, F.col("owner")))
+        symbols.append(made(s.where(F.col(column).isNotNull()), column, kind, F.col("owner")))
+    s = s.drop("col").withColumn("place", F.col("pos")).drop("line").withColumnRenamed("first", "line")
 
     out = []
-    based = types.where("type_word = 'class' and bases is not null").select(*FILE, "line", "type_name", F.posexplode(F.split("bases", r",(?![^<]*>)")).alias("col", "base"))
-    out.append(edge(based, "class", F.col("type_name"), "inherits_from", "class", _global(F.trim("base"))))
-    sets = lines.where("property_name is not null").withColumn("entity", group("code", r"\bDbSet<\s*([\w.]+)\s*>")).where("entity is not null")
-    out.append(edge(sets, "class", F.col("owner"), "maps_dbset", "domain-model", F.col("entity"), F.concat(F.lit("property="), "property_name")))
+    based = types.where("type_word = 'class' and bases is not null").select(*FILE, "line", "type_name", F.posexplode(_listed("bases")).alias("col", "base")).where("base <> ''")
+    out.append(edge(based, "symbol", F.col("type_name"), "inherits_from", "class", _global(F.col("base"))))
+    sets = s.where("property_name is not null and owner_word = 'class'").withColumn("entity", F.trim(group(group("code", _PROPERTY, 2), r"^DbSet<(.*)>$"))).where("entity is not null")
+    out.append(edge(sets, "symbol", F.col("owner"), "maps_dbset", "domain-model", F.col("entity"), F.concat(F.lit("property="), "property_name")))
     out.append(edge(sets, "domain-model", F.col("entity"), "maps_to_table", "database-table", F.col("property_name"), F.concat(F.lit("dbContext="), "owner")))
 
-    known = cut(member_types(lines))
+    known = cut(member_types(s))
     needed = known.groupBy(*FILE, "owner", "type").agg(F.min("line").alias("line"))
-    out.append(edge(needed, "class", F.col("owner"), "depends_on", "service", _global(F.col("type"))))
-    keyed = lines.where("constructor is not null").select(*FILE, "owner", "line", F.posexplode(every("parameters", r"\[FromKeyedServices\(\s*(?:\"([^\"]*)\"|nameof\(([\w.]+)\))\s*\)\]\s*([\w<>.?]+)\s+([A-Za-z_]\w*)", "key", "named", "type", "parameter")).alias("col", "k"))
-    assigned = lines.where("in_constructor").select(*FILE, "owner", F.explode(every("body", r"\b(?:this\.)?([A-Za-z_]\w*)\s*=\s*([A-Za-z_]\w*)\s*;", "field", "parameter")).alias("a")).select(*FILE, "owner", F.col("a.field").alias("field"), F.col("a.parameter").alias("parameter"))
-    keyed = keyed.select(*FILE, "owner", "line", "col", "k.*").join(assigned, [*FILE, "owner", "parameter"], "left")
-    key = F.when(F.col("key") != "", F.col("key")).otherwise(F.substring_index("named", ".", -1))
+    out.append(edge(needed, "symbol", F.col("owner"), "depends_on", "service", _global(F.col("type"))))
+    keyed = s.where("constructor is not null and owner_word = 'class'").select(*FILE, "owner", "line", "pos", F.posexplode(every("parameters", rf"\[\s*(?:\w+\.)*FromKeyedServices(?:Attribute)?\s*\(\s*(?:\"([^\"]*+)\"|nameof\s*\(\s*([\w.]+)\s*\))\s*\)\s*\]\s*({_CS_TYPE})\s+({_WORD})", "key", "named", "type", "parameter")).alias("col", "k"))
+    assigned = s.where("in_constructor").select(*FILE, "owner", F.col("method_at").alias("pos"), F.col("place"), F.explode(every("body", _CS_ASSIGNED, "field", "parameter")).alias("a")).groupBy(*FILE, "owner", "pos", F.col("a.parameter").alias("parameter")).agg(F.min_by("a.field", "place").alias("field"))
+    keyed = keyed.select(*FILE, "owner", "line", "pos", "col", "k.*").join(assigned, [*FILE, "owner", "pos", "parameter"], "left")
+    key = F.when(F.col("key") != "", F.col("key")).otherwise(F.col("named"))
     note = F.concat(F.lit("parameter="), "parameter", F.lit(";field="), F.coalesce("field", F.lit("")), F.lit(";key="), key, F.lit(";source=FromKeyedServices"))
-    out.append(edge(keyed, "class", F.col("owner"), "depends_on", "service", _global(F.col("type")), note))
+    out.append(edge(keyed.where(F.coalesce(key, F.lit("")) != ""), "symbol", F.col("owner"), "depends_on", "service", _global(F.col("type")), note))
 
-    bodies = lines.where("body is not null")
-    calls = bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", _CS_CALL, "receiver", "member")).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
-    typed = calls.join(known.select(*FILE, "owner", F.col("member").alias("receiver"), "type"), [*FILE, "owner", "receiver"])
+    bodies = s.where("body is not null and not in_constructor and owner_word = 'class'")
+    spread = lambda pattern, *names: bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", pattern, *names)).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
+    typed_as = lambda column: known.select(*FILE, "owner", F.col("member").alias(column), "type")
+    calls = spread(_CS_CALL, "receiver", "member")
     saves = F.col("member").isin("SaveChanges", "SaveChangesAsync")
-    skipped = saves | F.col("member").isin(*_EF_WRITES, *_EF_READS) & F.col("type").rlike(r"Context\??$") | F.col("member").rlike(_SQL_NAME) | F.col("member").isin("GetShardConnection", "GetReadonlyShardConnection") | F.col("member").startswith("Log") | F.col("type").startswith("ILogger")
-    out.append(edge(typed.where(~skipped), "symbol", F.col("method"), "calls_method", "method", _global(F.concat("type", F.lit("."), "member")), F.concat(F.lit("receiver="), "receiver")))
-    saving = calls.where(saves).join(known.select(*FILE, "owner", F.col("member").alias("receiver"), "type"), [*FILE, "owner", "receiver"], "left")
-    out.append(edge(saving, "symbol", F.col("method"), "saves_changes", "db-context", _global(F.coalesce("type", "receiver"))))
-    direct = bodies.select(*FILE, "line", "method", F.posexplode(every("body", r"(?<![\w.>\"])(?<!new )([A-Za-z_]\w*)\s*\(", "member")).alias("col", "c")).where(~F.col("c.member").isin(*_NOT_DIRECT))
-    out.append(edge(direct, "symbol", F.col("method"), "calls_method", "method", F.col("c.member"), "receiver=this;direct=true"))
-    tables = bodies.select(*FILE, "line", "owner", "method", F.posexplode(every("body", _CS_SET_CALL, "context", "set", "member")).alias("col", "c")).select(*FILE, "line", "owner", "method", "col", "c.*")
-    tables = tables.join(known.select(*FILE, "owner", F.col("member").alias("context"), "type"), [*FILE, "owner", "context"]).where(F.col("type").rlike(r"(?:Db)?Context\??$"))
+    skipped = saves | F.col("member").isin(*_EF_WRITES, *_EF_READS, *_CONNECTIONS) | F.col("member").rlike(_SQL_CALL) | F.col("member").startswith("Log") | F.col("type").startswith("ILogger")
+    typed = calls.join(typed_as("receiver"), [*FILE, "owner", "receiver"]).where(~skipped)
+    out.append(edge(typed, "symbol", F.col("method"), "calls_method", "method", _global(F.concat("type", F.lit("."), "member")), F.concat(F.lit("receiver="), "receiver")))
+    saving = calls.where(saves).join(typed_as("receiver"), [*FILE, "owner", "receiver"], "left")
+    out.append(edge(saving, "symbol", F.col("method"), "saves_changes", "db-context", _global(F.coalesce("type", F.when(F.col("receiver").isin("this", "base"), "DbContext").otherwise(F.col("receiver")))), F.when(~F.col("receiver").isin("this", "base"), F.concat(F.lit("receiver="), "receiver"))))
+    direct = spread(rf"(?<![\w.\"@])(?<!\bnew\s{{1,9}})({_WORD})\s*\(", "member").where(~F.col("member").isin(*_NO_CALLS, *_NO_STEPS))
+    out.append(edge(direct, "symbol", F.col("method"), "calls_method", "method", F.col("member"), "receiver=this;direct=true"))
+    tables = spread(_CS_SET_CALL, "context", "set", "member").join(typed_as("context"), [*FILE, "owner", "context"]).where(F.col("type").rlike(r"Context\??$|\.DbContext"))
     note = F.concat(F.lit("context="), "context", F.lit(";method="), "member")
     for kind, members in (("writes_table", _EF_WRITES), ("reads_table", _EF_READS)):
         out.append(edge(tables.where(F.col("member").isin(*members)), "symbol", F.col("method"), kind, "database-table", F.col("set"), note))
     out += _sql_in_text(bodies)
 
-    api = cut(_mvc(lines))
+    api = cut(_mvc(s))
     note = F.concat(F.lit("controller="), "owner")
     out.append(edge(api, "symbol", F.col("method_name"), "handles_api", "api", F.col("api"), note))
     out.append(edge(api, "api", F.col("api"), "handled_by", "method", F.col("method_name"), note))
-    trigger = lines.where("method_name is not null").withColumn("trigger", group("parameters", r"\[HttpTrigger\(([^\]]*)\]")).where("trigger is not null")
-    named = group("attributes", r"\[Function(?:Name)?\(\s*\"([^\"]*)\"")
-    route = F.regexp_replace(F.coalesce(group("trigger", r"Route\s*=\s*\"([^\"]*)\""), named, F.col("method_name")), "^/+|/+$", "")
+    trigger = s.where("method_name is not null").where(F.col("parameters").rlike(_attribute("HttpTrigger"))).withColumn("trigger", F.regexp_extract("parameters", _attribute("HttpTrigger") + r"((?:[^\]\"]|\"[^\"]*+\")*+)\]", 1))
+    named = F.coalesce(group("attributes", _first_text("Function")), group("attributes", _first_text("FunctionName")))
+    route = _bare_route(F.coalesce(group("trigger", r"\bRoute\s*=\s*\"?((?<=\")[^\"]*+|null)"), named, F.col("method_name")))
     verbs = F.array_distinct(F.transform(F.regexp_extract_all("trigger", F.lit(r"(?i)\"(get|post|put|patch|delete)\""), F.lit(1)), F.upper))
     trigger = trigger.select(*FILE, "line", "method_name", F.coalesce(named, F.col("method_name")).alias("function"), route.alias("route"), F.posexplode(F.when(F.size(verbs) == 0, F.array(F.lit("ANY"))).otherwise(verbs)).alias("col", "verb"))
     address, note = F.concat("verb", F.lit(" /"), "route"), F.concat(F.lit("azureFunction="), "function")
     out.append(edge(trigger, "symbol", F.col("method_name"), "handles_api", "api", address, note))
     out.append(edge(trigger, "api", address, "handled_by", "azure-function", F.col("method_name"), note))
-    minimal = lines.select(*FILE, "line", F.posexplode(every("text", r"\b[A-Za-z_]\w*\.Map(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"", "verb", "route")).alias("col", "m"))
-    address = F.concat(F.upper("m.verb"), F.lit(" "), client_route(F.col("m.route")))
+    minimal = s.select(*FILE, "line", F.posexplode(every("whole_text", r"\.\s*Map(Get|Post|Put|Patch|Delete)\s*\([^\")]*+\"([^\"]*+)\"", "verb", "route")).alias("col", "m")).where("trim(m.route) <> ''")
+    address = F.concat(F.upper("m.verb"), F.lit(" /"), _bare_route(F.col("m.route")))
     out.append(edge(minimal, "api", address, "handled_by", "minimal-api", address, "source=minimal-api"))
-    registered = lines.select(*FILE, "line", F.posexplode(every("text", r"\bAdd(Keyed)?(Scoped|Transient|Singleton)<\s*([\w.]+)\s*,\s*([\w.]+)\s*>\(\s*(?:\"([^\"]*)\"|nameof\(([\w.]+)\))?", "keyed", "lifetime", "service", "implementation", "key", "named")).alias("col", "d")).select(*FILE, "line", "col", "d.*")
-    key = F.when(F.col("key") != "", F.col("key")).when(F.col("named") != "", F.substring_index("named", ".", -1))
-    note = F.concat(F.lit("lifetime="), "lifetime", F.when((F.col("keyed") != "") & key.isNotNull(), F.concat(F.lit(";key="), key)).otherwise(""))
+    registration = rf"\.\s*(Add(?:Keyed)?(?:Scoped|Transient|Singleton))\s*<\s*({_CS_TYPE})\s*,\s*({_CS_TYPE})\s*(?:,[^()]*)?>\s*\(\s*(?:\"([^\"]*+)\"|nameof\s*\(\s*([\w.]+)\s*\))?"
+    registered = s.select(*FILE, "line", F.posexplode(every("whole_text", registration, "added", "service", "implementation", "key", "named")).alias("col", "d")).select(*FILE, "line", "col", "d.*")
+    key = F.when(F.col("key") != "", F.col("key")).when(F.col("named") != "", F.col("named"))
+    note = F.concat(F.lit("lifetime="), "added", F.when(F.col("added").startswith("AddKeyed") & key.isNotNull(), F.concat(F.lit(";key="), key)).otherwise(""))
     out.append(edge(registered, "service", _global(F.col("service")), "implemented_by", "class", _global(F.col("implementation")), note))
-    using = lines.withColumn("namespace_used", group("code", r"^\s*(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;")).where("namespace_used is not null")
+    using = s.where("depth = 0").withColumn("namespace_used", group("code", r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;")).where("namespace_used is not null")
     service = F.coalesce(*[F.when(F.col("namespace_used").startswith(prefix), name) for prefix, name in AZURE_SERVICES.items()])
     used = using.withColumn("service", service).where("service is not null").groupBy(*FILE, "service").agg(F.min("line").alias("line"))
     out.append(edge(used, "file", "azure-service-reference", "uses_azure_service", "azure-service", _global(F.col("service"))))
     return union(symbols), union(out)
 
 
+def _texts(text: str) -> Column:
+    """The values of the literals in a piece of C#."""
+    verbatim, raw, plain = (F.regexp_extract_all(text, F.lit(_CS_TEXT), F.lit(i)) for i in (1, 2, 3))
+    value = lambda t: F.when(t["0"] != "", F.replace(t["0"], F.lit('""'), F.lit('"'))).when(t["1"] != "", t["1"]).otherwise(F.regexp_replace(F.regexp_replace(t["2"], r"\\[nrt]", " "), r"\\(.)", "$1"))
+    return F.filter(F.transform(F.arrays_zip(verbatim.alias("0"), raw.alias("1"), plain.alias("2")), value), lambda t: F.trim(t) != "")
+
+
 def _sql_in_text(bodies: DataFrame) -> list[DataFrame]:
     """Procedures and tables named in the string arguments of calls that look like SQL execution."""
-    literal = r'"((?:\\.|[^"\\])*)"'
-    variables = bodies.select(*FILE, "method_at", "line", group("body", r"\b([A-Za-z_]\w*)\s*=\s*\"").alias("variable"), group("body", rf"\b[A-Za-z_]\w*\s*=\s*{literal}").alias("value")).where("variable is not null")
-    variables = variables.groupBy(*FILE, "method_at", "variable").agg(F.min_by("value", "line").alias("value"))
-    invoked = group("body", r"\b([A-Za-z_]\w*)(?:<[^>()]*>)?\s*\(")
-    names = F.regexp_extract_all("body", F.lit(r"\b([A-Za-z_]\w*)(?:<[^>()]*>)?\s*\("), F.lit(1))
-    runs = bodies.where(F.exists(names, lambda n: n.rlike(_SQL_NAME)) | F.col("body").contains("CommandType.StoredProcedure")).withColumn("by", F.coalesce(F.get(F.filter(names, lambda n: n.rlike(_SQL_NAME)), F.lit(0)), invoked))
-    inline = runs.select(*FILE, "line", "method", "by", F.explode(F.regexp_extract_all("body", F.lit(literal), F.lit(1))).alias("sql"))
-    words = runs.select(*FILE, "line", "method", "method_at", "by", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))).alias("variable"))
+    declared = rf"[\w>\]?,]\s+({_WORD})\s*=\s*(?=@?\")"
+    variables = bodies.select(*FILE, "method_at", "pos", group("body", declared).alias("variable"), F.get(_texts("body_text"), F.lit(0)).alias("value")).where("variable is not null and value is not null")
+    variables = variables.groupBy(*FILE, "method_at", "variable").agg(F.min_by("value", "pos").alias("value"))
+    names = F.regexp_extract_all("body", F.lit(rf"({_WORD})\s*(?:{_ARGUMENTS}\s*)?\("), F.lit(1))
+    looks = F.filter(names, lambda n: n.rlike(_SQL_CALL))
+    runs = bodies.where((F.size(looks) > 0) | F.col("body").contains("CommandType.StoredProcedure")).withColumn("by", F.coalesce(F.get(looks, F.lit(0)), F.get(names, F.lit(0)))).where("by is not null")
+    inline = runs.select(*FILE, "line", "method", "by", F.explode(_texts("body_text")).alias("sql"))
+    words = runs.select(*FILE, "line", "method", "method_at", "by", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(rf"(?<![\w.])({_WORD})\s*(?=[,)])"), F.lit(1)))).alias("variable"))
     through = words.join(variables, [*FILE, "method_at", "variable"]).select(*FILE, "line", "method", "by", F.col("value").alias("sql"))
     texts = inline.unionByName(through).distinct()
     note = F.concat(F.lit("method="), "by")
     called = F.regexp_extract_all("sql", F.lit(_EXECUTED), F.lit(1))
-    alone = F.when(F.col("sql").rlike(rf"^\s*{_OBJECT}\s*$") & (F.col("sql").contains(".") | F.col("sql").rlike(r"(?i)(?:Procedure|Proc)\s*$|^\s*\[?sp")), F.array(F.trim("sql"))).otherwise(F.expr("cast(array() as array<string>)"))
+    alone = F.when(F.trim("sql").rlike(r"^[\[\]\w$]+(?:\.[\[\]\w$]+)?$") & (F.col("sql").contains(".") | F.trim("sql").rlike(r"(?i)(?:Procedure|Proc)$|^sp")), F.array(F.trim("sql"))).otherwise(F.expr("cast(array() as array<string>)"))
     out = [edge(texts.select("*", F.explode(F.concat(called, alone)).alias("object")), "symbol", F.col("method"), "executes_procedure", "procedure", _global(_plain(F.col("object"))), note)]
     for kind, pattern in (("reads_table", _TEXT_READ), ("writes_table", _TEXT_WRITTEN)):
         found = texts.select("*", F.explode(F.regexp_extract_all("sql", F.lit(pattern), F.lit(1))).alias("object"))

@@ -38,18 +38,18 @@ _SYMBOLS = f"""s AS (
         UNION ALL SELECT ws, {_WEB} || '.component.ts', 'P' || k || 'Component', 'class', NULL, 1, 1 FROM p
         UNION ALL SELECT ws, {_WEB} || '.component.ts', 'go' || k, 'method', NULL, 2, 3 FROM p
         UNION ALL SELECT ws, {_WEB} || '.component.html', 'click:go' || k, 'ui-event', NULL, 1, 1 FROM p
-        UNION ALL SELECT ws, 'sql/' || b || '/GetP' || k || '.sql', 'GetP' || k, 'procedure', 'dbo', 1, 1 FROM p
-        UNION ALL SELECT ws, {_ACT}, 'P' || k || 'Controller', 'controller', NULL, 3, 1 FROM p
-        UNION ALL SELECT ws, {_ACT}, 'P' || k || 'Controller', 'constructor', 'P' || k || 'Controller', 6, 5 FROM p
-        UNION ALL SELECT ws, {_ACT}, 'Act' || k, 'method', 'P' || k || 'Controller', 11, 5 FROM p
-        UNION ALL SELECT ws, {_SVC}, 'P' || k || 'Service', 'class', NULL, 1, 1 FROM p
-        UNION ALL SELECT ws, {_SVC}, 'P' || k || 'Service', 'constructor', 'P' || k || 'Service', 4, 5 FROM p
-        UNION ALL SELECT ws, {_SVC}, 'Load' || k, 'method', 'P' || k || 'Service', 8, 5 FROM p
-        UNION ALL SELECT ws, {_SVC}, 'Audit' || k, 'method', 'P' || k || 'Service', 13, 5 FROM p
-        UNION ALL SELECT ws, {_REPO}, 'P' || k || 'Repository', 'repository', NULL, 1, 1 FROM p
-        UNION ALL SELECT ws, {_REPO}, 'P' || k || 'Repository', 'constructor', 'P' || k || 'Repository', 4, 5 FROM p
-        UNION ALL SELECT ws, {_REPO}, 'Fetch' || k, 'method', 'P' || k || 'Repository', 8, 5 FROM p
-        UNION ALL SELECT ws, 'src/' || b || '/P' || k || '.Tests/P' || k || 'Tests.cs', 'P' || k || 'Tests', 'class', NULL, 2, 1 FROM p WHERE k % 10 = 0)"""
+        UNION ALL SELECT ws, 'sql/' || b || '/GetP' || k || '.sql', 'GetP' || k, 'procedure', 'dbo', 1, 18 FROM p
+        UNION ALL SELECT ws, {_ACT}, 'P' || k || 'Controller', 'controller', NULL, 3, 21 FROM p
+        UNION ALL SELECT ws, {_ACT}, 'P' || k || 'Controller', 'constructor', 'P' || k || 'Controller', 6, 12 FROM p
+        UNION ALL SELECT ws, {_ACT}, 'Act' || k, 'method', 'P' || k || 'Controller', 11, 26 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'P' || k || 'Service', 'class', NULL, 1, 14 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'P' || k || 'Service', 'constructor', 'P' || k || 'Service', 4, 12 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'Load' || k, 'method', 'P' || k || 'Service', 8, 17 FROM p
+        UNION ALL SELECT ws, {_SVC}, 'Audit' || k, 'method', 'P' || k || 'Service', 13, 18 FROM p
+        UNION ALL SELECT ws, {_REPO}, 'P' || k || 'Repository', 'repository', NULL, 1, 14 FROM p
+        UNION ALL SELECT ws, {_REPO}, 'P' || k || 'Repository', 'constructor', 'P' || k || 'Repository', 4, 12 FROM p
+        UNION ALL SELECT ws, {_REPO}, 'Fetch' || k, 'method', 'P' || k || 'Repository', 8, 17 FROM p
+        UNION ALL SELECT ws, 'src/' || b || '/P' || k || '.Tests/P' || k || 'Tests.cs', 'P' || k || 'Tests', 'class', NULL, 2, 21 FROM p WHERE k % 10 = 0)"""
 #: How many relationships of each kind a part gives: a number, or the parts that give one.
 _PER_PART = {
     "contains_symbol": "25 * count(*)", "calls_api": "count(*)", "navigates_to": "count(*)", "calls_method": "4 * count(*)", "inherits_from": "3 * count(*)", "depends_on": "3 * count(*)",
@@ -175,7 +175,7 @@ def x33_mvc_endpoints(spark, sf_dir):
     return _of(_edges(spark, sf_dir, ".cs"), "handles_api", "handled_by")
 
 
-@query(f"WITH {_P} SELECT ws AS workspace_id, 'IP' || k || 'Service' AS source_identifier, 'P' || k || 'Service' AS target_identifier, 'lifetime=Scoped' AS metadata FROM p UNION ALL SELECT ws, 'IP' || k || 'Repository', 'P' || k || 'Repository', CASE WHEN k % 7 = 0 THEN 'lifetime=Scoped;key=main' ELSE 'lifetime=Scoped' END FROM p")
+@query(f"WITH {_P} SELECT ws AS workspace_id, 'IP' || k || 'Service' AS source_identifier, 'P' || k || 'Service' AS target_identifier, 'lifetime=AddScoped' AS metadata FROM p UNION ALL SELECT ws, 'IP' || k || 'Repository', 'P' || k || 'Repository', CASE WHEN k % 7 = 0 THEN 'lifetime=AddKeyedScoped;key=main' ELSE 'lifetime=AddScoped' END FROM p")
 def x37_registrations(spark, sf_dir):
     return _of(_edges(spark, sf_dir, ".cs"), "implemented_by").select("workspace_id", "source_identifier", "target_identifier", "metadata")
 
