@@ -106,6 +106,26 @@ def source_file_path(identifier: Column) -> Column:
     return F.when(head.rlike(r"[/\\]|\.[A-Za-z0-9]+$"), head)
 
 
+def readable_location(identifier: Column) -> Column:
+    """what follows the first colon (the whole, if there is none): the file's name, and behind it the last part
+    after ``::`` if there are several."""
+    bare = F.when(identifier.contains(":"), F.regexp_replace(identifier, "(?s)^[^:]*:", "")).otherwise(identifier)
+    parts = F.filter(F.split(bare, "::"), lambda p: p != "")
+    name = F.regexp_extract(F.coalesce(F.get(parts, F.lit(0)), bare), r"([^/\\]*)$", 1)
+    return F.when(F.size(parts) <= 1, name).otherwise(F.concat(name, F.lit(" / "), short_identifier(F.element_at(parts, -1))))
+
+
+def display_locator(source: Column, metadata: Column, line: Column, rel_id: Column) -> Column:
+    """line, member, up to two other parts of the metadata and the number of the evidence, each once in any case."""
+    member = member_name(source)
+    member = F.when((F.trim(member) != "") & (F.lower(member) != "azure-service-reference"), short_identifier(member))
+    parts = F.filter(F.transform(F.split(F.coalesce(metadata, F.lit("")), ";"), F.trim), lambda p: (p != "") & ~F.lower(p).rlike("^(?:line|column)="))
+    note = F.nullif(F.array_join(F.slice(parts, 1, 2), " - "), F.lit(""))
+    shown = F.array_compact(F.array(F.concat(F.lit("Line "), line.cast("string")), member, note, F.concat(F.lit("Evidence #"), rel_id.cast("string"))))
+    distinct = F.filter(shown, lambda x, i: (i == 0) | ~F.exists(F.slice(shown, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    return F.array_join(distinct, " - ")
+
+
 def humanize(kind: Column) -> Column:
     """underscores and hyphens become spaces."""
     return F.translate(kind, "_-", "  ")

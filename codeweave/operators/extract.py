@@ -561,5 +561,5 @@ def normalise(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def evidence_ids(relationships: DataFrame) -> DataFrame:
     """A stable ``rel_id`` from the natural key and the place among its repeats."""
     key = ["workspace_id", "source_kind", "source_identifier", "relationship_kind", "target_kind", "target_identifier"]
-    order = Window.partitionBy(*key).orderBy("relative_path", "line", "col", "metadata")
+    order = Window.partitionBy(*key).orderBy(*[c for c in ("relative_path", "line", "col") if c in relationships.columns], "metadata")
     return relationships.withColumn("rel_id", F.xxhash64(*key, F.row_number().over(order)))

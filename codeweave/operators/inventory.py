@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import after_path, flow_name, humanize, member_name, metadata_line, metadata_value, readable_identifier, short_identifier, source_file_path, top_level_folder
+from ..functions.text import after_path, flow_name, language_title, member_name, metadata_value, top_level_folder
 
 BACKEND_KINDS = ("depends_on", "implemented_by", "calls_method", "executes_procedure", "reads_table", "writes_table", "saves_changes")
 BACKEND_SURFACE = ("calls_method", "executes_procedure", "reads_table", "writes_table", "saves_changes", "handled_by", "calls_api", "invokes_handler", "matches_backend_handler", "implemented_by", "depends_on", "contains_symbol", "renders_component", "navigates_to")
@@ -109,20 +109,6 @@ def backend_listing(relationships: DataFrame, kind: str | None = None, limit: in
     return take(unique, limit, "place", "source_identifier", "target_identifier").drop("place")
 
 
-def explorer_relationships(relationships: DataFrame, surface: str = "backend", text: str | None = None, limit: int = 200) -> DataFrame:
-    """Q10, Q14, Q15: rows of a surface with display fields and their occurrence key."""
-    kinds = {"apis": ("handles_api",), "azure": ("uses_azure_service",)}.get(surface, BACKEND_SURFACE)
-    found = relationships.where(F.col("relationship_kind").isin(*kinds))
-    found = found.where(has("source_identifier", text) | has("target_identifier", text) | has("relationship_kind", text) | has("metadata", text))
-    found = take(found, limit, "relationship_kind", "source_identifier", "target_identifier", "metadata")
-    key = F.lower(F.concat_ws("|", F.lit(surface), short_identifier(F.col("target_identifier")), readable_identifier(F.col("source_identifier")), "relationship_kind"))
-    return found.select(
-        "workspace_id", "relationship_kind", "source_identifier", "target_identifier", short_identifier(F.col("target_identifier")).alias("title"),
-        F.concat(readable_identifier(F.col("source_identifier")), F.lit(" "), humanize(F.col("relationship_kind"))).alias("subtitle"),
-        source_file_path(F.col("source_identifier")).alias("file_path"), metadata_line(F.col("metadata")).alias("line"), key.alias("occurrence_key"),
-    )
-
-
 def occurrences(rows: DataFrame) -> DataFrame:
     """U4: which of how many rows of its occurrence key a row is."""
     same = Window.partitionBy("workspace_id", "occurrence_key")
@@ -204,7 +190,7 @@ def overview(files: DataFrame, relationships: DataFrame, limit: int = 10) -> Dat
     data = relationships.where(F.col("relationship_kind").isin(*DATA_KINDS)).groupBy("workspace_id", "target_kind", F.col("target_identifier").alias("title")).agg(F.count("*").alias("n"))
     data = take(data, limit, F.col("n").desc(), "title", "target_kind").select("workspace_id", F.lit("data").alias("section"), "title", "n")
     azure = _top(relationships.where("relationship_kind = 'uses_azure_service'"), "azure", F.col("target_identifier"), limit)
-    technology = _top(files, "technology", F.col("language_id"), limit)
+    technology = _top(files, "technology", language_title(F.col("language_id")), limit)
     return reduce(DataFrame.unionByName, [technology, folders, apis, flows, data, azure])
 
 
@@ -229,13 +215,6 @@ def lookup_evidence(listed: DataFrame, relationships: DataFrame, selected: DataF
     return picked.select(listed.columns).withColumn("place", F.lit(0)).unionByName(listed.withColumn("place", F.lit(1)))
 
 
-def filter_evidence(rows: DataFrame, text: str | None = None, path: str | None = None, relationship_kind: str | None = None, quality: str | None = None) -> DataFrame:
-    """Rows that hold for every filter given; ``text`` may be in any of the string columns."""
-    strings = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
-    same = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False)) if v else F.lit(True)
-    return rows.where(has(F.concat_ws(" ", *strings), text) & has("file_path", path) & same("relationship_kind", relationship_kind) & same("quality", quality))
-
-
 def starting_points(sections: DataFrame) -> DataFrame:
     """Of ``overview`` the sections flow, api, data, azure and folder, with the sum of their scores."""
     wanted = sections.where("section in ('flow', 'api', 'data', 'azure', 'folder')")

@@ -150,3 +150,49 @@ def other_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.array(file(_text("fn/F", k, ".cs"), job), file(_text("fn/M", k, ".cs"), minimal), file(_text("web2/v", k, ".tsx"), page))
     rows = part.select(F.lit("ws0").alias("workspace_id"), F.explode(files).alias("f"))
     return rows.select("workspace_id", "f.relative_path", "f.content", F.octet_length("f.content").cast("long").alias("size_bytes"))
+
+
+def wrapped_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The C# and T-SQL files of ``part_corpus`` in another layout: declarations, calls and statements wrap, and comments,
+    directives, characters and texts hold brackets and quotes. Extraction must give the same."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, b = F.col("p_partkey").cast("string"), F.regexp_replace("p_brand", "Brand#", "b")
+    n, m = F.col("p_partkey"), (F.col("p_partkey") % 50).cast("string")
+    verb = F.when(n % 4 == 0, '[HttpGet(\n        "{id}")]').when(n % 4 == 1, '[HttpPost ( "save" ), Obsolete("} ] )")]').when(n % 4 == 2, "[HttpPut] // [HttpGet]").otherwise('[HttpDelete(\n"{id}/{rev}"\n)]')
+    controller = _lines(
+        F.when(n % 3 == 0, "using Azure.Storage.Blobs; /* using Azure.Identity; */").otherwise("/* using Azure.Identity; { */ using System.Linq;"),
+        _text("[Route(\n    \"api/", b, '/[controller]"\n)]'),
+        _text("public sealed class P", k, "Controller"), "    : ControllerBase // : Nothing {", "{", "#region fields {",
+        _text("    private readonly", "\n        IP", k, "Service", "\n        _svc;"),
+        "#endregion",
+        _text("    public P", k, "Controller("), _text("        IP", k, "Service svc) // the service ("), "    {", "        var odd = '{'; var path = @\"C:\\\"; _svc", "            = svc;", "    }",
+        _text("    ", verb), "    public", "        IActionResult", _text("        Act", k, "("), "            int id)", "    {",
+        _text("        _svc", "\n            .Load", k, "("), "            );", "        /* _svc.Gone(); } */", "        return Ok();", "    }", "}",
+    )
+    service = _lines(
+        _text("public class P", k, "Service :"), _text("    IP", k, "Service"), "{", _text("    private readonly IP", k, "Repository _repo; public P", k, "Service(IP", k, "Repository repo) { _repo = repo; }"),
+        _text("    public void Load", k, "() { _repo.Fetch", k, '(); var s = $"{(1 > 0 ? "}" : "{")} {{"; Audit', k, "(); }"),
+        "    /// <summary> { \" </summary>", _text("    private void Audit", k, "("), "    )", "    {", '        var raw = """', "            } public void No() { No2(); }", '            """;', "    }", "}",
+    )
+    repository = _lines(
+        _text("public class P", k, "Repository : IP", k, "Repository {"), "    private readonly ShopDbContext _db;",
+        _text("    public P", k, "Repository(\n        ShopDbContext db\n    )"), "    {", "        _db =", "            db;", "    }",
+        _text("    public void Fetch", k, "()"), "    {",
+        F.when(n % 2 == 0, _text("        _db.Database.ExecuteSqlRaw(\n            \"EXEC dbo.GetP", k, ' @Id"); // "EXEC dbo.No"')).otherwise("        _db\n            .Parts\n            .Add(\n                new Part());"),
+        F.when(n % 2 == 0, "").otherwise("        _db\n            .SaveChanges();"), "    }", "}",
+    )
+    registration = _lines(
+        _text("services\n    .AddScoped<\n        IP", k, "Service,\n        P", k, "Service>();"),
+        F.when(n % 7 == 0, _text("services.AddKeyedScoped<IP", k, "Repository, P", k, 'Repository>(\n    "main");')).otherwise(_text("services /* ; */ .AddScoped<IP", k, "Repository, P", k, "Repository>();")),
+    )
+    procedure = _lines(
+        "/* outer /* CREATE TABLE dbo.No (a int) */ don't */", "CREATE", _text("  PROCEDURE dbo.GetP", k), "AS", "BEGIN", "    -- FROM dbo.Comment", _text("    INSERT INTO\n        [dbo].[Audit", m, "] (Id) VALUES ('FROM dbo.Text');"),
+        "    SELECT Id", "    FROM", _text("        dbo . Part", m, ";"), "END", "GO", "SELECT * FROM dbo.Outside",
+    )
+    file = lambda path, content: F.struct(path.alias("relative_path"), content.alias("content"))
+    files = F.array(
+        file(_text("src/", b, "/Api/P", k, "Controller.cs"), controller), file(_text("src/", b, "/Core/P", k, "Service.cs"), service), file(_text("src/", b, "/Data/P", k, "Repository.cs"), repository),
+        file(_text("src/", b, "/Di/P", k, "Registration.cs"), registration), file(_text("sql/", b, "/GetP", k, ".sql"), procedure),
+    )
+    rows = part.select(_text("ws", (n % 5).cast("string")).alias("workspace_id"), F.explode(files).alias("f"))
+    return rows.select("workspace_id", "f.relative_path", "f.content", F.octet_length("f.content").cast("long").alias("size_bytes"))

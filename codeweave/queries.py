@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import language_title
-from .operators import chains, extract, inventory, link, runtime, trace
-from .plans.corpus import other_corpus, part_corpus
+from .operators import chains, explorer, extract, inventory, link, runtime, trace
+from .plans.corpus import other_corpus, part_corpus, wrapped_corpus
 from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
 from .sources import files as sources
@@ -318,10 +318,16 @@ def q17_backend_listing(spark, sf_dir):
     return inventory.backend_listing(_edges(spark, sf_dir, ".cs", ".sql"))
 
 
-@query()
+@query("""WITH r AS (SELECT 'api/O' || l_orderkey || '.cs::Act' AS s, 'IPart' || l_partkey || '.Load' AS t FROM lineitem), b AS (SELECT s, t FROM r QUALIFY row_number() OVER (ORDER BY s, t) <= 200)
+    SELECT 'ws0' AS workspace_id, 'backend' AS surface, 'Act -> ' || t AS title, 'symbol / calls_method / method' AS subtitle, 'symbol:' || s || chr(9) || 'calls_method' || chr(9) || 'method:' || t AS detail,
+           'symbol' AS source_kind, s AS source_identifier, 'calls_method' AS relationship_kind, 'method' AS target_kind, t AS target_identifier, split_part(s, '::', 1) AS file_path, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS metadata,
+           'Act -> ' || t AS display_title, 'symbol calls method method: ' || t AS display_subtitle, 'Act - Evidence' AS display_locator, ':Act calls method ' || t || '.' AS evidence_summary, lower('backend|' || t || '|:Act|calls_method') AS occurrence_key,
+           row_number() OVER (PARTITION BY t ORDER BY s) AS occurrence, count(*) OVER (PARTITION BY t) AS occurrence_count, 'with-location' AS quality FROM b""")
 def q10_u3_u4_explorer(spark, sf_dir):
-    rows = inventory.explorer_relationships(_edges(spark, sf_dir, ".cs", ".sql"), "backend")
-    return inventory.evidence_quality(inventory.occurrences(rows))
+    """The number behind ``Evidence`` is left out: it is a hash."""
+    rows = explorer.explorer_relationships(extract.evidence_ids(star_graph(spark, sf_dir)), "backend")
+    rows = inventory.evidence_quality(inventory.occurrences(rows)).drop("id")
+    return rows.withColumn("display_locator", F.regexp_replace("display_locator", " #.*", "")).withColumn("occurrence", F.col("occurrence").cast("long"))
 
 
 @query("WITH kinds AS (SELECT 'ws0' AS workspace_id, * FROM (VALUES ('relationship_kind', 'matches_backend_handler'), ('relationship_kind', 'calls_method'), ('relationship_kind', 'implemented_by'), ('relationship_kind', 'contains_symbol'), ('relationship_kind', 'reads_table'), ('relationship_kind', 'uses_azure_service'), ('source_kind', 'symbol'), ('source_kind', 'service'), ('source_kind', 'file'), ('target_kind', 'symbol'), ('target_kind', 'method'), ('target_kind', 'class'), ('target_kind', 'database-table'), ('target_kind', 'azure-service')) v(facet, value)) SELECT * FROM kinds")
@@ -468,3 +474,172 @@ def f12_language_titles(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     return q16_list_flows(spark, "/root/testdata/sf0.001")
+
+
+def _wrapped(spark: SparkSession, sf_dir: str, *extensions: str) -> tuple[DataFrame, DataFrame]:
+    wanted = {e: f for e, f in extract.EXTRACTORS.items() if set(e) & set(extensions)}
+    return extract.extract_evidence(sources.indexable(wrapped_corpus(spark, sf_dir)), wanted)
+
+
+@query(f"WITH {_P}, {_SYMBOLS} SELECT ws AS workspace_id, path AS relative_path, name, kind, container FROM s WHERE (path LIKE 'src/%' OR path LIKE 'sql/%') AND path NOT LIKE '%.Tests/%'")
+def x18_wrapped_symbols(spark, sf_dir):
+    return _wrapped(spark, sf_dir, ".cs", ".sql")[0].select("workspace_id", "relative_path", "name", "kind", "container")
+
+
+_ROWS = "workspace_id, source_identifier, relationship_kind, target_identifier, metadata"
+
+
+@query(f"""WITH {_P}, w AS (
+        SELECT workspace_id, source_identifier, relationship_kind, target_identifier, CAST(NULL AS VARCHAR) AS metadata FROM ({ORACLES['x20_x23_class_edges']})
+        UNION ALL SELECT workspace_id, source_identifier, 'calls_method', target_identifier, metadata FROM ({ORACLES['x25_x26_method_calls']})
+        UNION ALL SELECT workspace_id, source_identifier, relationship_kind, target_identifier, CASE relationship_kind WHEN 'executes_procedure' THEN 'method=ExecuteSqlRaw' WHEN 'writes_table' THEN 'context=_db;method=Add' ELSE 'receiver=_db' END FROM ({ORACLES['x27_x31_data_access']})
+        UNION ALL SELECT workspace_id, source_identifier, relationship_kind, target_identifier, metadata FROM ({ORACLES['x33_mvc_endpoints']})
+        UNION ALL SELECT workspace_id, source_identifier, 'implemented_by', target_identifier, metadata FROM ({ORACLES['x37_registrations']})
+        UNION ALL SELECT workspace_id, source_identifier, 'uses_azure_service', target_identifier, NULL FROM ({ORACLES['x38_azure_services']}) WHERE source_identifier NOT LIKE '%.Tests/%'
+        UNION ALL SELECT workspace_id, source_identifier, relationship_kind, target_identifier, metadata FROM ({ORACLES['x17_procedure_tables']}))
+    SELECT {_ROWS} FROM w""")
+def x20_wrapped_relationships(spark, sf_dir):
+    edges = _wrapped(spark, sf_dir, ".cs", ".sql")[1]
+    return edges.where("relationship_kind <> 'contains_symbol'").select("workspace_id", "source_identifier", "relationship_kind", "target_identifier", "metadata")
+
+
+_TOP = "(SELECT source, target, okey, row_number() OVER (ORDER BY source, target) AS i FROM (SELECT 'web/n' || c_nationkey || '/c' || c_custkey || '.ts::load' AS source, 'api/O' || o_orderkey || '.cs::Act' AS target, o_orderkey AS okey FROM customer JOIN orders ON c_custkey = o_custkey) ORDER BY i LIMIT 80)"
+
+
+@query(f"""WITH s AS {_TOP}, l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), c AS (
+        SELECT s.i, source, target, 'IPart' || l.l_partkey || '.Load' AS call, 'svc/Part' || l.l_partkey || '.cs::Load' AS method, 'dbo.Supp' || l_suppkey AS t
+        FROM s LEFT JOIN l ON l.l_orderkey = okey LEFT JOIN d ON d.l_partkey = l.l_partkey), n AS (SELECT *, row_number() OVER (ORDER BY i, call, t) AS n FROM c)
+    SELECT 'ws0' AS workspace_id, CAST(n AS INTEGER) AS n,
+           'symbol:' || source || ' --matches_backend_handler--> symbol:' || target || coalesce(' --calls_method--> method:' || call || ' --resolved_to--> symbol:' || method || ' --reads_table--> database-table:' || t, '') AS compact,
+           'symbol:' || source || chr(10) || '  matches_backend_handler -> symbol:' || target || coalesce(chr(10) || '    calls_method -> method:' || call || chr(10) || '      resolved_to -> symbol:' || method || chr(10) || '        reads_table -> database-table:' || t, '') AS tree
+    FROM n WHERE n <= 20""")
+def g5_g6_first_chains(spark, sf_dir):
+    graph = star_graph(spark, sf_dir)
+    found = chains.format_chains(chains.expand_chains(chains.chain_starts(graph), chains.next_steps(graph), limit=20))
+    n = F.row_number().over(Window.partitionBy("workspace_id").orderBy("ordinal"))
+    return found.select("workspace_id", n.alias("n"), "compact", "tree")
+
+
+@query("WITH p AS (SELECT p_partkey AS k FROM part), e AS (SELECT 'v' || k || '/items/' AS entry, 'api' || k AS m FROM p WHERE k % 3 = 0 UNION ALL SELECT 'GET /v' || k || '/items/{id:int}/all/', 'api' || k FROM p WHERE k % 3 = 1 UNION ALL SELECT 'site/GET /v' || k || '/items/{id}/all/more', 'api' || k FROM p WHERE k % 3 = 2 UNION ALL SELECT 'Run' || k || 'x', 'job' || k FROM p UNION ALL SELECT 'nowhere' || k, NULL FROM p) SELECT 'w' AS workspace_id, entry, CASE WHEN m LIKE 'api%' THEN 'api/A' || substr(m, 4) || '.cs::Get' WHEN m IS NOT NULL THEN 'job/J' || substr(m, 4) || '.cs::Run' || substr(m, 4) || 'x' END AS method, CASE WHEN m IS NULL THEN 'not-found' ELSE 'found' END AS status FROM e")
+def t1_entries(spark, sf_dir):
+    """Entries that are part of one route, equal one, or hold one, and method names, at most one of each for each part."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    api = F.struct(F.lit("api").alias("source_kind"), text("GET /v", k, "/items/{id:int}/all").alias("source_identifier"), F.lit("handled_by").alias("relationship_kind"), F.lit("method").alias("target_kind"), text("api/A", k, ".cs::Get").alias("target_identifier"))
+    job = F.struct(F.lit("symbol").alias("source_kind"), text("job/J", k, ".cs::J").alias("source_identifier"), F.lit("contains_symbol").alias("relationship_kind"), F.lit("method").alias("target_kind"), text("job/J", k, ".cs::Run", k, "x").alias("target_identifier"))
+    edges = part.select(F.lit("w").alias("workspace_id"), F.explode(F.array(api, job)).alias("e")).select("workspace_id", "e.*", F.lit(None).cast("string").alias("metadata"))
+    route = F.when(n == 0, text("v", k, "/items/")).when(n == 1, text("GET /v", k, "/items/{id:int}/all/")).otherwise(text("site/GET /v", k, "/items/{id}/all/more"))
+    entries = part.select(F.lit("w").alias("workspace_id"), F.explode(F.array(route, text("Run", k, "x"), text("nowhere", k))).alias("entry"))
+    return trace.find_entries(edges, entries).withColumnRenamed("at", "method")
+
+
+def _dispatch_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per part: a call to an injected job (by key for even parts) whose base class calls back into overrides."""
+    k, even = F.col("p_partkey").cast("string"), F.col("p_partkey") % 2 == 0
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+
+    def row(kind: str, source: Column, target_kind: str, target: Column, metadata: Column | str | None = None, source_kind: str = "symbol") -> Column:
+        note = metadata if isinstance(metadata, Column) else F.lit(metadata).cast("string")
+        return F.struct(F.lit(source_kind).alias("source_kind"), source.alias("source_identifier"), F.lit(kind).alias("relationship_kind"), F.lit(target_kind).alias("target_kind"), target.alias("target_identifier"), note.alias("metadata"))
+
+    at = lambda name, member=None: text(name, k, ".cs::", *([member] if member else [name, k]))
+    direct = "receiver=this;direct=true"
+    rows = [
+        row("contains_symbol", at("C"), "method", text("C", k, ".cs::Go", k)), row("calls_method", text("C", k, ".cs::Go", k), "method", text("IJob", k, ".Run"), "receiver=_job"),
+        row("depends_on", at("C"), "service", text("IJob", k)), row("depends_on", at("C"), "service", text("IJob", k), F.when(even, "parameter=job;field=_job;key=b;source=FromKeyedServices")),
+        *[row("implemented_by", text("IJob", k), "class", text("Job", j, k), F.when(even, f"lifetime=AddKeyedScoped;key={j.lower()}").otherwise("lifetime=AddScoped"), "service") for j in "AB"],
+        *[row("inherits_from", at(f"Job{j}"), "class", text("Base", k)) for j in "AB"], row("inherits_from", at("Base"), "class", text("Root", k)), row("inherits_from", at("Root"), "class", text("Root", k)),
+        *[row("contains_symbol", at(f"Job{j}"), "method", at(f"Job{j}", m)) for j in "AB" for m in ("Run", "Hook")], *[row("contains_symbol", at("Base"), "method", at("Base", m)) for m in ("Inner", "Hook")],
+        row("contains_symbol", at("Root"), "method", at("Root", "Deep")), *[row("calls_method", at(f"Job{j}", "Run"), "method", at(f"Job{j}", "Inner"), direct) for j in "AB"],
+        *[row("calls_method", at("Base", "Inner"), "method", at("Base", m), direct) for m in ("Deep", "Hook")], row("calls_method", at("Root", "Deep"), "method", at("Root", "Gone"), direct),
+        *[row("reads_table", at(f"Job{j}", "Hook"), "database-table", text("dbo.T", j, k)) for j in "AB"],
+    ]
+    edges = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("w").alias("workspace_id"), F.explode(F.array(*rows)).alias("e")).select("workspace_id", "e.*")
+    entries = edges.where("relationship_kind = 'calls_method' and metadata = 'receiver=_job'").select("workspace_id", F.col("source_identifier").alias("entry"))
+    return trace.trace(edges, entries)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'A' END AS j FROM part), s AS (
+        SELECT k, 1 AS step, 'Entry' AS stage, 'C' || k || '.cs::Go' || k AS target, 'C' || k || '.cs::Go' || k AS next FROM p
+        UNION ALL SELECT k, 2, CASE WHEN j = 'B' THEN 'Keyed DI handoff' ELSE 'DI handoff' END, 'IJob' || k || '.Run', 'Job' || j || k || '.cs::Run' FROM p
+        UNION ALL SELECT k, 3, 'Base class call', 'Job' || j || k || '.cs::Inner', 'Base' || k || '.cs::Inner' FROM p
+        UNION ALL SELECT k, 4, 'Base class call', 'Base' || k || '.cs::Deep', 'Root' || k || '.cs::Deep' FROM p
+        UNION ALL SELECT k, 5, 'Unresolved call', 'Root' || k || '.cs::Gone', NULL FROM p
+        UNION ALL SELECT k, 6, 'Override call', 'Base' || k || '.cs::Hook', 'Job' || j || k || '.cs::Hook' FROM p
+        UNION ALL SELECT k, 7, 'Database read', 'dbo.T' || j || k, NULL FROM p)
+    SELECT 'C' || k || '.cs::Go' || k AS entry, step, stage, target, next FROM s""")
+def t3_t4_dispatch(spark, sf_dir):
+    return _dispatch_trace(spark, sf_dir).select("entry", "step", "stage", "target", "next")
+
+
+_COUNTED = "CAST(n AS VARCHAR) || ' {0}' || CASE WHEN n = 1 THEN '' ELSE 's' END"
+
+
+@query(f"""WITH d AS (SELECT source, lang, (['.cs','.sql','.ts','.tsx','.html','.json','.md','.bin'])[doc_id % 8 + 1] AS ext FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+        b(label, i, n, m) AS (
+            SELECT 'API to backend handoff', 1, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) + (SELECT count(*) FROM part), (SELECT count(DISTINCT o_orderkey) FROM orders JOIN customer ON c_custkey = o_custkey) + (SELECT count(*) FROM part)
+            UNION ALL SELECT 'Method calls', 2, (SELECT count(*) FROM lineitem), (SELECT count(DISTINCT l_partkey) FROM lineitem)
+            UNION ALL SELECT 'Table reads', 3, (SELECT count(*) FROM s), (SELECT count(DISTINCT l_suppkey) FROM s)
+            UNION ALL SELECT 'Code relationships', 4, (SELECT count(*) FROM part), (SELECT count(*) FROM part)),
+        f AS (SELECT source, lang, count(*) AS n, array_to_string(list_slice(list_sort(list(DISTINCT ext)), 1, 3), ', ') AS e FROM d GROUP BY source, lang), a AS (SELECT 'Service ' || o_orderpriority AS label, count(*) AS n FROM orders GROUP BY o_orderpriority)
+    SELECT 'ws0' AS workspace_id, 'backend' AS surface, label, i AS place, n AS n_rows, {_COUNTED.format('relationship')} || ' / ' || m || ' target' || CASE WHEN m = 1 THEN '' ELSE 's' END AS summary FROM b
+    UNION ALL SELECT 'ws0', 'azure', label, CAST(row_number() OVER (ORDER BY lower(label), label) AS INTEGER), n, {_COUNTED.format('usage')} || ' in ' || {_COUNTED.format('file')} FROM a
+    UNION ALL SELECT source, 'files', lang, CAST(row_number() OVER (PARTITION BY source ORDER BY lower(lang), lang) AS INTEGER), n, {_COUNTED.format('file')} || ' / ' || e FROM f""")
+def u5_evidence_groups(spark, sf_dir):
+    graph = extract.evidence_ids(star_graph(spark, sf_dir))
+    rows = [explorer.explorer_relationships(graph, surface, limit=None) for surface in ("backend", "azure")]
+    files = explorer.file_items(_documents(spark, sf_dir).where("relative_path is not null and workspace_id is not null").withColumn("language_id", F.lit("")).withColumn("parse_status", F.lit("parsed")))
+    return explorer.group_evidence(rows[0].unionByName(rows[1])).unionByName(explorer.group_evidence(files))
+
+
+@query("SELECT 'IPart' || p_partkey AS selected, 'Outgoing from this evidence' AS label, 'contains_symbol' AS relationship_kind, 'svc/Part' || p_partkey || '.cs::Part' || p_partkey AS source_identifier FROM part WHERE p_partkey % 2 = 0")
+def u7_related_rows(spark, sf_dir):
+    graph = extract.evidence_ids(star_graph(spark, sf_dir))
+    rows = cut(explorer.relationship_items(graph, explorer.surface_of(F.col("relationship_kind"))))
+    selected = rows.where("relationship_kind = 'implemented_by' and cast(substr(source_identifier, 6) as int) % 2 = 0")
+    found = explorer.related_local(rows, selected).join(rows.select("workspace_id", "id", "relationship_kind", "source_identifier"), ["workspace_id", "id"])
+    return found.join(selected.select("workspace_id", F.col("id").alias("selected_id"), F.col("source_identifier").alias("selected")), ["workspace_id", "selected_id"]).select("selected", "label", "relationship_kind", "source_identifier")
+
+
+@query("WITH r AS (SELECT DISTINCT 'svc/Part' || l_partkey || '.cs::Load' AS s, 'dbo.Supp' || l_suppkey AS t FROM lineitem WHERE l_suppkey::VARCHAR LIKE '1%') SELECT 'ws0' AS workspace_id, 'reads_table' AS relationship_kind, s AS source_identifier, t AS target_identifier FROM r QUALIFY row_number() OVER (ORDER BY s, t) <= 50")
+def q4_n3_search_relationships(spark, sf_dir):
+    found = inventory.search_relationships(star_graph(spark, sf_dir), search="SUPP1", kind="table", source="svc/")
+    return found.select("workspace_id", "relationship_kind", "source_identifier", "target_identifier")
+
+
+@query(f"""WITH s AS {_TOP}, l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), d AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), c AS (
+        SELECT i, source || ' -> ' || target AS start, l.l_partkey AS p, row_number() OVER (ORDER BY i, 'IPart' || l.l_partkey || '.Load', 'dbo.Supp' || l_suppkey) AS n FROM s LEFT JOIN l ON l.l_orderkey = okey LEFT JOIN d ON d.l_partkey = l.l_partkey), t AS (SELECT * FROM c WHERE n <= 20)
+    SELECT start, 'backend' AS stage, CAST(sum(CASE WHEN p IS NULL THEN 1 ELSE 2 END) AS BIGINT) AS n FROM t GROUP BY start UNION ALL SELECT start, 'database', count(p) FROM t WHERE p IS NOT NULL GROUP BY start""")
+def g7_stage_profile(spark, sf_dir):
+    graph = star_graph(spark, sf_dir)
+    return chains.stage_profile(chains.expand_chains(chains.chain_starts(graph), chains.next_steps(graph), limit=20)).select("start", "stage", "n")
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, '/c' || p_partkey AS route, CASE WHEN p_partkey % 2 = 0 THEN 'Big' || p_partkey || 'Panel' ELSE 'List' || p_partkey || 'Component' END AS component FROM part),
+        s AS (SELECT 'web/x-BIG' || p_partkey || 'panel-view.ts::load' AS start, '' AS stands FROM part UNION ALL SELECT 'web/list-' || p_partkey || '.component.ts::go', 'list' || p_partkey || 'component' FROM part),
+        m AS (SELECT start, route, component FROM s JOIN c ON lower(component) = stands OR contains(lower(start), lower(component)))
+    SELECT start, arg_min(route, route || ' ' || component) AS route, arg_min(component, route || ' ' || component) AS component FROM m GROUP BY start""")
+def r4_component_routes(spark, sf_dir):
+    k, even = F.col("p_partkey").cast("string"), F.col("p_partkey") % 2 == 0
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    component = F.when(even, F.concat(F.lit("Big"), k, F.lit("Panel"))).otherwise(F.concat(F.lit("List"), k, F.lit("Component")))
+    routes = part.select(F.lit("w").alias("workspace_id"), F.lit("renders_component").alias("relationship_kind"), F.concat(F.lit("/c"), k).alias("source_identifier"), component.alias("target_identifier"))
+    places = F.array(F.concat(F.lit("web/x-BIG"), k, F.lit("panel-view.ts::load")), F.concat(F.lit("web/list-"), k, F.lit(".component.ts::go")))
+    return runtime.component_routes(routes, part.select(F.lit("w").alias("workspace_id"), F.explode(places).alias("start"))).select("start", "route", "component")
+
+
+@query("WITH t AS (SELECT CAST((SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey) + (SELECT count(*) FROM lineitem) + 2 * (SELECT count(*) FROM part) + (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) + (SELECT count(*) FROM orders) AS BIGINT) AS n) SELECT 'ws0' AS workspace_id, n AS n_rows, n AS n_ids FROM t")
+def x41_evidence_ids(spark, sf_dir):
+    """Repeated rows have ids of their own."""
+    return extract.evidence_ids(star_graph(spark, sf_dir)).groupBy("workspace_id").agg(F.count("*").alias("n_rows"), F.count_distinct("rel_id").alias("n_ids"))
+
+
+@query("SELECT 'C' || p_partkey || '.cs::Go' || p_partkey AS entry, 5 AS step, 'Unresolved call: Root' || p_partkey || '.cs::Gone' AS warning FROM part")
+def t6_trace_warnings(spark, sf_dir):
+    return trace.warnings(_dispatch_trace(spark, sf_dir)).select("entry", "step", "warning")
+
+
+@query("SELECT 'C' || p_partkey || '.cs::Go' || p_partkey AS entry, v.step, v.category FROM part, (VALUES (1, 'entry'), (2, 'handoff'), (3, 'app'), (4, 'app'), (5, 'app'), (6, 'app'), (7, 'data')) v(step, category)")
+def t8_t10_visible_steps(spark, sf_dir):
+    return trace.visible_steps(_dispatch_trace(spark, sf_dir), boundary=False).select("entry", "step", "category")
