@@ -308,6 +308,17 @@ def _first_text(names: str) -> str:
     return _attribute(names) + r"\s*\([^\")]*+\"([^\"]*+)\""
 
 
+def _groups(text: str, pattern: str, *groups: int) -> Column:
+    """Some groups of a pattern that matches at the start of a text, and what follows the match; null if it doesn't.
+    All from one match, so that a long pattern is tried once."""
+    marked = F.split(F.regexp_replace(text, pattern, "".join(f"${i}\u0001" for i in groups)), "\u0001")
+    return F.when(F.size(marked) > 1, marked)
+
+
+def _part(array: str, i: int) -> Column:
+    return F.nullif(F.get(F.col(array), F.lit(i)), F.lit(""))
+
+
 def cs_members(files: DataFrame) -> DataFrame:
     """Statements with the ``owner`` type around them (its word, and its line as ``owner_at``), what they declare
     (``type_name``, ``method_name``, ``constructor``, ``property_name``, each at ``line`` and ``col``), their
@@ -325,27 +336,32 @@ def cs_members(files: DataFrame) -> DataFrame:
     s = s.withColumn("attributes", F.concat_ws("\n", F.collect_list(F.when(F.col("own") != "", F.col("own"))).over(above)))
     s = s.where("not alone").withColumn("code", F.concat(F.regexp_replace(ahead, r"[^\n]", " "), F.substring(F.col("code"), F.length(ahead) + 1, F.length("code")))).drop("own", "run", "alone")
 
-    word, name = group("code", _DECLARED, 2), group("code", _DECLARED, 3)
-    s = s.withColumn("type_word", word).withColumn("type_name", name).withColumn("bases", group("code", _DECLARED, 5))
-    s = s.withColumn("namespace_name", group("code", _NAMESPACE))
+    types = r"\b(?:class|interface|struct|record|enum)\b"
+    s = s.withColumn("d", F.when(F.col("code").rlike(types), _groups("code", _DECLARED, 1, 2, 3, 5)))
+    s = s.withColumn("type_word", _part("d", 1)).withColumn("type_name", _part("d", 2)).withColumn("bases", _part("d", 3))
+    s = s.withColumn("namespace_name", F.when(F.col("code").contains("namespace"), group("code", _NAMESPACE)))
     kind = F.when(F.col("type_name").isNotNull(), "type").when(F.col("namespace_name").isNotNull(), "namespace").otherwise("other")
     s = with_block(s, F.struct(kind.alias("kind"), F.coalesce("type_name", "namespace_name").alias("name"), F.col("type_word").alias("word"), F.col("line").alias("at")))
-    in_type, of_file = F.col("block.kind") == "type", F.last(F.when((F.col("depth") == 0) & F.col("code").endswith(";"), F.col("namespace_name")), ignorenulls=True).over(so_far)
-    member = F.coalesce(in_type, F.lit(False)) & F.col("type_name").isNull()
+    in_type, of_file = F.coalesce(F.col("block.kind") == "type", F.lit(False)), F.last(F.when((F.col("depth") == 0) & F.col("code").endswith(";"), F.col("namespace_name")), ignorenulls=True).over(so_far)
     owner = F.when(in_type, F.struct(F.col("block.name").alias("name"), F.col("block.word").alias("word"), F.col("block.at").alias("at")))
-    s = s.withColumn("member", member).withColumn("o", owner)
-    s = s.withColumn("namespace", F.when(F.col("block.kind") == "namespace", F.col("block.name")).when(~F.coalesce(in_type, F.lit(False)), of_file))
-    built = group("code", _CONSTRUCTOR, 2)
-    s = s.withColumn("constructor", F.when(member & (built == F.col("o.name")), built))
-    plain = member & F.col("constructor").isNull()
-    s = s.withColumn("method_name", F.when(plain, group("code", _METHOD, 3)))
-    s = s.withColumn("property_name", F.when(plain & F.col("method_name").isNull(), group("code", _PROPERTY, 3)))
-    pattern = lambda i, j, k, m: F.when(F.col("type_name").isNotNull(), group("code", _DECLARED, i)).when(F.col("constructor").isNotNull(), group("code", _CONSTRUCTOR, j)).when(F.col("method_name").isNotNull(), group("code", _METHOD, k)).when(F.col("property_name").isNotNull(), group("code", _PROPERTY, m))
-    line, col = place(F.coalesce(pattern(1, 1, 1, 1), F.lit("")))
+    s = s.withColumn("member", in_type & F.col("type_name").isNull()).withColumn("o", owner)
+    s = s.withColumn("namespace", F.when(F.col("block.kind") == "namespace", F.col("block.name")).when(~in_type, of_file))
+    # what a member may be is looked for where its marks are; a method's head may also be a function's inside of a body
+    member, calls, opens = F.col("member"), F.col("code").contains("("), F.col("code").rlike(r"\{$|=>")
+    s = s.withColumn("c", F.when(member & calls & F.col("code").contains(F.col("o.name")), _groups("code", _CONSTRUCTOR, 1, 2, 3)))
+    s = s.withColumn("constructor", F.when(_part("c", 1) == F.col("o.name"), _part("c", 1)))
+    s = s.withColumn("h", F.when(F.col("constructor").isNull() & calls & (member | opens) & F.col("type_name").isNull(), _groups("code", _METHOD, 1, 3, 4)))
+    s = s.withColumn("method_name", F.when(member, _part("h", 1)))
+    s = s.withColumn("p", F.when(member & opens & F.col("constructor").isNull() & F.col("method_name").isNull(), _groups("code", _PROPERTY, 1, 2, 3)))
+    s = s.withColumn("property_name", _part("p", 2)).withColumn("property_type", _part("p", 1))
+    declares = F.when(F.col("type_name").isNotNull(), F.col("d")).when(F.col("constructor").isNotNull(), F.col("c")).when(F.col("method_name").isNotNull(), F.col("h")).when(F.col("property_name").isNotNull(), F.col("p"))
+    line, col = place(F.coalesce(F.get(declares, F.lit(0)), F.lit("")))
     s = s.withColumn("first", F.col("line")).withColumn("line", F.coalesce(line, F.col("line"))).withColumn("col", col)
-    listed = F.when(F.col("constructor").isNotNull(), group("code", _CONSTRUCTOR, 3)).when(F.col("method_name").isNotNull(), group("code", _METHOD, 4))
-    start = F.when(F.col("constructor").isNotNull(), F.length(F.regexp_extract("code", _CONSTRUCTOR.removesuffix(_ROUND), 0))).otherwise(F.length(F.regexp_extract("code", _METHOD.removesuffix(_ROUND), 0)))
-    s = s.withColumn("parameters", F.when(listed.isNotNull(), F.substring(F.col("text"), start + 2, F.length(listed))))
+    head = F.when(F.col("constructor").isNotNull(), F.col("c")).when(F.col("method_name").isNotNull(), F.col("h"))
+    listed = F.get(head, F.lit(2))
+    # the rest behind the match is the last part; the parameters end one bracket before it
+    start = F.length("code") - F.length(F.element_at(head, -1)) - F.length(listed)
+    s = s.withColumn("parameters", F.when(F.length(listed) > 0, F.substring(F.col("text"), start, F.length(listed))))
 
     # a member's statements are those deeper than it, up to the next member
     now = F.struct("o", "depth", F.col("pos").alias("at"), F.coalesce("method_name", "constructor").alias("name"), F.col("constructor").isNotNull().alias("builds"))
@@ -356,10 +372,11 @@ def cs_members(files: DataFrame) -> DataFrame:
     s = s.withColumn("owner", F.when(inside, F.col("m.o.name")).otherwise(F.col("o.name"))).withColumn("owner_word", F.when(inside, F.col("m.o.word")).otherwise(F.col("o.word")))
     s = s.withColumn("method", F.when(inside, F.col("m.name"))).withColumn("method_at", F.when(inside, F.col("m.at"))).withColumn("in_constructor", F.coalesce(inside & F.col("m.builds"), F.lit(False)))
     arrow = F.regexp_extract("code", r"(?s)=>(.*)$", 1)
-    local = F.when(F.col("code").rlike(_METHOD + r"\s*(?:where\b[^{;=]*+)?(?:\{|=>)"), group("code", _METHOD.removesuffix(_ROUND), 0))
-    within = F.when(local.isNotNull(), F.substring(F.col("code"), F.length(local) + 1, F.length("code"))).otherwise(F.col("code"))
+    rest = F.element_at("h", -1)
+    local = ~F.col("member") & F.coalesce(rest.rlike(r"^\s*(?:where\b[^{;=]*+)?(?:\{|=>)"), F.lit(False))
+    within = F.when(local, F.concat(F.get("h", F.lit(2)), F.lit(")"), rest)).otherwise(F.col("code"))
     s = s.withColumn("body", F.when(inside & itself, arrow).when(inside, within))
-    return s.withColumn("body_text", F.substring(F.col("text"), F.length("code") - F.length("body") + 1, F.length("body"))).withColumnRenamed("text", "whole_text").drop("m", "o", "block", "lines")
+    return s.withColumn("body_text", F.substring(F.col("text"), F.length("code") - F.length("body") + 1, F.length("body"))).withColumnRenamed("text", "whole_text").drop("m", "o", "block", "lines", "d", "c", "h", "p")
 
 
 def cs_type_kind() -> Column:
@@ -436,7 +453,7 @@ def extract_cs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = []
     based = types.where("type_word = 'class' and bases is not null").select(*FILE, "line", "type_name", F.posexplode(_listed("bases")).alias("col", "base")).where("base <> ''")
     out.append(edge(based, "symbol", F.col("type_name"), "inherits_from", "class", _global(F.col("base"))))
-    sets = s.where("property_name is not null and owner_word = 'class'").withColumn("entity", F.trim(group(group("code", _PROPERTY, 2), r"^DbSet<(.*)>$"))).where("entity is not null")
+    sets = s.where("property_name is not null and owner_word = 'class'").withColumn("entity", F.trim(group("property_type", r"(?s)^DbSet<(.*)>$"))).where("entity is not null")
     out.append(edge(sets, "symbol", F.col("owner"), "maps_dbset", "domain-model", F.col("entity"), F.concat(F.lit("property="), "property_name")))
     out.append(edge(sets, "domain-model", F.col("entity"), "maps_to_table", "database-table", F.col("property_name"), F.concat(F.lit("dbContext="), "owner")))
 

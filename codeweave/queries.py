@@ -643,3 +643,18 @@ def t6_trace_warnings(spark, sf_dir):
 @query("SELECT 'C' || p_partkey || '.cs::Go' || p_partkey AS entry, v.step, v.category FROM part, (VALUES (1, 'entry'), (2, 'handoff'), (3, 'app'), (4, 'app'), (5, 'app'), (6, 'app'), (7, 'data')) v(step, category)")
 def t8_t10_visible_steps(spark, sf_dir):
     return trace.visible_steps(_dispatch_trace(spark, sf_dir), boundary=False).select("entry", "step", "category")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 9 AS c FROM part), f AS (
+        SELECT k, c, CASE c WHEN 0 THEN 'src/Temp' || k || '/x.cs' WHEN 1 THEN 'src/a/Gen' || k || '.Skip.cs' WHEN 2 THEN 'top' || k || '.sql' WHEN 3 THEN 'q/top' || k || '.sql' WHEN 4 THEN 'src/docs/z' || k || '.md'
+               WHEN 5 THEN 'src/keep' || k || '.cs' WHEN 6 THEN 'lib' || k || '/v1/deep/y.cs' WHEN 7 THEN 'temp' || k ELSE 'a/b' || k || '/x1.ts' END AS path FROM p)
+    SELECT 'w' || (k % 3) AS workspace_id, path AS relative_path FROM f WHERE NOT (c IN (0, 1, 2, 4, 6) OR (c = 8 AND k % 3 = 1))""")
+def s3_ignore_rules(spark, sf_dir):
+    """Per part one path and, in its workspace, rules of every form: of these, w1 has one without literals."""
+    k, c = F.col("p_partkey").cast("string"), F.col("p_partkey") % 9
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    paths = [text("src/Temp", k, "/x.cs"), text("src/a/Gen", k, ".Skip.cs"), text("top", k, ".sql"), text("q/top", k, ".sql"), text("src/docs/z", k, ".md"), text("src/keep", k, ".cs"), text("lib", k, "/v1/deep/y.cs"), text("temp", k), text("a/b", k, "/x1.ts")]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text("w", (F.col("p_partkey") % 3).cast("string")).alias("workspace_id"), F.element_at(F.array(*paths), (c + 1).cast("int")).alias("relative_path"))
+    own = F.array(text("temp", k, "/"), text("/TOP", k, ".sql"), text("lib", k, "/v?/deep"), F.lit("*.skip.cs"), F.lit("docs"), F.lit("# keep*"), F.lit(" "), F.when(F.col("workspace_id") == "w1", "??.ts"))
+    rules = part.select("workspace_id", F.explode(F.array_compact(own)).alias("rule")).distinct()
+    return sources.apply_ignore_rules(part.drop("p_partkey"), rules)

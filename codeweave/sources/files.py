@@ -42,24 +42,58 @@ def _rule_pattern(rule: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(literal, r"\*", ".*"), r"\?", ".")
 
 
+#: Wildcard rules are looked up by this many characters of their longest literal part; shorter ones are tried on all paths.
+RULE_GRAM = 3
+
+
+def _clean_rules(rules: DataFrame) -> DataFrame:
+    clean = F.translate(F.trim("rule"), "\\", "/")
+    rules = rules.select("workspace_id", clean.alias("rule")).where("rule <> '' and not startswith(rule, '#')").distinct()
+    rules = rules.withColumn("dirs_only", F.col("rule").endswith("/")).withColumn("anchored", F.col("rule").startswith("/"))
+    return rules.withColumn("body", F.lower(F.regexp_replace("rule", "^/|/$", ""))).withColumn("wild", F.col("body").rlike("[*?]")).where("body <> ''")
+
+
+def _ways(path: Column) -> Column:
+    """What rules may be held against of a path: itself and each directory above it, whole and by its last name."""
+    parts = F.split(path, "/")
+
+    def one(part: Column, i: Column) -> Column:
+        prefix = F.array_join(F.slice(parts, F.lit(1), i + 1), "/")
+        return F.array(F.struct(prefix.alias("text"), F.lit(True).alias("whole"), (i < F.size(parts) - 1).alias("is_dir")), F.struct(part.alias("text"), (i == 0).alias("whole"), (i < F.size(parts) - 1).alias("is_dir")))
+
+    return F.array_distinct(F.flatten(F.transform(parts, one)))
+
+
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """S3: drops files that a rule of their workspace's ``rules(workspace_id, rule)`` matches, or below such a directory.
 
     Blank and ``#`` lines are no rules. A rule ending in ``/`` is for directories only, a leading ``/`` anchors it at
     the root; another rule also matches a base name, or a path below it. Case does not count; there is no negation.
+
+    Rules without wildcards meet paths, their directories and names by equality. Of the wildcard rules, those of one
+    workspace with the same rarest literal gram are tried together, on the names and paths that have that gram; only
+    rules without three literal characters in a row are tried on every path of their workspace.
     """
-    clean = F.translate(F.trim("rule"), "\\", "/")
-    rules = rules.select("workspace_id", clean.alias("rule")).where("rule <> '' and not startswith(rule, '#')").distinct()
-    rules = rules.withColumn("dirs_only", F.col("rule").endswith("/")).withColumn("anchored", F.col("rule").startswith("/"))
-    pattern = _rule_pattern(F.regexp_replace("rule", "^/|/$", ""))
-    whole = F.concat(F.lit("(?is)^"), pattern, F.lit("(/.*)?$"))
-    name = F.concat(F.lit("(?is)^(.*/)?"), pattern, F.lit("$"))
-    rules = rules.select("workspace_id", "dirs_only", F.when(F.col("anchored"), whole).otherwise(F.concat(whole, F.lit("|"), name)).alias("pattern"))
+    rules = _clean_rules(rules)
     paths = files.select("workspace_id", "relative_path").distinct()
-    parts = F.split(F.translate(F.col("relative_path"), "\\", "/"), "/")
-    tried = paths.withColumn("parts", parts).select("workspace_id", "relative_path", F.posexplode(F.transform("parts", lambda p, i: F.array_join(F.slice(F.col("parts"), F.lit(1), i + 1), "/"))).alias("i", "prefix"), F.size("parts").alias("n"))
-    hit = tried.join(rules, "workspace_id").where((~F.col("dirs_only") | (F.col("i") < F.col("n") - 1)) & F.expr("prefix rlike pattern"))
-    return files.join(hit.select("workspace_id", "relative_path").distinct(), ["workspace_id", "relative_path"], "left_anti")
+    tried = paths.select("workspace_id", "relative_path", F.explode(_ways(F.lower(F.translate("relative_path", "\\", "/")))).alias("w")).select("workspace_id", "relative_path", "w.*")
+    fits = (~F.col("dirs_only") | F.col("is_dir")) & (~F.col("anchored") | F.col("whole"))
+    exact = tried.join(rules.where("not wild").select("workspace_id", F.col("body").alias("text"), "dirs_only", "anchored"), ["workspace_id", "text"]).where(fits)
+
+    literal = F.array_max(F.transform(F.split("body", "[*?]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    wild = rules.where("wild").withColumn("literal", literal).withColumn("pattern", F.concat(F.lit("(?s)^"), _rule_pattern(F.col("body")), F.lit("$")))
+    indexed, open_rules = wild.where(F.length("literal") >= RULE_GRAM), wild.where(F.length("literal") < RULE_GRAM)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - RULE_GRAM + 1), lambda i: F.substring(F.col(c), i, F.lit(RULE_GRAM))))
+    per_gram = indexed.select("workspace_id", "pattern", "dirs_only", "anchored", F.explode(grams("literal")).alias("gram"))
+    texts = tried.select("workspace_id", "text").distinct().where(F.length("text") >= RULE_GRAM).select("workspace_id", "text", F.explode(grams("text")).alias("gram"))
+    texts = texts.join(per_gram.select("workspace_id", "gram").distinct(), ["workspace_id", "gram"], "left_semi")
+    counts = texts.groupBy("workspace_id", "gram").agg(F.count("*").alias("n"))
+    rarest = per_gram.join(counts, ["workspace_id", "gram"], "left").groupBy("workspace_id", "pattern", "dirs_only", "anchored").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+    met = rarest.select("workspace_id", "pattern", "dirs_only", "anchored", "r.gram").join(texts, ["workspace_id", "gram"]).where(F.expr("text rlike pattern")).select("workspace_id", "text", "dirs_only", "anchored").distinct()
+    by_gram = tried.join(met, ["workspace_id", "text"]).where(fits)
+    by_any = tried.join(open_rules.select("workspace_id", "pattern", "dirs_only", "anchored"), "workspace_id").where(fits & F.expr("text rlike pattern"))
+    hit = exact.select("workspace_id", "relative_path").unionByName(by_gram.select("workspace_id", "relative_path")).unionByName(by_any.select("workspace_id", "relative_path"))
+    return files.join(hit.distinct(), ["workspace_id", "relative_path"], "left_anti")
 
 
 def mark_skipped(files: DataFrame) -> DataFrame:
