@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .scratch import release, small_batches
 from .textkeys import slices
@@ -159,7 +160,7 @@ def classify(docs: DataFrame, model: Model | None, min_lead: float = 0.15) -> Da
     spark = docs.sparkSession
     small_batches(spark, 256)
     shared = spark.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
 
     def run(batches):
         model = shared.value
@@ -173,7 +174,7 @@ def classify(docs: DataFrame, model: Model | None, min_lead: float = 0.15) -> Da
                 score[letters], unsure[letters] = share[letters].clip(0, 1), lead[letters] < min_lead
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, found)
 
 
 def held_out() -> Column:

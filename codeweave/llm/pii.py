@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, quoted, small_batches
 from .spans import ARROW_SPANS, SPAN_TYPE, as_structs, digest, text_key, with_added
 from .textkeys import Slice, mix, slices, windows
 
@@ -305,7 +305,7 @@ def mask(docs: DataFrame, found: DataFrame) -> DataFrame:
                     columns[i] = pa.array([None if t is None else len(t) for t in new], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("of"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("key"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id").alias("of"), F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("key"))
     if extra.isEmpty():
         return rows.select("row", F.lit(None).cast(SPAN_TYPE).alias("all_spans")).mapInArrow(run, schema)
     keyed = rows.join(extra, rows.of.eqNullSafe(extra.doc_id) & (rows.key == extra.text_key), "left")

@@ -88,6 +88,11 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as expressions, whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose id is (``left_semi``) or is not (``left_anti``) in ``ids``.
 

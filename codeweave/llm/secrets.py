@@ -9,7 +9,8 @@ combines them into one level of randomness.
 A reported token is claimed to be no ordinary text, so the share of ordinary text among the reported is what is
 controlled. How random ordinary text of the same encoding and length looks is simulated: symbols are drawn with the
 frequencies they have in the whole corpus outside the candidates, and run through the same battery. A token's p-value is the share of those
-that look as random as it does, and within each stratum of encoding and length a Benjamini-Hochberg step-up over all
+that look as random as it does (below the least simulated ones, the tail of a log-normal law fitted to them, so that a
+few secrets among any number of ordinary tokens are still told apart), and within each stratum of encoding and length a Benjamini-Hochberg step-up over all
 tokens of the corpus reports tokens as kind ``random`` at false-discovery rate ``q``. Short tokens, on which the tests
 have little power, are thus held to what ordinary text of their own length reaches.
 """
@@ -19,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from itertools import accumulate
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,11 @@ from .spans import ARROW_SPANS, SPAN_TYPE, as_structs, digest, text_key, with_ad
 KINDS = ("assign", "access", "hex", "random")
 #: Levels of randomness are counted in this many bins of -log10 p, each DECADE_BINS to a decade.
 DECADE_BINS, BINS = 10, 400
-#: Tokens of ordinary text simulated for a stratum; p-values are no finer than one in so many.
-SIMULATED = 4000
+#: Symbols of ordinary text simulated for a stratum, how many of the least tokens the fitted tail takes over from, and
+#: what its spread is multiplied by (the classes' lengths differ) and is at least.
+SIMULATED, TAIL, WIDER, LEAST_SPREAD = 1 << 20, 10, 1.1, 0.25
+#: Longer tokens are held to ordinary text of this length, which looks more random than ordinary text of their own.
+LONGEST = 2048
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
@@ -106,20 +112,34 @@ def levels(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def length_class(n: int) -> int:
-    """Two classes to a doubling of the length."""
-    return int(math.log2(n) * 2)
+    """In eighths of a doubling of the length; from 64 on, where the tests tell far apart, two classes to a doubling."""
+    return int(math.log2(n) * 8) if n < 64 else 4 * int(math.log2(n) * 2)
 
 
 def ordinary_levels(name: str, of_class: int, frequencies: np.ndarray) -> np.ndarray:
-    """Sorted levels of SIMULATED tokens of the class's lengths, drawn with the corpus's ``frequencies`` of the symbols
+    """Sorted levels of tokens of the class's lengths (SIMULATED symbols in all), drawn with the corpus's ``frequencies`` of the symbols
     of base64 (in that alphabet's order); where the corpus has none of an alphabet's symbols, evenly."""
     rng = np.random.default_rng([17, of_class, list(ALPHABETS).index(name)])
     symbols = ALPHABETS["base64"]
     share = np.array([frequencies[symbols.index("+/"["-_".index(c)] if c in "-_" else c)] for c in ALPHABETS[name]], dtype=float)
     share = share / share.sum() if share.sum() else np.full(len(share), 1 / len(share))
-    lengths = [n for n in range(max(20, int(2 ** (of_class / 2))), int(2 ** ((of_class + 1) / 2)) + 2) if length_class(n) == of_class]
-    lengths = [lengths[len(lengths) * (2 * i + 1) // 8] for i in range(4)]
-    return np.sort(np.concatenate([levels(rng.choice(len(share), size=(SIMULATED // 4, n), p=share), len(share)) for n in lengths]))
+    least, most = max(20, int(2 ** (of_class / 8))), int(2 ** ((of_class + 4) / 8)) + 2
+    lengths = [LONGEST] if least > LONGEST else [n for n in range(least, most) if length_class(n) == of_class]
+    lengths = [min(LONGEST, lengths[len(lengths) * (2 * i + 1) // 8]) for i in range(4)]
+    return np.sort(np.concatenate([levels(rng.choice(len(share), size=(SIMULATED // 4 // n, n), p=share), len(share)) for n in lengths]))
+
+
+def p_value(level: int, ordinary: np.ndarray) -> float:
+    """The share of ordinary tokens at ``level`` or below, from their sorted simulated levels. Below the TAIL-th it is
+    that of a log-normal law through it and their median, a little wider."""
+    below = int(np.searchsorted(ordinary, level, side="right"))
+    if below >= TAIL:
+        return (1 + below) / (1 + len(ordinary))
+    met = TAIL / (1 + len(ordinary))
+    centre, edge = math.log1p(float(np.median(ordinary))), math.log1p(float(ordinary[TAIL - 1]))
+    spread = max((centre - edge) / -NormalDist().inv_cdf(met) * WIDER, LEAST_SPREAD)
+    share = lambda x: 0.5 * math.erfc((centre - x) / spread / math.sqrt(2))
+    return min(met, met * share(math.log1p(level)) / max(share(edge), 1e-300))
 
 
 def greatest_level(counts: dict[int, int], ordinary: np.ndarray, q: float) -> int:
@@ -127,8 +147,7 @@ def greatest_level(counts: dict[int, int], ordinary: np.ndarray, q: float) -> in
     total, so_far, found = sum(counts.values()), 0, -1
     for level in sorted(counts):
         so_far += counts[level]
-        p = (1 + int(np.searchsorted(ordinary, level, side="right"))) / (1 + len(ordinary))
-        if p * total <= q * so_far:
+        if p_value(level, ordinary) * total <= q * so_far:
             found = level
     return found
 
@@ -164,11 +183,11 @@ def _scan(batches):
             sha.append(digest(spans, KINDS))
             for k in range(3):
                 counts[k].append(sum(s[1] == k for s in spans))
-            more, starts = [], [a for a, _, _ in spans]
+            more, starts, reached = [], [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
             for m in _CANDIDATE.finditer(text):
                 name = encoding(m[0])
                 before = bisect_left(starts, m.end())
-                if name and not any(m.start() < b for _, _, b in spans[max(0, before - 3) : before]):
+                if name and not (before and m.start() < reached[before - 1]):
                     symbols -= np.bincount(_PLACES[np.frombuffer(m[0].encode(), np.uint8)], minlength=65)
                     more.append({"stratum": f"{name}/{length_class(len(m[0]))}", "bin": 0, "start": m.start(), "stop": m.end()})
                     alike.setdefault((name, len(m[0])), []).append((more[-1], m[0]))
