@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweave.llm import bpe_automaton, language_id, minhash_dedup, mixing, pii
 from codeweave.llm.queries import tokenizer_path
-from codeweave.llm.scratch import MAX_BROADCAST_IDS, Scratch, shared_dir
+from codeweave.llm.scratch import MAX_BROADCAST_IDS, Scratch, quoted, shared_dir
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     to MAX_BROADCAST_IDS, beyond that the join shuffles."""
     dropped = Scratch(docs.sparkSession).cut(dropped.distinct())
     ids = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_IDS else dropped
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids, "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     and empty texts go. Columns of any further names stay as they are. An empty table stays empty.
     """
     model = language_id.fit(docs.where(~language_id.held_out()))
-    judged = language_id.classify(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), model)
+    judged = language_id.classify(docs.select(F.struct(*quoted(docs.columns)).alias("doc_id"), "text"), model)
     kept = judged.where("lang_pred <> 'und' and not ambiguous")
-    return kept.select(*[F.col("lang_pred" if c == "lang" else f"doc_id.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col("lang_pred" if c == "lang" else f"doc_id.{q}").alias(c) for c, q in zip(docs.columns, quoted(docs.columns))])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = scratch.cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*quoted(docs.columns))
     return _without(kept, repeated).unionByName(once)
 
 
