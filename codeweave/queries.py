@@ -658,3 +658,25 @@ def s3_ignore_rules(spark, sf_dir):
     own = F.array(text("temp", k, "/"), text("/TOP", k, ".sql"), text("lib", k, "/v?/deep"), F.lit("*.skip.cs"), F.lit("docs"), F.lit("# keep*"), F.lit(" "), F.when(F.col("workspace_id") == "w1", "??.ts"))
     rules = part.select("workspace_id", F.explode(F.array_compact(own)).alias("rule")).distinct()
     return sources.apply_ignore_rules(part.drop("p_partkey"), rules)
+
+
+@query("""WITH d AS (SELECT source AS workspace_id, doc_id, (['csharp','sql','typescript','typescript','html','json','markdown','unknown'])[doc_id % 8 + 1] AS lang, octet_length(encode(text)) > 1048576 AS big FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+    SELECT workspace_id, count(*) AS files_scanned, count(*) FILTER (doc_id % 7 = 0 AND NOT big) AS files_indexed, count(*) FILTER (big) AS files_skipped, count(*) FILTER (doc_id % 7 = 0 AND NOT big) AS symbols_indexed FROM d GROUP BY workspace_id""")
+def i5_index_summary(spark, sf_dir):
+    """``documents`` as files, of which every seventh changed; each has one symbol."""
+    docs = _documents(spark, sf_dir).where("relative_path is not null and workspace_id is not null")
+    stored = sources.indexable(docs).withColumn("is_deleted", F.lit(False))
+    edited = sources.indexable(docs.withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
+    return sources.index_summary(docs, sources.changed_files(edited, stored), stored.select("workspace_id", "relative_path"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS s FROM lineitem)
+    SELECT 'svc/Part' || k || '.cs::Load' AS source_identifier, CASE WHEN k % 5 = 0 THEN 'new.T' || s ELSE 'dbo.Supp' || s END AS target_identifier FROM p""")
+def i2_replaced_evidence(spark, sf_dir):
+    """The table reads after every fifth service file was read again and reads other tables."""
+    reads = star_graph(spark, sf_dir).where("relationship_kind = 'reads_table'")
+    path = F.regexp_extract("source_identifier", "^(.*)::", 1)
+    again = reads.where(F.regexp_extract("source_identifier", r"Part(\d+)", 1).cast("long") % 5 == 0)
+    changed = again.select("workspace_id", path.alias("relative_path")).distinct()
+    fresh = again.withColumn("target_identifier", F.regexp_replace("target_identifier", "^dbo.Supp", "new.T"))
+    return sources.replace_file_evidence(reads, changed, fresh).select("source_identifier", "target_identifier")

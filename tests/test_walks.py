@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeweave.operators import chains, explorer, extract
+from codeweave.operators import chains, explorer, extract, runtime
 from codeweave.plans.containment import containing
 from codeweave.sources import files as sources
 
@@ -113,3 +113,16 @@ def test_related_and_grouped_rows(spark):
     assert [r.source_identifier for r in explorer.filter_items(items, text="DBO.", target_kind="database-table", path="b/").collect()] == ["b/y.cs::Load"]
     first = selected.first()
     assert first.display_locator.startswith("Go - Evidence #") and first.display_title == "Go -> IRepo.Load" and first.evidence_summary == ":Go calls method IRepo.Load."
+
+
+def test_path_coverage(spark):
+    step = "struct<stage:string,title:string,detail:string,kind:string>"
+    shape = f"workspace_id string, category string, flows array<struct<category:string,title:string,steps:array<{step}>,confidence:bigint>>"
+    s = lambda stage, kind="x": (stage, "t", "d", kind)
+    one = ("ui", "f", [s("Entry point")], 1)
+    api, cloud, plain = ("ui", "f", [s("UI"), s("HTTP call")], 1), ("ui", "g", [s("Start"), s("Blob store")], 1), ("job", "h", [s("Entry point")], 1)
+    paths = spark.createDataFrame([("w", "ui", [one]), ("w", "ui", [api, cloud]), ("w", "ui", [plain])], shape)
+    flows = spark.createDataFrame([("w", [s("SQL table")]), ("v", [s("a", "database-table")])], f"workspace_id string, steps array<{step}>")
+    entries = spark.createDataFrame([("w",), ("v",), ("v",)], "workspace_id string")
+    got = {r.workspace_id: tuple(r)[1:] for r in runtime.path_coverage(entries, paths, flows).collect()}
+    assert got == {"w": (3, 1, 1, 1, 4, 1, 0, 0, 1), "v": (2, 0, 0, 0, 1, 0, 0, 1, 0)}
