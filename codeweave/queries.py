@@ -680,3 +680,14 @@ def i2_replaced_evidence(spark, sf_dir):
     changed = again.select("workspace_id", path.alias("relative_path")).distinct()
     fresh = again.withColumn("target_identifier", F.regexp_replace("target_identifier", "^dbo.Supp", "new.T"))
     return sources.replace_file_evidence(reads, changed, fresh).select("source_identifier", "target_identifier")
+
+
+@query(f"""WITH d AS (SELECT source AS ws, lang, (['C# / ASP.NET','SQL / T-SQL','TypeScript','TypeScript','HTML / Angular Templates','JSON configuration','markdown','unknown'])[doc_id % 8 + 1] AS title FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+        t AS (SELECT ws, 'technology' AS section, title, count(*) AS n FROM d GROUP BY ws, title UNION ALL SELECT ws, 'folder', lang, count(*) FROM d GROUP BY ws, lang
+            UNION ALL SELECT 'ws0', 'data', 'dbo.Supp' || l_suppkey, count(DISTINCT l_partkey) FROM lineitem GROUP BY l_suppkey UNION ALL SELECT 'ws0', 'azure', 'Service ' || o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority
+            UNION ALL SELECT 'ws0', 'flow', 'O / ' || o_orderkey, count(*) FROM (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY 'GET /o/' || o_orderkey || ';' LIMIT 30) GROUP BY o_orderkey)
+    SELECT ws AS workspace_id, section, title, n FROM t QUALIFY row_number() OVER (PARTITION BY ws, section ORDER BY n DESC, title) <= 10""")
+def o1_o6_sections(spark, sf_dir):
+    """Technologies and folders of ``documents`` as files; flows, data and cloud services of the star graph."""
+    files = sources.indexable(_documents(spark, sf_dir).where("relative_path is not null and workspace_id is not null"))
+    return inventory.overview(files, star_graph(spark, sf_dir))
