@@ -157,24 +157,31 @@ class Automaton:
 
     def _place(self, parent: np.ndarray, byte: np.ndarray, child: np.ndarray) -> None:
         """Puts all nodes' rows of 256 arcs into one array, shifted so that their arcs fall between each other's: the arc
-        of a node by a byte stands at ``base[node] + byte`` if that place is the node's."""
+        of a node by a byte stands at ``base[node] + byte`` if that place is the node's.
+
+        Nodes of many arcs come first. All nodes of about equally many try a shift at random at once; those whose places
+        are free and claimed by no other node stay, the rest try again.
+        """
         order = np.lexsort((byte, parent))
         parent, byte, child = parent[order], byte[order], child[order]
-        first = np.searchsorted(parent, np.arange(self.inner + 1))
-        arcs = np.diff(first)
-        free = np.ones(4 * len(parent) + 4096, dtype=bool)
+        arcs = np.bincount(parent, minlength=self.inner)
         self.base = np.zeros(self.inner, dtype=np.int64)
-        low = 0
-        for turn, node in enumerate(np.argsort(-arcs, kind="stable")[: int((arcs > 1).sum())].tolist()):
-            row, at = byte[first[node] : first[node + 1]], low
-            while not (fits := free[np.arange(at, at + 1024)[:, None] + row].all(1)).any():
-                at += 1024
-            self.base[node] = at + int(fits.argmax())
-            free[self.base[node] + row] = False
-            if turn % 64 == 0:
-                low = max(low, int(free.argmax()) - 255)
-        single = np.flatnonzero(arcs == 1)
-        self.base[single] = np.flatnonzero(free[256:])[: len(single)] + 256 - byte[first[single]]
+        size = 4 * len(parent) + 4096
+        taken = np.full(size + 256, -1, dtype=np.int32)
+        rng = np.random.default_rng(1)
+        level = np.frexp(arcs.astype(float))[1]
+        for now in sorted(set(level[arcs > 0].tolist()), reverse=True):
+            todo = np.flatnonzero(level[parent] == now)
+            while len(todo):
+                nodes, at = np.unique(parent[todo], return_inverse=True)
+                places = rng.integers(0, size, len(nodes))[at] + byte[todo]
+                open_ = taken[places] < 0
+                taken[places[open_]] = parent[todo[open_]]
+                lost = np.bincount(at[taken[places] != parent[todo]], minlength=len(nodes)) > 0
+                back = lost[at] & (taken[places] == parent[todo])
+                taken[places[back]] = -1
+                self.base[nodes[~lost]] = (places - byte[todo])[np.searchsorted(at, np.flatnonzero(~lost))]
+                todo = todo[lost[at]]
         places = self.base[parent] + byte
         self.owner = np.full(int(self.base.max()) + 256, -1, dtype=np.int32)
         self.target = np.zeros(len(self.owner), dtype=np.int32)
