@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import language_title
-from .operators import chains, explorer, extract, inventory, link, runtime, trace
+from .operators import chains, explorer, extract, inventory, link, relink, runtime, trace
 from .plans.corpus import other_corpus, part_corpus, wrapped_corpus
 from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
@@ -691,3 +691,30 @@ def o1_o6_sections(spark, sf_dir):
     """Technologies and folders of ``documents`` as files; flows, data and cloud services of the star graph."""
     files = sources.indexable(_documents(spark, sf_dir).where("relative_path is not null and workspace_id is not null"))
     return inventory.overview(files, star_graph(spark, sf_dir))
+
+
+@query(f"""WITH {_P}, m AS (
+        SELECT ws, 'matches_backend_handler' AS relationship_kind, {_WEB} || '.service.ts::load' || k AS source_identifier, {_ACT} || '::Act' || k AS target_identifier,
+               'frontendApi=' || CASE WHEN k % 20 = 11 THEN {_CALL} || '/2' ELSE {_CALL} END || ';backendApi=' || CASE WHEN k % 20 = 3 THEN replace({_API}, '/{{rev}}', '') ELSE {_API} END || ';match=' || CASE WHEN k % 4 = 1 THEN 'exact' ELSE 'template' END || ';controller=P' || k || 'Controller' AS metadata
+          FROM p WHERE (k % 4 <> 3 OR k % 20 IN (3, 11)) AND k % 20 <> 1 AND k % 10 <> 2
+        UNION ALL SELECT ws, 'invokes_handler', {_WEB} || '.component.html::click:go' || k, {_WEB} || CASE WHEN k % 10 = 6 THEN '.component.view.ts::go' ELSE '.component.ts::go' END || k, 'resolved=true' FROM p WHERE k % 10 <> 4)
+    SELECT ws AS workspace_id, relationship_kind, source_identifier, target_identifier, metadata FROM m""")
+def l1_l4_relinked(spark, sf_dir):
+    """The links of the corpus after some of its files were edited, deleted and moved, from those files alone."""
+    wanted = {e: f for e, f in extract.EXTRACTORS.items() if {".ts", ".html", ".cs"} & set(e)}
+    files = sources.indexable(part_corpus(spark, sf_dir).where("relative_path rlike '(service.ts|component.ts|component.html|Controller.cs)$'"))
+    symbols, edges = (cut(t) for t in extract.extract_evidence(files, wanted))
+    old = cut(link.linked(edges, symbols))
+    path, k = F.col("relative_path"), F.regexp_extract("relative_path", r"(\d+)[A-Za-z.]*$", 1).cast("long")
+    content = F.when(path.endswith("service.ts") & (k % 20 == 11), F.replace("content", F.lit("/1'"), F.lit("/1/2'"))).when(path.endswith("service.ts") & (k % 20 == 1), F.replace("content", F.lit("/save"), F.lit("/gone")))
+    content = content.when(path.endswith("Controller.cs") & (k % 20 == 3), F.replace("content", F.lit("/{rev}"), F.lit(""))).when(path.endswith("html") & (k % 10 == 5), F.concat("content", F.lit(" ")))
+    edited = files.withColumn("content", content).where("content is not null")
+    moved = files.where(path.endswith("component.ts") & (k % 10 == 6))
+    gone = files.where((path.endswith("component.ts") & (k % 10 == 4)) | (path.endswith("Controller.cs") & (k % 10 == 2)))
+    now = edited.unionByName(moved.withColumn("relative_path", F.replace(path, F.lit(".ts"), F.lit(".view.ts"))))
+    new_symbols, fresh = (cut(t) for t in extract.extract_evidence(now, wanted))
+    changed = cut(edited.unionByName(moved).unionByName(gone).unionByName(now).select("workspace_id", "relative_path").distinct())
+    symbols = symbols.join(changed, ["workspace_id", "relative_path"], "left_anti").unionByName(new_symbols)
+    kept, added = relink.relink(old, changed, fresh, symbols)
+    links = kept.unionByName(added).where("relationship_kind = 'matches_backend_handler' or (relationship_kind = 'invokes_handler' and metadata = 'resolved=true')")
+    return links.select("workspace_id", "relationship_kind", "source_identifier", "target_identifier", "metadata")
