@@ -17,6 +17,7 @@ from .plans.corpus import other_corpus, part_corpus, wrapped_corpus
 from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
 from .sources import files as sources
+from .streaming import listings
 from .streaming.incremental import index_stream, latest
 
 _P = "p AS (SELECT p_partkey AS k, replace(p_brand, 'Brand#', 'b') AS b, 'ws' || (p_partkey % 5) AS ws, p_size, p_name FROM part)"
@@ -718,3 +719,25 @@ def l1_l4_relinked(spark, sf_dir):
     kept, added = relink.relink(old, changed, fresh, symbols)
     links = kept.unionByName(added).where("relationship_kind = 'matches_backend_handler' or (relationship_kind = 'invokes_handler' and metadata = 'resolved=true')")
     return links.select("workspace_id", "relationship_kind", "source_identifier", "target_identifier", "metadata")
+
+
+@query(f"""WITH {_DOCS}, f AS (SELECT * FROM d WHERE octet_length(encode(text)) <= 1048576)
+    SELECT workspace_id, relative_path, change, n FROM (
+        SELECT workspace_id, relative_path, 'added' AS change, CASE WHEN doc_id % 10 = 9 THEN 2 ELSE 1 END AS n FROM f
+        UNION ALL SELECT workspace_id, relative_path, 'changed', 2 FROM f WHERE doc_id % 7 = 0 AND doc_id % 10 <> 9
+        UNION ALL SELECT workspace_id, relative_path, 'deleted', 3 FROM f WHERE doc_id % 3 = 0)""")
+def i6_listing_changes(spark, sf_dir):
+    """``documents`` as three listings: nine of ten files, all with every seventh edited, then without every third."""
+    docs = _documents(spark, sf_dir).where("workspace_id is not null and relative_path is not null and content is not null")
+    edited = F.when((F.col("doc_id") % 7 == 0) & (F.col("n") > 1), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    folder, rows = shared_folder(spark, "listings"), docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("not (n = 1 and doc_id % 10 = 9) and not (n = 3 and doc_id % 3 = 0)")
+    at = F.timestamp_seconds(F.col("n") * 86_400 + 1_700_000_000).alias("listed_at")
+    rows = cut(rows.select("workspace_id", "relative_path", edited.alias("content"), "size_bytes", at, "n"))
+    for n in (1, 2, 3):
+        rows.where(F.col("n") == n).drop("n").write.mode("append").parquet(f"{folder}/in")
+        end = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[:4]], F.timestamp_seconds(F.lit(n * 86_400 + 1_700_000_000)).alias("listed_at"))
+        end.write.mode("append").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(rows.drop("n").schema).option("maxFilesPerTrigger", "8").parquet(f"{folder}/in")
+    listings.index_listings(arriving, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    found = listings.changes_of(spark, f"{folder}/index")
+    return found.select("workspace_id", "relative_path", "change", ((F.unix_seconds("listed_at") - 1_700_000_000) / 86_400).cast("int").alias("n"))
