@@ -17,6 +17,7 @@ from .plans.corpus import other_corpus, part_corpus, wrapped_corpus
 from .plans.materialise import cut, shared_folder
 from .plans.star_graph import star_graph
 from .sources import files as sources
+from .sources import tree
 from .streaming import listings
 from .streaming.incremental import index_stream, latest
 
@@ -741,3 +742,15 @@ def i6_listing_changes(spark, sf_dir):
     listings.index_listings(arriving, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
     found = listings.changes_of(spark, f"{folder}/index")
     return found.select("workspace_id", "relative_path", "change", ((F.unix_seconds("listed_at") - 1_700_000_000) / 86_400).cast("int").alias("n"))
+
+
+@query(f"""WITH {_DOCS} SELECT CASE doc_id % 9 WHEN 1 THEN 'gen/' || workspace_id || '/' || relative_path || '.min.js' ELSE workspace_id || '/' || relative_path END AS relative_path, octet_length(encode(text)) AS size_bytes,
+       doc_id % 9 = 1 OR octet_length(encode(text)) > 1048576 AS skipped, CASE WHEN doc_id % 9 <> 1 AND octet_length(encode(text)) <= 1048576 THEN sha256(text) END AS sha256 FROM d WHERE doc_id % 9 <> 0""")
+def s1_scanned_tree(spark, sf_dir):
+    """``documents`` as files of a folder tree, scanned: every ninth in an excluded folder, every ninth generated."""
+    docs = _documents(spark, sf_dir).where("workspace_id is not null and relative_path is not null and content is not null")
+    path = F.concat("workspace_id", F.lit("/"), "relative_path")
+    path = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("web/node_modules/"), path)).when(F.col("doc_id") % 9 == 1, F.concat(F.lit("gen/"), path, F.lit(".min.js"))).otherwise(path)
+    root = shared_folder(spark, "tree")
+    tree.write_tree(docs.select(path.alias("relative_path"), "content").repartition("relative_path"), root)
+    return tree.scan_tree(spark, root, "docs").select("relative_path", "size_bytes", "skipped", F.sha2("content", 256).alias("sha256"))
