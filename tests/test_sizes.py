@@ -34,3 +34,15 @@ def test_needles_of_numbers_meet_few_texts(spark):
     assert found.count() == 3000
     short = containing(needles.limit(1).select("workspace_id", F.explode(F.array(*[F.lit(x) for x in ("", "w", "eb", "b/l", "zz", "list")])).alias("needle")), texts)
     assert {r.needle: r["count"] for r in short.groupBy("needle").count().collect()} == {x: 3000 for x in ("w", "eb", "b/l", "list")}
+
+
+def test_extraction_is_cut_by_the_size_of_the_text(spark, monkeypatch):
+    """Like files compress to almost nothing, and would be put together in one task."""
+    from codeweave.operators import extract
+
+    monkeypatch.setattr(extract, "TASK_CHARACTERS", 1 << 12)
+    text = "CREATE TABLE dbo.T (a int);\n" * 10
+    files = spark.range(200).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("sql/t"), "id", F.lit(".sql")).alias("relative_path"), F.lit(text).alias("content"))
+    symbols, _ = extract.extract_evidence(files, {(".sql",): extract.extract_sql})
+    assert symbols.count() == 2000
+    assert symbols.select(F.spark_partition_id().alias("p")).distinct().count() > 8
