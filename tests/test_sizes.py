@@ -46,3 +46,16 @@ def test_extraction_is_cut_by_the_size_of_the_text(spark, monkeypatch):
     symbols, _ = extract.extract_evidence(files, {(".sql",): extract.extract_sql})
     assert symbols.count() == 2000
     assert symbols.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_rules_of_numbers_meet_few_paths(spark):
+    """By three characters each of these rules would be tried on many paths; longer grams leave about one."""
+    from codeweave.sources import files as sources
+
+    n = F.lit(1_000_000) + F.col("id") * 7
+    rules = spark.range(3000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("lib"), n, F.lit("/v.*")).alias("pattern"), F.concat(F.lit("lib"), n, F.lit("/v")).alias("literal"), F.lit(12).alias("size"), F.lit(False).alias("dirs_only"), F.lit(False).alias("anchored"))
+    texts = spark.range(3000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("lib"), n, F.lit("/v1")).alias("text"))
+    assert sources.rules_met(rules, texts).count() == 3000
+    held = spark.range(3000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("lib"), n, F.lit("/v?")).alias("rule"))
+    paths = spark.range(3001).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("lib"), n, F.lit("/v1/a.cs")).alias("relative_path"))
+    assert [r.relative_path for r in sources.apply_ignore_rules(paths, held).collect()] == ["lib1021000/v1/a.cs"]
