@@ -225,3 +225,18 @@ def test_long_texts_and_comments(spark):
     sql = "/*" + " /* * / ' */" * 20_000 + "*/ CREATE TABLE dbo.T (a varchar(5) default '" + "''" * 20_000 + "')"
     cs, tables = evidence(spark, a=filler + "class A { void M() { } }", sql=sql)
     assert cs[0] == [("class", "A", ""), ("method", "M", "A")] and tables[0] == [("table", "T", "dbo")]
+
+
+def test_statements_are_folded_where_their_file_is(spark):
+    """Lines are neither sorted, grouped nor moved; words of access end as in Java's patterns, parts of one line meet."""
+    texts = ["int a(\npublicé b,\nint c) {\n  x; y\n}", "void f(\npublic int g() { }", "[A]\n[B] int x\n  [0]\n  .y();", None, ""]
+    files = spark.createDataFrame([("w", f"{i}.cs", t) for i, t in enumerate(texts)], "workspace_id string, relative_path string, content string")
+    found = statements.cs_statements(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Aggregate")), plan
+    rows = sorted((r.relative_path, r.pos, tuple(r.lines), r.depth, r.opens, r.code) for r in found.collect())
+    assert rows == [
+        ("0.cs", 1, (1, 2, 3), 0, 1, "int a(\npublicé b,\nint c) {"), ("0.cs", 2, (4,), 1, 0, "  x;"), ("0.cs", 3, (4, 5), 1, -1, " y\n}"),
+        ("1.cs", 1, (1,), 0, 0, "void f("), ("1.cs", 2, (2,), 0, 1, "public int g() {"), ("1.cs", 3, (2,), 1, -1, " }"),
+        ("2.cs", 1, (1,), 0, 0, "[A]"), ("2.cs", 2, (2, 3, 4), 0, 0, "[B] int x\n  [0]\n  .y();"),
+    ]
