@@ -6,8 +6,8 @@ cell's weight over its cell's tokens, with cells that would need more than all o
 raised to keep the budget. Documents are drawn by a hash of their id against that probability.
 
 Topics are the clusters that k-means finds in hashed term weights, less the mean of the document's language, so that
-they tell subjects apart and not languages. It is fitted on a bounded sample (``TOPIC_ROWS``); every row is assigned,
-and counts, marginals and probabilities cover all rows.
+they tell subjects apart and not languages. Means and clusters are fitted on all rows, in passes of Spark; every row is
+assigned, and counts, marginals and probabilities cover all rows.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .scratch import Scratch, quoted, small_batches
-from .textkeys import Slice, slices
+from .textkeys import Slice, mix as scrambled, slices
 
 TOPICS = 8
 DIMENSIONS = ("source", "lang", "topic")
-#: Topics are fitted on about this many rows, drawn by a hash of the text; the driver holds their term weights.
-TOPIC_ROWS = 4000
 #: Terms are words of MIN_BYTES or more, hashed into so many weights.
 TERMS, MIN_BYTES = 256, 4
+#: Term weights are whole numbers of this part of 1 while topics are fitted, until no centre moves further than MOVED.
+UNIT, MOVED = float(1 << 20), 1e-3
 #: Raking ends when no marginal is off its target by more than this share of all tokens, or after MAX_ROUNDS.
 TOLERANCE, MAX_ROUNDS = 1e-4, 40
 
@@ -42,55 +42,128 @@ def term_weights(s: Slice) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Which centre each row is nearest to."""
+    return ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+
+
 @dataclass
 class Topics:
-    """Mean term weights by language (under None, of all) and the clusters' centres."""
+    """Mean term weights by language, ``(lang, mean)``, and the clusters' centres."""
 
-    means: dict[str | None, np.ndarray]
+    means: DataFrame
     centres: np.ndarray
 
-    def assign(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0, np.int64)
-        x = x - np.stack([self.means.get(lang, self.means[None]) for lang in langs])
-        return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
 
+def _grouped(sums: DataFrame, key: str) -> DataFrame:
+    """``(key, n, sums)`` of the partial sums of all tasks."""
+    one = sums.select(key, "n", F.posexplode("sums").alias("i", "s")).groupBy(key, "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return one.groupBy(key).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("sums"))
+
+
+def _language_means(vectors: DataFrame) -> DataFrame:
+    def run(batches):
+        held = {}
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tolist() for _, s in held.values()], pa.list_(pa.int64()))], names=["lang", "n", "sums"])
+
+        for batch in batches:
+            x, langs = _rows(batch.column(1)), np.array(batch.column(0).to_pylist())
+            for lang in np.unique(langs):
+                of = x[langs == lang]
+                n, total = held.get(lang, (0, 0))
+                held[lang] = n + len(of), total + of.sum(0, dtype=np.int64)
+            if len(held) > 1024:
+                yield given()
+                held.clear()
+        if held:
+            yield given()
+
+    means = _grouped(vectors.select("lang", "x").mapInArrow(run, "lang string, n bigint, sums array<bigint>"), "lang")
+    return means.select("lang", F.transform("sums", lambda t: (t / F.col("n") / UNIT).cast("float")).alias("mean"))
 
-def k_means(x: np.ndarray, k: int, rounds: int = 25, seed: int = 1) -> np.ndarray:
-    """``k`` centres (or as many as there are rows), started far apart."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.integers(len(x))][None]
-    while len(centres) < min(k, len(x)):
-        far = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-        centres = np.concatenate([centres, x[int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else len(centres)][None]])
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, TERMS)
+
+
+def _farthest(vectors: DataFrame, centres: np.ndarray) -> np.ndarray | None:
+    """A row drawn by the square of its distance to the nearest of the centres (all alike, if there are none): the first
+    of a race in which each row runs for a time that its text's hash gives, divided by that square."""
+
+    def run(batches):
+        best = None
+        for batch in batches:
+            x, h = _rows(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            far = (((x / UNIT)[:, None] - centres[None]) ** 2).sum(2).min(1) if len(centres) else np.ones(len(x))
+            luck = (scrambled(h.astype(np.uint64) + np.uint64(len(centres))) >> np.uint64(11)).astype(np.float64) + 0.5
+            time = np.where(far > 1e-9, -np.log(luck / 2.0**53) / np.maximum(far, 1e-9), np.inf)
+            i = int(time.argmin()) if len(time) else -1
+            if i >= 0 and np.isfinite(time[i]) and (best is None or (time[i], x[i].tobytes()) < best):
+                best = float(time[i]), x[i].tobytes()
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["time", "x"])
+
+    won = vectors.select("x", "h").mapInArrow(run, "time double, x binary").agg(F.min(F.struct("time", "x")).alias("w")).first()["w"]
+    return None if won is None else np.frombuffer(won["x"], np.int32) / UNIT
+
+
+def k_means(vectors: DataFrame, k: int, rounds: int = 15) -> np.ndarray:
+    """``k`` centres (or as many as there are different rows) of ``vectors(x, h)``, started far apart. Each round passes
+    over all rows, in tasks; the driver receives the sums of each cluster. Sums are of whole numbers, so that their
+    order doesn't matter."""
+    centres = np.zeros((0, TERMS))
+    while len(centres) < k and (row := _farthest(vectors, centres)) is not None:
+        centres = np.concatenate([centres, row[None]])
+    if not len(centres):
+        return np.zeros((1, TERMS))
     for _ in range(rounds):
-        at = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-        moved = np.stack([x[at == i].mean(0) if (at == i).any() else centres[i] for i in range(len(centres))])
-        if np.allclose(moved, centres):
+        at = centres
+
+        def run(batches):
+            n, total = np.zeros(len(at), np.int64), np.zeros((len(at), TERMS), np.int64)  # noqa: B023
+            for batch in batches:
+                x = _rows(batch.column(0))
+                cluster = nearest(x / UNIT, at)  # noqa: B023
+                for i in np.unique(cluster):
+                    of = x[cluster == i]
+                    n[i] += len(of)
+                    total[i] += of.sum(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["topic", "n", "sums"])
+
+        centres = at.copy()
+        for r in _grouped(vectors.select("x").mapInArrow(run, "topic int, n bigint, sums array<bigint>"), "topic").where("n > 0").collect():
+            centres[r["topic"]] = np.array(r["sums"]) / r["n"] / UNIT
+        if np.abs(centres - at).max() < MOVED:
             break
-        centres = moved
     return centres
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, max_rows: int = TOPIC_ROWS) -> Topics:
-    """Topics of ``docs(text, lang)``, from rows drawn by a hash of their text."""
+def fit_topics(docs: DataFrame, scratch: Scratch, topics: int = TOPICS) -> Topics:
+    """Topics of all of ``docs(text, lang)``. Term weights are written once and read in each round."""
     small_batches(docs.sparkSession, 512)
     texts = docs.where("text is not null").select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    rate = min(1.0, max_rows / max(1, texts.count()))
-    picked = texts.where(F.pmod("h", F.lit(1 << 30)) < F.lit(rate * (1 << 30))).select("lang", "text", "h")
 
     def run(batches):
         for batch in batches:
             for s in slices(batch.column(1)):
                 part = slice(s.lo, s.hi)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([r.tobytes() for r in term_weights(s)], pa.binary()), batch.column(2)[part]], names=["lang", "x", "h"])
+                x = np.rint(term_weights(s) * UNIT).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)[part]], names=["lang", "x", "h"])
+
+    def less_mean(batches):
+        for batch in batches:
+            x = _rows(batch.column(0)) - np.rint(np.stack(batch.column(2).to_numpy(zero_copy_only=False)) * UNIT).astype(np.int32) if batch.num_rows else _rows(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "h"])
 
-    # term weights, not texts, which can be long, are gathered
-    rows = picked.mapInArrow(run, "lang string, x binary, h bigint").orderBy("h", "lang", "x").limit(2 * max_rows).collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((1, TERMS), np.float32)
-    langs = np.array([r["lang"] for r in rows] if rows else [""])
-    means = {None: x.mean(0), **{str(lang): x[langs == lang].mean(0) for lang in np.unique(langs)}}
-    return Topics(means, k_means(x - np.stack([means[str(lang)] for lang in langs]), topics))
+    weights = scratch.cut(texts.mapInArrow(run, "lang string, x binary, h bigint"))
+    means = scratch.cut(_language_means(weights))
+    vectors = scratch.cut(weights.join(means, "lang").select("x", "h", "mean").mapInArrow(less_mean, "x binary, h bigint"))
+    scratch.drop(weights)
+    centres = k_means(vectors, topics)
+    scratch.drop(vectors)
+    return Topics(means, centres)
 
 
 def profile(docs: DataFrame, topics: Topics, keep: list[str]) -> DataFrame:
@@ -99,19 +172,23 @@ def profile(docs: DataFrame, topics: Topics, keep: list[str]) -> DataFrame:
     ``keep`` is a struct of those columns. draw is a hash of the id, or of the text where that is null, in [0, 1).
     """
     small_batches(docs.sparkSession, 512)
-    shared = docs.sparkSession.sparkContext.broadcast(topics)
+    centres = topics.centres
     drawn = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(42)), F.lit(1 << 40)) / float(1 << 40)
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     inputs = docs.select(F.struct(F.struct(*quoted(keep)).alias("keep"), plain("source").alias("source"), plain("lang").alias("lang"), drawn.alias("draw")).alias("key"), plain("text").alias("text"))
+    # a language whose texts are all null has no mean
+    inputs = inputs.join(topics.means.withColumnRenamed("lang", "lang_"), F.col("key.lang") == F.col("lang_"), "left").drop("lang_")
+    schema = StructType([inputs.schema["key"], StructField("n_tokens", LongType()), StructField("topic", IntegerType())])
 
     def run(batches):
         for batch in batches:
-            langs = batch.column(0).field("lang").to_pylist()
+            means = batch.column(2).to_pylist()
             for s in slices(batch.column(1)):
-                topic = shared.value.assign(term_weights(s), langs[s.lo : s.hi])
+                mean = np.array([m or [0.0] * TERMS for m in means[s.lo : s.hi]], np.float64).reshape(-1, TERMS)
+                topic = nearest(term_weights(s) - mean, centres)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(np.diff(s.first).astype(np.int64)), pa.array(topic.astype(np.int32))], names=["key", "n_tokens", "topic"])
 
-    out = inputs.mapInArrow(run, StructType([inputs.schema["key"], StructField("n_tokens", LongType()), StructField("topic", IntegerType())]))
+    out = inputs.mapInArrow(run, schema)
     return out.select("key.keep", "key.source", "key.lang", "n_tokens", "topic", "key.draw")
 
 
@@ -180,7 +257,7 @@ def mixed(docs: DataFrame, keep: list[str], budget: float = 0.5, powers: dict[st
     """``profile`` of ``docs`` with ``weight``, ``prob``, ``residual`` and ``sampled``."""
     powers = powers or {"source": 0.7, "lang": 0.5, "topic": 0.5}
     scratch = Scratch(docs.sparkSession)
-    topics = fit_topics(docs)
+    topics = fit_topics(docs, scratch)
     counts = profile(docs, topics, ["doc_id"])
     cells = scratch.cut(counts.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     raked, off = rake(cells, {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}, scratch)

@@ -312,3 +312,17 @@ def test_mixing_meets_targets(spark, odd_docs, empty_docs):
     odd = {r.doc_id: r for r in mixing.mix(odd_docs).collect()}
     assert odd[1].prob == 0 and not odd[1].sampled
     assert mixing.mix(empty_docs).count() == 0
+
+
+def test_topics_are_fitted_on_all_rows(spark):
+    """Eight subjects, one of which is rare: a sample of 4000 of the 12 000 rows most likely lacks its one text."""
+    words = [[f"word{t}x{i}" for i in range(6)] for t in range(8)]
+    texts = [(i, " ".join(words[i % 7] if i else words[7]), "s", "en") for i in range(12_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string").repartition(4)
+    scratch = mixing.Scratch(spark)
+    fitted = mixing.fit_topics(docs, scratch)
+    assert len(fitted.centres) == 8
+    found = mixing.profile(docs, fitted, ["doc_id"]).selectExpr("if(keep.doc_id = 0, 7, keep.doc_id % 7) as subject", "topic").distinct().collect()
+    assert len(found) == 8 and len({r.topic for r in found}) == 8
+    again = mixing.fit_topics(docs.repartition(3), scratch)
+    assert (fitted.centres == again.centres).all()
