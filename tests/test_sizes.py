@@ -59,3 +59,17 @@ def test_rules_of_numbers_meet_few_paths(spark):
     held = spark.range(3000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("lib"), n, F.lit("/v?")).alias("rule"))
     paths = spark.range(3001).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("lib"), n, F.lit("/v1/a.cs")).alias("relative_path"))
     assert [r.relative_path for r in sources.apply_ignore_rules(paths, held).collect()] == ["lib1021000/v1/a.cs"]
+
+
+def test_statements_are_dealt_by_the_size_of_the_text(spark, monkeypatch):
+    """Statements of like files compress to almost nothing too: behind the Python that folds them, Spark put them together."""
+    from codeweave.operators import extract
+
+    monkeypatch.setattr(extract, "TASK_CHARACTERS", 1 << 12)
+    text = "public class T { public void M() { } }\n" * 10
+    files = spark.range(200).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("src/t"), "id", F.lit(".cs")).alias("relative_path"), F.lit(text).alias("content"))
+    dealt = []
+    monkeypatch.setattr(extract, "cut", lambda df: dealt.append(df) or df)
+    extract.extract_evidence(files, {(".cs",): extract.extract_cs})
+    assert dealt[0].where("type_name is not null or method_name is not null").count() == 4000
+    assert dealt[0].select(F.spark_partition_id().alias("p")).distinct().count() > 8

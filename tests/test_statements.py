@@ -3,6 +3,7 @@
 import textwrap
 
 from codeweave.operators import extract, statements
+from pyspark.sql import functions as F
 
 FILES = "workspace_id string, relative_path string, content string"
 
@@ -240,3 +241,14 @@ def test_statements_are_folded_where_their_file_is(spark):
         ("1.cs", 1, (1,), 0, 0, "void f("), ("1.cs", 2, (2,), 0, 1, "public int g() {"), ("1.cs", 3, (2,), 1, -1, " }"),
         ("2.cs", 1, (1,), 0, 0, "[A]"), ("2.cs", 2, (2, 3, 4), 0, 0, "[B] int x\n  [0]\n  .y();"),
     ]
+
+
+def test_runs_go_over_line_ends_but_no_directives(spark):
+
+    text = "class A\n{\n  int a;\n\n#if x { \"\n  /* b */ # c\n  int d = 'e';\n \t#endif\n}\n# last"
+    blanks = "\n".join(["class A", "{", "  int a;", "", " " * 9, " " * 13, "  int d = ' ';".replace("' '", '" "'), " " * 8, "}", " " * 6])
+    row = statements.cs_lexed(spark.createDataFrame([("w", "a.cs", text)], "workspace_id string, relative_path string, content string")).collect()[0]
+    assert row.code == blanks and row.text == blanks.replace('" "', "'e'")
+
+    tokens = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(statements._CS), F.lit(0)).alias("t")).collect()[0].t
+    assert "".join(tokens) == text and tokens[0] == "class A\n{\n  int a;\n"
