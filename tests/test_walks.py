@@ -136,3 +136,12 @@ def test_related_rows_move_few_columns(spark, monkeypatch):
     monkeypatch.setattr(queries, "cut", lambda df: written.append(df) or df)
     queries.QUERIES["u7_related_rows"](spark, "/root/testdata/sf0.001")
     assert set(written[0].columns) == {"workspace_id", "id", "relationship_kind", "source_identifier", "target_identifier", "file_path"}
+
+
+def test_every_match_starts_chains(spark):
+    """Without a limit each of a workspace's matches is a start, with one the first four times as many."""
+    rows = [("w", "symbol", f"web/a{i}.ts::load", "matches_backend_handler", "symbol", f"api/A{i}.cs::Get", None) for i in range(100)]
+    edges = spark.createDataFrame(rows, "workspace_id string, source_kind string, source_identifier string, relationship_kind string, target_kind string, target_identifier string, metadata string")
+    starts = chains.chain_starts(edges, limit=None)
+    assert starts.count() == 100 and chains.chain_starts(edges).count() == 80
+    assert chains.expand_chains(starts, chains.next_steps(edges)).select("start").distinct().count() == 100
