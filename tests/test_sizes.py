@@ -73,3 +73,27 @@ def test_statements_are_dealt_by_the_size_of_the_text(spark, monkeypatch):
     extract.extract_evidence(files, {(".cs",): extract.extract_cs})
     assert dealt[0].where("type_name is not null or method_name is not null").count() == 4000
     assert dealt[0].select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_parts_are_dealt_before_they_become_files(spark, tmp_path):
+    """A small table of keys is read in one task, but each key becomes files."""
+    from codeweave.plans import corpus
+
+    spark.range(200).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit(1).alias("p_size"), F.lit("x").alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (corpus.part_corpus, corpus.wrapped_corpus, corpus.other_corpus):
+        files = made(spark, str(tmp_path))
+        assert files.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_sql_behind_the_last_object_is_read_once(spark):
+    """From each of 300 000 places the rest of the file was looked through."""
+    import time
+
+    from codeweave.operators import extract
+
+    text = "CREATE TABLE dbo.A (x int)\nCREATE\n  VIEW dbo.B AS " + "SELECT x, y\n" * 25_000
+    files = spark.createDataFrame([("w", "a.sql", text)], "workspace_id string, relative_path string, content string")
+    begin = time.time()
+    symbols, _ = extract.extract_sql(files)
+    assert sorted((r.name, r.kind, r.line, r.col) for r in symbols.collect()) == [("A", "table", 1, 14), ("B", "view", 3, 8)]
+    assert time.time() - begin < 60
