@@ -326,3 +326,14 @@ def test_topics_are_fitted_on_all_rows(spark):
     assert len(found) == 8 and len({r.topic for r in found}) == 8
     again = mixing.fit_topics(docs.repartition(3), scratch)
     assert (fitted.centres == again.centres).all()
+
+
+def test_shared_passages_behind_many_owners(spark):
+    """Documents 0 to 5 each hold all seeds of the passage of 10 and 11, in quotes of which none is long enough."""
+    rng = random.Random(19)
+    junk = lambda n: prose(rng, n, 10**6).split()
+    passage = prose(rng, 60, 10**6).split()
+    rows = [(i, [w for at in range(0, 60, 6) for w in [*junk(30), *passage[at : at + 10]]] + junk(30)) for i in range(6)]
+    rows += [(10, [*junk(40), *passage, *junk(40)]), (11, [*junk(20), *passage, *junk(40)])]
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.other_id, r.matched_words) for r in got] == [(11, 20, 80, 10, 60)]
